@@ -19,21 +19,28 @@ def number(digits: Column) -> Column:
     return F.when(digits != "", F.coalesce(digits.try_cast("int"), F.lit(_TOO_BIG)))
 
 
-def target_count(text: Column) -> Column:
-    """Number before "lead(s)", else the first number in the text, else null."""
-    return F.coalesce(
-        number(F.regexp_extract(text, V.COUNT_PATTERN, 1)),
-        number(F.regexp_extract(text, V.ANY_NUMBER_PATTERN, 1)),
+def brief_numbers(df: DataFrame, text: str) -> DataFrame:
+    """Add ``_count`` (number before "lead(s)", else the first number) and ``_low``/``_high``
+    (company size; a range wins over separate bounds).  Each pattern runs once per row."""
+    t = F.col(text)
+    kept = df.columns
+    found = df.select(
+        "*",
+        F.regexp_extract(t, V.COUNT_PATTERN, 1).alias("_leads"),
+        F.regexp_extract(t, V.ANY_NUMBER_PATTERN, 1).alias("_any"),
+        F.regexp_extract(t, V.SIZE_RANGE_PATTERN, 1).alias("_from"),
+        F.regexp_extract(t, V.SIZE_RANGE_PATTERN, 2).alias("_to"),
+        F.regexp_extract(t, V.SIZE_MIN_PATTERN, 1).alias("_over"),
+        F.regexp_extract(t, V.SIZE_MAX_PATTERN, 1).alias("_under"),
     )
-
-
-def size_bounds(text: Column) -> tuple[Column, Column]:
-    """(min, max) company size; a range wins over separate bounds."""
-    low = number(F.regexp_extract(text, V.SIZE_RANGE_PATTERN, 1))
-    high = number(F.regexp_extract(text, V.SIZE_RANGE_PATTERN, 2))
-    over = number(F.regexp_extract(text, V.SIZE_MIN_PATTERN, 1))
-    under = number(F.regexp_extract(text, V.SIZE_MAX_PATTERN, 1))
-    return F.coalesce(low, over), F.when(low.isNotNull(), high).otherwise(under)
+    ranged = F.col("_from") != ""
+    chosen = found.select(
+        *kept,
+        F.when(F.col("_leads") != "", F.col("_leads")).otherwise(F.col("_any")).alias("_count"),
+        F.when(ranged, F.col("_from")).otherwise(F.col("_over")).alias("_low"),
+        F.when(ranged, F.col("_to")).otherwise(F.col("_under")).alias("_high"),
+    )
+    return chosen.select(*kept, *[number(F.col(c)).alias(c) for c in ("_count", "_low", "_high")])
 
 
 def buyers_mentioned(text: Column) -> Column:
@@ -45,19 +52,20 @@ def buyers_mentioned(text: Column) -> Column:
     )
 
 
-def _themes_in(normed: Column, aliases: list[tuple[str, str]]) -> Column:
-    hits = [F.when(F.contains(normed, F.lit(a)), F.lit(t)) for a, t in aliases]
-    return F.array_distinct(F.array_compact(F.array(*hits)))
+def _themes_in(normed: str, aliases: dict[str, str]) -> Column:
+    return F.array_distinct(
+        F.expr(T.sql_texts(*[(f"contains({normed}, {T.quoted(a)})", t) for a, t in aliases.items()]))
+    )
 
 
-def themes_mentioned(normed: Column) -> Column:
-    """Themes of a normalised brief, in alias-table order."""
-    return _themes_in(normed, [*V.THEME_ALIASES.items(), *V.EXTRA_BRIEF_THEMES.items()])
+def themes_mentioned(normed: str) -> Column:
+    """Themes of a column of normalised brief text, in alias-table order."""
+    return _themes_in(normed, {**V.THEME_ALIASES, **V.EXTRA_BRIEF_THEMES})
 
 
-def theme_hits(normed: Column) -> Column:
-    """All themes for which normalised evidence text contains an alias."""
-    return _themes_in(normed, list(V.THEME_ALIASES.items()))
+def theme_hits(normed: str) -> Column:
+    """All themes for which a column of normalised evidence text contains an alias."""
+    return _themes_in(normed, V.THEME_ALIASES)
 
 
 def fit_signals(themes: Column, hits: Column) -> Column:
@@ -112,7 +120,7 @@ def parse_candidates(
             F.struct(
                 F.col("_name").alias("name"),
                 T.official_website(t, u, F.col("_host")).alias("website"),
-                T.country_of_norm(F.col("_place")).alias("country_code"),
+                T.country_of("_place").alias("country_code"),
                 F.col("_employees").alias("employee_estimate"),
             ),
         ).alias(company),

@@ -30,41 +30,65 @@ def words(squeezed: Column) -> Column:
     return F.when(squeezed == "", 0).otherwise(F.size(F.split(squeezed, " ")))
 
 
-def literal_map(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+def quoted(value: str) -> str:
+    """SQL string literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    return f"'{escaped}'"
+
+
+def sql_array(values: list[str]) -> str:
+    return f"array({', '.join(map(quoted, values))})" if values else "cast(array() AS array<string>)"
+
+
+def sql_map(table: dict[str, str]) -> str:
+    return f"map({', '.join(f'{quoted(k)}, {quoted(v)}' for k, v in table.items())})"
 
 
 def strings(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    return F.expr(sql_array(values))
+
+
+def literal_map(table: dict[str, str]) -> Column:
+    return F.expr(sql_map(table))
 
 
-def fill(template: str, **slots: Column) -> Column:
-    """Concatenate a ``{slot}`` template from fixed text and columns."""
+def one_of(c: Column, values: list[str]) -> Column:
+    return F.array_contains(strings(values), c)
+
+
+def sql_texts(*pairs: tuple[str, str]) -> str:
+    """SQL array of the texts whose condition holds, in order."""
+    return f"array_compact(array({', '.join(f'CASE WHEN {c} THEN {quoted(t)} END' for c, t in pairs)}))"
+
+
+def sql_fill(template: str, **slots: str) -> str:
+    """SQL that fills a ``{slot}`` template; slots are SQL expressions."""
     parts, rest = [], template
     while "{" in rest:
         head, _, tail = rest.partition("{")
         slot, _, rest = tail.partition("}")
         if head:
-            parts.append(F.lit(head))
+            parts.append(quoted(head))
         parts.append(slots[slot])
     if rest:
-        parts.append(F.lit(rest))
-    return F.concat(*parts)
+        parts.append(quoted(rest))
+    return f"concat({', '.join(parts)})"
 
 
 # ---------------------------------------------------------------- countries, list entries
 
 
-def country_of_norm(n: Column) -> Column:
-    """Country code of normalised text: known code, first alias contained, two letters, else null."""
-    code = F.when(n.isin(list(V.COUNTRY_TERMS)), n)
-    for alias, target in V.COUNTRY_ALIASES.items():
-        code = code.when(F.contains(n, F.lit(alias)), F.lit(target))
-    return code.when(n.rlike(r"\A\p{L}{2}\z"), n)
-
-
-def country_code(c: Column) -> Column:
-    return country_of_norm(norm(c))
+def country_of(normed: str) -> Column:
+    """Country code of a column of normalised text: known code, first alias contained, two letters,
+    else null."""
+    aliases = " ".join(
+        f"WHEN contains({normed}, {quoted(alias)}) THEN {quoted(code)}" for alias, code in V.COUNTRY_ALIASES.items()
+    )
+    known = ", ".join(map(quoted, V.COUNTRY_TERMS))
+    two_letters = quoted(r"\A\p{L}{2}\z")
+    return F.expr(
+        f"CASE WHEN {normed} IN ({known}) THEN {normed} {aliases} WHEN rlike({normed}, {two_letters}) THEN {normed} END"
+    )
 
 
 def canonical_buyers(values: Column) -> Column:
@@ -163,7 +187,7 @@ def domain_company(url: Column, url_host: Column) -> Column:
     after = F.array_position(parts, "directory")
     segment = F.coalesce(F.when(after > 0, F.get(parts, after)), F.try_element_at(parts, F.lit(-1)))
     label = F.substring_index(url_host, ".", 1)
-    named = F.when(url_host.isin(V.DIRECTORY_HOSTS), segment).otherwise(label)
+    named = F.when(one_of(url_host, V.DIRECTORY_HOSTS), segment).otherwise(label)
     return F.when(url_host != "", clean_company(named))
 
 
@@ -172,15 +196,15 @@ def official_website(text: Column, url: Column, url_host: Column) -> Column:
     source URL unless its host is a directory."""
     listed = F.filter(
         F.regexp_extract_all(text, F.lit(V.URL_IN_TEXT), F.lit(0)),
-        lambda u: ~host(u).isin(V.DIRECTORY_HOSTS + [""]) & (host(u) != url_host),
+        lambda u: ~one_of(host(u), V.DIRECTORY_HOSTS + [""]) & (host(u) != url_host),
     )
-    own = F.when(~url_host.isin(V.DIRECTORY_HOSTS + [""]), url)
+    own = F.when(~one_of(url_host, V.DIRECTORY_HOSTS + [""]), url)
     return F.coalesce(F.rtrim(F.get(listed, F.lit(0)), F.lit(".,)")), own)
 
 
 def usable_url(url: Column) -> Column:
     """True unless the URL is malformed or on a social network."""
-    return well_formed(url) & ~host(url).isin(V.SOCIAL_HOSTS)
+    return well_formed(url) & ~one_of(host(url), V.SOCIAL_HOSTS)
 
 
 def excerpt(c: Column) -> Column:
@@ -200,7 +224,7 @@ def html_to_text(html: Column) -> Column:
 
 def usable_company(name: Column) -> Column:
     lowered = strip(F.lower(F.coalesce(name, F.lit(""))))
-    return (lowered != "") & ~lowered.isin(V.GENERIC_COMPANY_NAMES) & (words(squeeze(lowered)) <= 8)
+    return (lowered != "") & ~one_of(lowered, V.GENERIC_COMPANY_NAMES) & (words(squeeze(lowered)) <= 8)
 
 
 def usable_person(name: Column) -> Column:
@@ -231,7 +255,5 @@ def tidy_queries(values: Column, limit: int = 6, min_chars: int = 10) -> Column:
 def role_matches(role: Column, buyers: Column) -> tuple[Column, Column]:
     """(exact, adjacent) of a normalised role; null role matches nothing."""
     exact = F.exists(buyers, lambda b: F.contains(role, F.translate(b, "_", " ")))
-    adjacent = F.lit(False)
-    for word in V.ADJACENT_ROLE_WORDS:
-        adjacent = adjacent | F.contains(role, F.lit(word))
+    adjacent = role.rlike("|".join(V.ADJACENT_ROLE_WORDS))
     return F.coalesce(exact, F.lit(False)), F.coalesce(adjacent, F.lit(False))

@@ -35,35 +35,34 @@ def _blank(c: Column) -> Column:
 def with_facts(rows: DataFrame) -> DataFrame:
     """Add ``facts``: what the selection score needs to know about one evidence row."""
     kept = rows.columns
-    text = rows.withColumn("_text", F.concat_ws(" ", "title", "snippet"))
+    text = rows.withColumn("_text", F.concat_ws(" ", "title", "snippet")).withColumn("_norm", T.norm(F.col("_text")))
     parsed = E.parse_candidates(text, "_text", "url", "_person", "_company")
-    return parsed.select(
+    facts = parsed.select(
         *kept,
-        F.struct(
-            F.col("_company").isNotNull().alias("found"),
-            F.when(F.col("_person.role_title").isNotNull(), T.norm(F.col("_person.role_title"))).alias("role"),
-            (_blank(F.col("_person.full_name")) != "").alias("named"),
-            F.col("_company.country_code").alias("country"),
-            F.col("_company.employee_estimate").isNotNull().alias("sized"),
-            E.theme_hits(T.norm(F.col("_text"))).alias("hits"),
+        "_company",
+        "_person.full_name",
+        F.when(F.col("_person.role_title").isNotNull(), T.norm(F.col("_person.role_title"))).alias("_role"),
+        E.theme_hits("_norm").alias("_hits"),
+    )
+    return facts.select(
+        *kept,
+        F.expr(
+            "struct(_company IS NOT NULL AS found, _role AS role, coalesce(full_name, '') <> '' AS named, "
+            "_company.country_code AS country, _company.employee_estimate IS NOT NULL AS sized, _hits AS hits)"
         ).alias("facts"),
     )
 
 
-def selection_score(facts: Column, constraints: Column, buyers: Column, themes: Column, evidence_count: int = 1) -> Column:
+def score_sql(facts: str, evidence_count: int = 1) -> str:
     """Score by which the best result of a query is picked; -100 without a company."""
-    exact, adjacent = T.role_matches(facts["role"], buyers)
-    signals = F.size(E.fit_signals(themes, facts["hits"]))
-    country = constraints["preferred_country"]
-    return F.when(~facts["found"], -100).otherwise(
-        F.lit(20)
-        + F.when(exact, 20).when(adjacent, 10).otherwise(0)
-        + F.when(facts["country"] == country, 15).otherwise(0)
-        + F.when(facts["sized"], 10).otherwise(0)
-        + F.least(signals * 8, F.lit(16))
-        + F.lit(min(evidence_count * 4, 12))
-        + F.when(facts["named"], 8).otherwise(0)
-    )
+    adjacent = "|".join(V.ADJACENT_ROLE_WORDS)
+    return f"""CASE WHEN NOT {facts}.found THEN -100 ELSE 20
+        + CASE WHEN exists(buyer_targets, b -> contains({facts}.role, translate(b, '_', ' '))) THEN 20
+               WHEN rlike({facts}.role, '{adjacent}') THEN 10 ELSE 0 END
+        + CASE WHEN {facts}.country = constraints.preferred_country THEN 15 ELSE 0 END
+        + CASE WHEN {facts}.sized THEN 10 ELSE 0 END
+        + least(8 * size(filter(search_themes, t -> array_contains({facts}.hits, t))), 16)
+        + {min(evidence_count * 4, 12)} + CASE WHEN {facts}.named THEN 8 ELSE 0 END END"""
 
 
 def evidence_lists(
@@ -103,19 +102,9 @@ def select_best(work: DataFrame) -> DataFrame:
 
     The list is at most the search limit long, so this is a row-local step without a shuffle.
     """
-    scores = F.transform(
-        "items",
-        lambda i, n: F.struct(
-            selection_score(i["facts"], F.col("constraints"), F.col("buyer_targets"), F.col("search_themes")).alias("s"),
-            (-n).alias("n"),
-        ),
-    )
+    scores = F.expr(f"transform(items, (i, n) -> struct({score_sql('i.facts')} AS s, -n AS n))")
     best = work.withColumn("_best", F.array_max(scores))
-    return (
-        best.withColumn("best_score", F.col("_best.s"))
-        .withColumn("selected", F.get("items", -F.col("_best.n")))
-        .drop("_best")
-    )
+    return best.select(*work.columns, F.col("_best.s").alias("best_score"), F.expr("items[-_best.n]").alias("selected"))
 
 
 # ---------------------------------------------------------------- dossiers
@@ -132,8 +121,11 @@ def _combination_facts(chosen: DataFrame, pages: DataFrame) -> DataFrame:
             )
         ).alias("_lead"),
     )
-    paged = with_page_text(texts, pages, combo).withColumn(
-        "_combined", F.concat_ws(" ", "title", "snippet", "page_text")
+    paged = (
+        with_page_text(texts, pages, combo)
+        .withColumn("_combined", F.concat_ws(" ", "title", "snippet", "page_text"))
+        .withColumn("_norm", T.norm(F.concat_ws(" ", "_lead", "_combined")))
+        .withColumn("_page_norm", T.norm(F.col("_combined")))
     )
     parsed = E.parse_candidates(paged, "_combined", "url", "c_person", "c_company")
     by_title = T.title_company(F.col("title"))
@@ -142,7 +134,7 @@ def _combination_facts(chosen: DataFrame, pages: DataFrame) -> DataFrame:
         F.struct(
             by_title.alias("name"),
             T.official_website(F.col("page_text"), F.col("url"), T.host(F.col("url"))).alias("website"),
-            T.country_code(F.col("_combined")).alias("country_code"),
+            T.country_of("_page_norm").alias("country_code"),
             F.lit(None).cast("int").alias("employee_estimate"),
         ),
     )
@@ -150,7 +142,7 @@ def _combination_facts(chosen: DataFrame, pages: DataFrame) -> DataFrame:
         *combo,
         "c_person",
         F.coalesce("c_company", titled).alias("c_company"),
-        E.theme_hits(T.norm(F.concat_ws(" ", "_lead", "_combined"))).alias("c_hits"),
+        E.theme_hits("_norm").alias("c_hits"),
     )
 
 
@@ -274,9 +266,14 @@ def fill_gaps(df: DataFrame, found: str, person_rule=None) -> DataFrame:
     )
 
 
-def _signals_of_evidence(df: DataFrame) -> Column:
-    text = F.array_join(F.transform("evidence", lambda i: F.concat(i["title"], F.lit(" "), i["snippet"])), " ")
-    return E.fit_signals(F.col("search_themes"), E.theme_hits(T.norm(text)))
+def _with_evidence_signals(df: DataFrame, condition: Column) -> DataFrame:
+    """Signals recomputed from the titles and snippets of the evidence, where there are any."""
+    text = F.expr("array_join(transform(evidence, i -> concat(i.title, ' ', i.snippet)), ' ')")
+    hits = df.withColumn("_norm", T.norm(text)).withColumn("_hits", E.theme_hits("_norm"))
+    new = hits.withColumn("_signals", E.fit_signals(F.col("search_themes"), F.col("_hits")))
+    return new.withColumn(
+        "fit_signals", F.when(condition & (F.size("_signals") > 0), F.col("_signals")).otherwise(F.col("fit_signals"))
+    )
 
 
 def _keep_or(new: Column, old: Column) -> Column:
@@ -368,10 +365,8 @@ def follow_up(
         "evidence", F.concat("evidence", F.transform("parsed", lambda p: p["item"]))
     )
     note = F.concat(F.lit("follow_up_query="), F.col("_follow_query"))
-    signals = _keep_or(_signals_of_evidence(grown), F.col("fit_signals"))
-    return grown.withColumns(
+    return _with_evidence_signals(grown, F.col("_added")).withColumns(
         {
-            "fit_signals": F.when(F.col("_added"), signals).otherwise(F.col("fit_signals")),
             "notes": F.when(F.col("_added"), T.dedupe_norm(F.array_append("notes", note))).otherwise(F.col("notes")),
             "follow_ups": F.col("_follow_query").isNotNull().cast("int"),
         }
@@ -408,11 +403,9 @@ def enrich(
     grown = fill_gaps(both, "_all").withColumn(
         "evidence", F.concat("evidence", F.transform("_new", lambda p: p["item"]))
     )
-    signals = _keep_or(_signals_of_evidence(grown), F.col("fit_signals"))
     return (
-        grown.withColumns(
+        _with_evidence_signals(grown, F.lit(True)).withColumns(
             {
-                "fit_signals": signals,
                 "query_used": F.col("_query"),
                 "sourcing_status": F.lit("FOUND"),
                 "notes": F.array_append("notes", F.concat(F.lit("enrichment_query="), F.col("_query"))),

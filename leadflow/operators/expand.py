@@ -13,8 +13,8 @@ def relaxation_stage(attempts_used: Column) -> Column:
     return F.when(attempts_used >= 4, 2).when(attempts_used >= 2, 1).otherwise(0)
 
 
-def _list_map(table: dict[str, list[str]]) -> Column:
-    return F.create_map(*[c for k, v in table.items() for c in (F.lit(k), T.strings(v))])
+def _sql_lists(table: dict[str, list[str]]) -> str:
+    return f"map({', '.join(f'{T.quoted(k)}, {T.sql_array(v)}' for k, v in table.items())})"
 
 
 def query_pairs(df: DataFrame, stage: Column, alias: str = "candidates", suggested: Column | None = None) -> DataFrame:
@@ -23,69 +23,41 @@ def query_pairs(df: DataFrame, stage: Column, alias: str = "candidates", suggest
     ``suggested`` are externally proposed queries, which go first after clean-up.
     """
     kept = df.columns
-    limits, themes = F.col("constraints"), F.col("search_themes")
-    code = F.coalesce(limits["preferred_country"], F.lit("es"))
-    places = F.coalesce(F.try_element_at(_list_map(V.COUNTRY_TERMS), code), T.strings(V.UNLISTED_COUNTRY_TERMS))
-    hint = F.when(
-        limits["max_company_size"].isNotNull(),
-        F.concat(F.lit("under "), limits["max_company_size"].cast("string"), F.lit(" employees")),
-    ).when(
-        limits["min_company_size"].isNotNull(),
-        F.concat(F.lit("over "), limits["min_company_size"].cast("string"), F.lit(" employees")),
+    places = f"coalesce(try_element_at({_sql_lists(V.COUNTRY_TERMS)}, coalesce(constraints.preferred_country, 'es')), {T.sql_array(V.UNLISTED_COUNTRY_TERMS)})"
+    hint = (
+        "CASE WHEN constraints.max_company_size IS NOT NULL "
+        "THEN concat('under ', constraints.max_company_size, ' employees') "
+        "WHEN constraints.min_company_size IS NOT NULL "
+        "THEN concat('over ', constraints.min_company_size, ' employees') END"
     )
-
-    def with_theme(values: Column, theme: str, from_stage: int) -> Column:
-        wanted = (stage >= from_stage) & ~F.array_contains(values, theme)
-        return F.when(wanted, F.array_append(values, F.lit(theme))).otherwise(values)
-
-    relaxed = with_theme(with_theme(themes, "software company", 1), "automation", 2)
-    terms = F.flatten(
-        F.transform(
-            F.slice(relaxed, 1, 3),
-            lambda t: F.coalesce(F.try_element_at(_list_map(V.THEME_TERMS), t), F.array(t)),
-        )
-    )
-    sized = df.select(
+    software = "CASE WHEN _stage >= 1 AND NOT array_contains(search_themes, 'software company') THEN array('software company') ELSE array() END"
+    automation = "CASE WHEN _stage >= 2 AND NOT array_contains(search_themes, 'automation') THEN array('automation') ELSE array() END"
+    relaxed = f"slice(concat(search_themes, {software}, {automation}), 1, 3)"
+    terms = f"flatten(transform({relaxed}, t -> coalesce(try_element_at({_sql_lists(V.THEME_TERMS)}, t), array(t))))"
+    sized = df.withColumn("_stage", stage).select(
         "*",
-        stage.alias("_stage"),
-        F.get(places, F.lit(0)).alias("_country"),
-        F.slice(F.filter(places, lambda p: p.isin(V.CITIES)), 1, 2).alias("_cities"),
-        hint.alias("_hint"),
-        F.transform(F.slice("buyer_targets", 1, 2), lambda b: F.translate(b, "_", " ")).alias("_buyers"),
-        F.slice(T.dedupe_norm(terms), 1, 3).alias("_terms"),
+        F.expr(f"{places}[0]").alias("_country"),
+        F.expr(f"slice(filter({places}, p -> p IN ({', '.join(map(T.quoted, V.CITIES))})), 1, 2)").alias("_cities"),
+        F.expr(hint).alias("_hint"),
+        F.expr("transform(slice(buyer_targets, 1, 2), b -> translate(b, '_', ' '))").alias("_buyers"),
+        F.slice(T.dedupe_norm(F.expr(terms)), 1, 3).alias("_terms"),
     )
-    country = F.col("_country")
-
-    def per_term(t: Column) -> Column:
-        return F.array_compact(
-            F.array(
-                *[T.fill(x, country=country, term=t) for x in V.TERM_TEMPLATES],
-                T.fill(V.SIZED_TERM_TEMPLATE, country=country, term=t, hint=F.col("_hint")),
-            )
-        )
-
-    def per_city(c: Column) -> Column:
-        return F.array(*[T.fill(x, city=c) for x in V.CITY_TEMPLATES])
-
-    def per_buyer(b: Column) -> Column:
-        return F.transform(
-            F.slice("_terms", 1, 2), lambda t: T.fill(V.BUYER_TEMPLATE, country=country, buyer=b, term=t)
-        )
+    slots = {"country": "_country", "term": "t", "hint": "_hint", "city": "y", "buyer": "b"}
 
-    def at_stage(n: int) -> Column:
-        added = F.array(*[T.fill(x, country=country) for x in V.STAGE_TEMPLATES[n]])
-        return F.when(F.col("_stage") >= n, added).otherwise(T.strings([]))
+    def filled(templates: list[str]) -> str:
+        return f"array({', '.join(T.sql_fill(t, **slots) for t in templates)})"
 
+    none = "cast(array() AS array<string>)"
     lists = [
-        F.flatten(F.transform("_terms", per_term)),
-        F.flatten(F.transform("_cities", per_city)),
-        F.flatten(F.transform("_buyers", per_buyer)),
-        at_stage(1),
-        at_stage(2),
+        f"flatten(transform(_terms, t -> array_compact({filled([*V.TERM_TEMPLATES, V.SIZED_TERM_TEMPLATE])})))",
+        f"flatten(transform(_cities, y -> {filled(V.CITY_TEMPLATES)}))",
+        f"flatten(transform(_buyers, b -> transform(slice(_terms, 1, 2), t -> {T.sql_fill(V.BUYER_TEMPLATE, **slots)})))",
+        *[f"CASE WHEN _stage >= {n} THEN {filled(ts)} ELSE {none} END" for n, ts in V.STAGE_TEMPLATES.items()],
     ]
+    own = F.expr(f"concat({', '.join(lists)})")
     if suggested is not None:
-        lists.insert(0, T.tidy_queries(F.coalesce(suggested, T.strings([]))))
-    raw = sized.select(*kept, F.concat(*lists).alias("_raw"))
+        own = F.concat(T.tidy_queries(F.coalesce(suggested, T.strings([]))), own)
+    raw = sized.select(*kept, own.alias("_raw"))
     return raw.select(*kept, T.distinct_pairs(F.col("_raw")).alias(alias))
 
 

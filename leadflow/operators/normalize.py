@@ -17,11 +17,9 @@ def derived_id(prefix: str, *key: Column) -> Column:
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(text, 256), 1, 12))
 
 
-def constraints_of(text: Column, place: Column) -> Column:
-    """Constraint struct of a brief; ``place`` is its country code."""
-    low, high = E.size_bounds(text)
+def constraints_of(count: Column, place: Column, low: Column, high: Column) -> Column:
+    """Constraint struct from the numbers and the country code found in a brief."""
     sized = low.isNotNull() | high.isNotNull()
-    count = E.target_count(text)
     hard = F.array_compact(
         F.array(F.when(place.isNotNull(), F.lit(V.MISS_COUNTRY)), F.when(sized, F.lit(V.MISS_SIZE)))
     )
@@ -44,15 +42,20 @@ def _or_default(values: Column, default: Column) -> Column:
 def normalize_briefs(briefs: DataFrame) -> DataFrame:
     """One request per brief: constraints, buyer targets and search themes."""
     text = F.col("user_text")
-    normed = briefs.withColumn("_norm", T.norm(text)).withColumn("_place", T.country_of_norm(F.col("_norm")))
+    normed = briefs.withColumn("_norm", T.norm(text)).withColumn("_place", T.country_of("_norm"))
+    read = E.brief_numbers(normed, "user_text").select(
+        "*",
+        E.buyers_mentioned(text).alias("_buyers"),
+        E.themes_mentioned("_norm").alias("_themes"),
+    )
     fallback_id = derived_id("req", F.col("brief_id"))
-    return normed.select(
+    return read.select(
         "brief_id",
         F.coalesce(F.nullif(F.col("request_id"), F.lit("")), fallback_id).alias("request_id"),
         T.strip(text).alias("user_text"),
-        constraints_of(text, F.col("_place")).alias("constraints"),
-        _or_default(E.buyers_mentioned(text), T.strings(V.DEFAULT_BUYERS)).alias("buyer_targets"),
-        _or_default(E.themes_mentioned(F.col("_norm")), T.strings(V.DEFAULT_THEMES)).alias("search_themes"),
+        constraints_of(F.col("_count"), F.col("_place"), F.col("_low"), F.col("_high")).alias("constraints"),
+        _or_default(F.col("_buyers"), T.strings(V.DEFAULT_BUYERS)).alias("buyer_targets"),
+        _or_default(F.col("_themes"), T.strings(V.DEFAULT_THEMES)).alias("search_themes"),
         "meta",
     )
 
@@ -92,9 +95,9 @@ def repair_requests(requests: DataFrame, external: DataFrame, given_ids: DataFra
     def listed(f: str) -> Column:
         return T.dedupe_norm(_or_default(F.coalesce(outer(f), T.strings([])), base(f)))
 
-    lists = joined.select(
+    lists = joined.withColumn("_norm", T.norm(outer("preferred_country"))).select(
         "*",
-        F.coalesce(T.country_code(outer("preferred_country")), base("preferred_country")).alias("_country"),
+        F.coalesce(T.country_of("_norm"), base("preferred_country")).alias("_country"),
         F.coalesce(F.nullif(outer("min_company_size"), F.lit(0)), base("min_company_size")).alias("_min"),
         F.coalesce(F.nullif(outer("max_company_size"), F.lit(0)), base("max_company_size")).alias("_max"),
         listed("preferred_regions").alias("_regions"),

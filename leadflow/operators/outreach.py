@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadflow import schemas as S
@@ -17,28 +17,32 @@ def draft(decided: DataFrame) -> DataFrame:
 
     An unusable person name drops the whole person, role included.
     """
-    company = F.coalesce(F.col("company.name"), F.lit("your company"))
-    known = T.usable_person(F.col("person.full_name"))
-    person = F.when(known, F.col("person.full_name")).otherwise("there")
-    role = F.coalesce(F.when(known, F.nullif(F.col("person.role_title"), F.lit(""))), F.lit("your team"))
-
-    def topics(n: int) -> Column:
-        source = F.when(F.size("fit_signals") > 0, F.col("fit_signals")).otherwise(F.col("search_themes"))
-        return F.array_join(F.slice(source, 1, n), ", ")
-
-    slots = {"person": person, "company": company, "role": role, "two": topics(2), "three": topics(3)}
-    cited = F.transform(
-        F.slice("evidence", 1, 3), lambda e: F.concat(e["title"], F.lit(" ("), e["url"], F.lit(")"))
+    topics = "slice(CASE WHEN size(fit_signals) > 0 THEN fit_signals ELSE search_themes END, 1, {})"
+    named = decided.select(
+        "*",
+        T.usable_person(F.col("person.full_name")).alias("_known"),
+        F.expr("coalesce(company.name, 'your company')").alias("_company"),
+        F.expr(f"array_join({topics.format(2)}, ', ')").alias("_two"),
+        F.expr(f"array_join({topics.format(3)}, ', ')").alias("_three"),
+    ).select(
+        "*",
+        F.expr("CASE WHEN _known THEN person.full_name ELSE 'there' END").alias("_name"),
+        F.expr("coalesce(CASE WHEN _known THEN nullif(person.role_title, '') END, 'your team')").alias("_role"),
     )
-    notes = F.when(F.size("evidence") > 0, F.array_join(cited, "; ")).otherwise(V.NO_EVIDENCE_NOTE)
-    bundle = F.struct(
-        notes.alias("source_notes"),
-        F.array(*[T.fill(t, **slots) for t in V.HOOK_TEMPLATES]).alias("hooks"),
-        F.col("decision.summary").alias("fit_summary"),
-        T.fill(V.CONNECTION_NOTE_TEMPLATE, **slots).alias("connection_note_draft"),
-        T.fill(V.DM_TEMPLATE, **slots).alias("dm_draft"),
-        T.fill(V.SUBJECT_TEMPLATE, **slots).alias("email_subject"),
-        T.fill(V.BODY_TEMPLATE, **slots).alias("email_body"),
+    slots = {"person": "_name", "company": "_company", "role": "_role", "two": "_two", "three": "_three"}
+
+    def text(template: str) -> str:
+        return T.sql_fill(template, **slots)
+
+    cited = "array_join(transform(slice(evidence, 1, 3), e -> concat(e.title, ' (', e.url, ')')), '; ')"
+    bundle = F.expr(
+        f"""CASE WHEN decision.outcome IN ({', '.join(map(T.quoted, DRAFTED))}) THEN named_struct(
+          'source_notes', CASE WHEN size(evidence) > 0 THEN {cited} ELSE {T.quoted(V.NO_EVIDENCE_NOTE)} END,
+          'hooks', array({', '.join(text(t) for t in V.HOOK_TEMPLATES)}),
+          'fit_summary', decision.summary,
+          'connection_note_draft', {text(V.CONNECTION_NOTE_TEMPLATE)},
+          'dm_draft', {text(V.DM_TEMPLATE)},
+          'email_subject', {text(V.SUBJECT_TEMPLATE)},
+          'email_body', {text(V.BODY_TEMPLATE)}) END"""
     )
-    drafted = F.when(F.col("decision.outcome").isin(DRAFTED), bundle)
-    return decided.withColumn("commercial", drafted.cast(S.COMMERCIAL))
+    return named.select(*decided.columns, bundle.cast(S.COMMERCIAL).alias("commercial"))

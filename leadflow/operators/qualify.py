@@ -15,128 +15,107 @@ from leadflow.operators.shared import handover
 from leadflow.sources.evidence import with_page_text
 
 
-def _texts(*pairs: tuple[Column, Column | str]) -> Column:
-    """Texts whose condition holds, in the given order."""
-    return F.array_compact(F.array(*[F.when(c, t if isinstance(t, Column) else F.lit(t)) for c, t in pairs]))
+# Qualification checks, in SQL over the work row; k_* columns are never null.
+_SIZED = "(constraints.min_company_size IS NOT NULL OR constraints.max_company_size IS NOT NULL)"
+_OUTSIDE = (
+    "(coalesce(company.employee_estimate < constraints.min_company_size, false) "
+    "OR coalesce(company.employee_estimate > constraints.max_company_size, false))"
+)
+_COUNTRY = "nullif(company.country_code, '')"
+_ADJACENT = "|".join(V.ADJACENT_ROLE_WORDS)
+CHECKS = {
+    "k_found": "sourcing_status = 'FOUND' AND company IS NOT NULL",
+    "k_exact": "coalesce(exists(buyer_targets, b -> contains(_role, translate(b, '_', ' '))), false)",
+    "k_near": f"coalesce(rlike(_role, '{_ADJACENT}'), false)",
+    "k_country": f"coalesce({_COUNTRY} = constraints.preferred_country, false)",
+    "k_country_miss": f"coalesce({_COUNTRY} <> constraints.preferred_country, false)",
+    "k_country_unknown": f"constraints.preferred_country IS NOT NULL AND {_COUNTRY} IS NULL",
+    "k_size": f"{_SIZED} AND company.employee_estimate IS NOT NULL AND NOT {_OUTSIDE}",
+    "k_size_miss": f"{_SIZED} AND company.employee_estimate IS NOT NULL AND {_OUTSIDE}",
+    "k_size_unknown": f"{_SIZED} AND company.employee_estimate IS NULL",
+    "k_named": "coalesce(person.full_name, '') <> ''",
+    "k_signals": "size(fit_signals)",
+    "k_evidence": "size(evidence)",
+}
+POINTS = """least(100, CASE WHEN k_exact THEN 30 WHEN k_near THEN 15 ELSE 0 END + CASE WHEN k_country THEN 20 ELSE 0 END
+  + CASE WHEN k_size THEN 20 ELSE 0 END + least(k_signals * 10, 20) + CASE WHEN k_named THEN 5 ELSE 0 END
+  + CASE WHEN k_evidence >= 2 THEN 15 WHEN k_evidence = 1 THEN 5 ELSE 0 END)"""
+# The decision table: the first rule that holds decides.
+RULES = [
+    ("NOT k_found", "none"),
+    ("size(k_hard) > 0", "hard_miss"),
+    ("k_evidence < 2 AND k_score >= 35", "enrich"),
+    ("size(k_unknown) > 0 AND k_score >= 55", "unknown_close"),
+    ("size(k_unknown) > 0", "unknown_reject"),
+    ("k_score >= 70 AND k_exact", "accept"),
+    ("k_score >= 55", "close"),
+    ("true", "weak"),
+]
 
 
-def qualification_checks(df: DataFrame) -> DataFrame:
-    """Add one column per qualification check, each evaluated once and never null."""
-    limits, company = F.col("constraints"), F.col("company")
-    role = F.col("person.role_title")
-    exact, adjacent = T.role_matches(F.when(role.isNotNull(), T.norm(role)), F.col("buyer_targets"))
-    wanted, actual = limits["preferred_country"], F.nullif(company["country_code"], F.lit(""))
-    low, high, size = limits["min_company_size"], limits["max_company_size"], company["employee_estimate"]
-    sized = low.isNotNull() | high.isNotNull()
-    outside = F.coalesce(size < low, F.lit(False)) | F.coalesce(size > high, F.lit(False))
-    return df.select(
-        "*",
-        ((F.col("sourcing_status") == "FOUND") & company.isNotNull()).alias("q_found"),
-        exact.alias("q_exact"),
-        (~exact & adjacent).alias("q_adjacent"),
-        (wanted.isNotNull() & F.coalesce(actual == wanted, F.lit(False))).alias("q_country"),
-        (wanted.isNotNull() & F.coalesce(actual != wanted, F.lit(False))).alias("q_country_miss"),
-        (wanted.isNotNull() & actual.isNull()).alias("q_country_unknown"),
-        (sized & size.isNotNull() & ~outside).alias("q_size"),
-        (sized & size.isNotNull() & outside).alias("q_size_miss"),
-        (sized & size.isNull()).alias("q_size_unknown"),
-        F.size("fit_signals").alias("q_signals"),
-        (F.coalesce("person.full_name", F.lit("")) != "").alias("q_named"),
-        F.size("evidence").alias("q_evidence"),
-    )
-
-
-def _points(*pairs: tuple[Column, int]) -> Column:
-    return reduce(lambda a, b: a + b, [F.when(c, p).otherwise(0) for c, p in pairs])
+def _case(pairs: list[tuple[str, str]]) -> str:
+    return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in pairs) + " END"
 
 
 def qualify(df: DataFrame) -> DataFrame:
     """Add ``decision``: score, outcome by the ordered decision table, and its explanation."""
-    q = {c: F.col(f"q_{c}") for c in (
-        "found", "exact", "adjacent", "country", "country_miss", "country_unknown",
-        "size", "size_miss", "size_unknown", "signals", "named", "evidence",
-    )}
-    R = V.REASONS
-    points = _points(
-        (q["exact"], 30), (q["adjacent"], 15), (q["country"], 20), (q["size"], 20), (q["named"], 5),
-        (q["evidence"] >= 2, 15), (q["evidence"] == 1, 5),
-    ) + F.least(q["signals"] * 10, F.lit(20))
-    scored = qualification_checks(df).select(
-        "*",
-        F.least(points, F.lit(100)).alias("q_score"),
-        _texts(
-            (q["exact"], R["role_exact"]),
-            (q["adjacent"], R["role_adjacent"]),
-            (~q["exact"] & ~q["adjacent"], R["role_none"]),
-            (q["country"], R["country_match"]),
-            (q["country_unknown"], R["country_unknown"]),
-            (q["size_unknown"], R["size_unknown"]),
-            (q["size"], R["size_match"]),
-            (q["signals"] > 0, R["signals"]),
-            (q["named"], R["named"]),
-            (q["evidence"] >= 2, R["many_urls"]),
-            (q["evidence"] == 1, R["one_url"]),
-        ).alias("q_reasons"),
-        _texts((q["country_miss"], V.MISS_COUNTRY), (q["size_miss"], V.MISS_SIZE)).alias("q_hard"),
-        _texts((q["country_unknown"], V.MISS_COUNTRY), (q["size_unknown"], V.MISS_SIZE)).alias("q_unknown"),
-        _texts((~q["exact"], V.MISS_PERSONA)).alias("q_close"),
+    q, R = T.quoted, V.REASONS
+    reasons = T.sql_texts(
+        ("k_exact", R["role_exact"]),
+        ("NOT k_exact AND k_near", R["role_adjacent"]),
+        ("NOT k_exact AND NOT k_near", R["role_none"]),
+        ("k_country", R["country_match"]),
+        ("k_country_unknown", R["country_unknown"]),
+        ("k_size_unknown", R["size_unknown"]),
+        ("k_size", R["size_match"]),
+        ("k_signals > 0", R["signals"]),
+        ("k_named", R["named"]),
+        ("k_evidence >= 2", R["many_urls"]),
+        ("k_evidence = 1", R["one_url"]),
     )
-    score, has_unknown = F.col("q_score"), F.size("q_unknown") > 0
-    rule = (
-        F.when(~q["found"], "none")
-        .when(F.size("q_hard") > 0, "hard_miss")
-        .when((q["evidence"] < 2) & (score >= 35), "enrich")
-        .when(has_unknown & (score >= 55), "unknown_close")
-        .when(has_unknown, "unknown_reject")
-        .when((score >= 70) & (F.size("q_close") == 0), "accept")
-        .when(score >= 55, "close")
-        .otherwise("weak")
+    role = F.col("person.role_title")
+    checked = df.withColumn("_role", F.when(role.isNotNull(), T.norm(role))).selectExpr(
+        "*", *[f"{check} AS {name}" for name, check in CHECKS.items()]
     )
-    ruled = scored.withColumn("q_rule", rule)
-    by = F.col("q_rule")
-    outcome = (
-        F.when(by == "enrich", "ENRICH")
-        .when(by == "accept", "ACCEPT")
-        .when(by.isin("unknown_close", "close"), "REJECT_CLOSE_MATCH")
-        .otherwise("REJECT")
+    explained = checked.selectExpr(
+        "*",
+        f"{POINTS} AS k_score",
+        f"{reasons} AS k_reasons",
+        f"{T.sql_texts(('k_country_miss', V.MISS_COUNTRY), ('k_size_miss', V.MISS_SIZE))} AS k_hard",
+        f"{T.sql_texts(('k_country_unknown', V.MISS_COUNTRY), ('k_size_unknown', V.MISS_SIZE))} AS k_unknown",
+        f"{T.sql_texts(('NOT k_exact', V.MISS_PERSONA))} AS k_close",
     )
-    close = by.isin("unknown_close", "close")
+    ruled = explained.selectExpr("*", f"{_case([(c, q(v)) for c, v in RULES])} AS k_rule")
+    close = "k_rule IN ('close', 'unknown_close')"
 
-    def prefixed(prefix: str, values: str) -> Column:
-        return F.transform(values, lambda v: F.concat(F.lit(prefix), v))
+    def listed(prefix: str, values: str) -> str:
+        return f"concat(k_reasons, transform({values}, v -> concat({q(prefix)}, v)))"
 
-    reasons = (
-        F.when(by == "none", F.array(F.lit(V.NO_DOSSIER_REASON)))
-        .when(by == "hard_miss", F.concat("q_reasons", prefixed("hard miss: ", "q_hard")))
-        .when(by == "enrich", F.concat("q_reasons", prefixed("missing evidence: ", "q_unknown")))
-        .when(by == "unknown_reject", F.concat("q_reasons", prefixed("missing hard proof: ", "q_unknown")))
-        .otherwise(F.col("q_reasons"))
-    )
-    summary = reduce(
-        lambda acc, kv: acc.when(by == kv[0], kv[1]), V.SUMMARIES.items(), F.when(by == "none", V.NO_DOSSIER_SUMMARY)
-    )
-    missed = F.concat("q_close", "q_unknown")
-    close_match = F.struct(
-        F.lit(V.CLOSE_MATCH_SUMMARY).alias("summary"),
-        F.when(F.size(missed) > 0, missed).otherwise(F.array(F.lit(V.NO_MISS_NAMED))).alias("missed_filters"),
-        F.col("q_reasons").alias("reasons"),
-    )
-    region = F.coalesce(
-        F.nullif(F.col("company.country_code"), F.lit("")), F.col("constraints.preferred_country"), F.lit("unknown")
-    )
-    lead_type = F.coalesce(F.nullif(F.col("person.role_title"), F.lit("")), F.lit("unknown"))
-    decision = F.struct(
-        outcome.alias("outcome"),
-        F.when(by == "accept", "exact").when(close, "close_match").alias("match_type"),
-        F.when(by == "none", 0).otherwise(score).alias("score"),
-        summary.alias("summary"),
-        reasons.alias("reasons"),
-        F.when(by != "none", lead_type).alias("type"),
-        F.when(by != "none", region).alias("region"),
-        F.when(close, close_match).alias("close_match"),
+    all_reasons = _case(
+        [
+            ("k_rule = 'none'", f"array({q(V.NO_DOSSIER_REASON)})"),
+            ("k_rule = 'hard_miss'", listed("hard miss: ", "k_hard")),
+            ("k_rule = 'enrich'", listed("missing evidence: ", "k_unknown")),
+            ("k_rule = 'unknown_reject'", listed("missing hard proof: ", "k_unknown")),
+            ("true", "k_reasons"),
+        ]
     )
+    summaries = {"none": V.NO_DOSSIER_SUMMARY, **V.SUMMARIES}
+    missed = "concat(k_close, k_unknown)"
+    decision = f"""named_struct(
+      'outcome', CASE WHEN k_rule = 'enrich' THEN 'ENRICH' WHEN k_rule = 'accept' THEN 'ACCEPT'
+        WHEN {close} THEN 'REJECT_CLOSE_MATCH' ELSE 'REJECT' END,
+      'match_type', CASE WHEN k_rule = 'accept' THEN 'exact' WHEN {close} THEN 'close_match' END,
+      'score', CASE WHEN k_rule = 'none' THEN 0 ELSE k_score END,
+      'summary', {_case([(f"k_rule = {q(r)}", q(t)) for r, t in summaries.items()])},
+      'reasons', {all_reasons},
+      'type', CASE WHEN k_rule <> 'none' THEN coalesce(nullif(person.role_title, ''), 'unknown') END,
+      'region', CASE WHEN k_rule <> 'none' THEN coalesce({_COUNTRY}, constraints.preferred_country, 'unknown') END,
+      'close_match', CASE WHEN {close} THEN named_struct('summary', {q(V.CLOSE_MATCH_SUMMARY)},
+        'missed_filters', CASE WHEN size({missed}) > 0 THEN {missed} ELSE array({q(V.NO_MISS_NAMED)}) END,
+        'reasons', k_reasons) END)"""
     kept = [c for c in df.columns if c != "decision"]
-    return ruled.select(*kept, decision.cast(S.DECISION).alias("decision"))
+    return ruled.select(*kept, F.expr(decision).cast(S.DECISION).alias("decision"))
 
 
 def merge_reviews(decided: DataFrame, reviews: DataFrame, key: list[str]) -> DataFrame:
@@ -235,11 +214,13 @@ def ground(work: DataFrame, claims: DataFrame, pages: DataFrame, key: list[str])
     cleaned = T.clean_company(raw_name)
     sound = cleaned.isNotNull() & (T.words(cleaned) <= 8) & ~raw_name.rlike(r"[{}]")
     first_url = F.coalesce(F.get("_support", F.lit(0))["url"], F.lit(""))
+    offered_text = F.expr("array_join(transform(items, i -> concat(i.title, ' ', i.snippet)), ' ')")
+    df = df.withColumns({"_all_norm": T.norm(F.col("_all_text")), "_offered_norm": T.norm(offered_text)})
     named = df.select(
         "*",
         F.when(sound, cleaned).otherwise(base["name"]).alias("_name"),
         T.host(first_url).alias("_host"),
-        T.country_code(F.col("_all_text")).alias("_supported_country"),
+        T.country_of("_all_norm").alias("_supported_country"),
     )
     hidden = reduce(lambda a, b: a | b, [F.endswith(F.col("_host"), F.lit(h)) for h in V.NO_WEBSITE_HOST_SUFFIXES])
     full_name = F.coalesce(c["person"]["full_name"], F.lit(""))
@@ -249,11 +230,10 @@ def ground(work: DataFrame, claims: DataFrame, pages: DataFrame, key: list[str])
     claimed_signals = F.filter(
         T.dedupe_norm(F.coalesce(c["fit_signals"], T.strings([]))), lambda s: F.array_contains(themes, s)
     )
-    offered_text = F.array_join(F.transform("items", lambda i: F.concat(i["title"], F.lit(" "), i["snippet"])), " ")
     signals = (
         F.when(F.size(claimed_signals) > 0, claimed_signals)
         .when(F.size("fit_signals") > 0, F.col("fit_signals"))
-        .otherwise(E.fit_signals(themes, E.theme_hits(T.norm(offered_text))))
+        .otherwise(E.fit_signals(themes, E.theme_hits("_offered_norm")))
     )
     country = F.coalesce(
         F.col("_supported_country"),

@@ -19,130 +19,78 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(value: Column, *choices: str, otherwise: str = "") -> Column:
-    chain = F.when(value == 0, choices[0])
-    for n, choice in enumerate(choices[1:], 1):
-        chain = chain.when(value == n, choice)
-    return chain.otherwise(otherwise)
-
-
-def _text(c) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("string")
+BRIEFS_SQL = """
+SELECT c_custkey AS brief_id,
+  concat('find ', CASE WHEN c_custkey % 97 = 96 THEN 25 ELSE 1 + c_custkey % 5 END, ' leads',
+    CASE c_custkey % 6 WHEN 0 THEN ' CTO' WHEN 1 THEN ' founder' WHEN 2 THEN ' head of engineering'
+      WHEN 3 THEN ' technical recruiter' WHEN 4 THEN ' CEO or CTO' ELSE '' END,
+    CASE c_nationkey % 6 WHEN 0 THEN ' in Spain' WHEN 1 THEN ' in France' WHEN 2 THEN ' in Germany'
+      WHEN 3 THEN ' in Portugal' WHEN 4 THEN ' in the UK' ELSE '' END,
+    CASE c_custkey % 4
+      WHEN 0 THEN concat(' between ', 5 + c_custkey % 20, ' and ', 60 + c_custkey % 90, ' employees')
+      WHEN 1 THEN concat(' under ', 40 + c_custkey % 100, ' employees')
+      WHEN 2 THEN concat(' over ', 10 + c_custkey % 50, ' employees') ELSE '' END,
+    CASE c_mktsegment WHEN 'MACHINERY' THEN ' for automation' WHEN 'BUILDING' THEN ' for genai'
+      WHEN 'AUTOMOBILE' THEN ' for agentic workflow' WHEN 'FURNITURE' THEN ' with llm and software' ELSE '' END) AS user_text,
+  cast(NULL AS STRING) AS request_id,
+  '{{}}' AS meta
+FROM {customer}"""
+
+RESULTS_SQL = """
+WITH e AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, p_name, p_brand, p_size, p_type,
+    CASE s_nationkey % 5 WHEN 0 THEN 'Spain' WHEN 1 THEN 'France' WHEN 2 THEN 'Germany' WHEN 3 THEN 'Portugal'
+      ELSE 'United Kingdom' END AS place,
+    CASE l_partkey % 6 WHEN 0 THEN 'AI' WHEN 1 THEN 'GenAI' WHEN 2 THEN 'automation' WHEN 3 THEN 'AI agents'
+      WHEN 4 THEN 'AI software' ELSE 'software company' END AS term
+  FROM {lineitem} JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, p_name, p_type, p_size, place,
+  CASE l_orderkey % 3
+    WHEN 0 THEN concat('site:eu-startups.com/directory/ ', place, ' ', term, ' software')
+    WHEN 1 THEN concat(place, ' startup ', term, ' software company')
+    ELSE concat(place, ' cto ', term, ' software startup') END AS query,
+  CASE l_suppkey % 8
+    WHEN 0 THEN concat('https://www.eu-startups.com/directory/', replace(p_name, ' ', '-'), '-', l_partkey, '/')
+    WHEN 1 THEN concat('https://linkedin.com/company/', replace(p_name, ' ', '_'), l_partkey)
+    WHEN 2 THEN concat('https://x.com/', replace(p_name, ' ', ''), '/', l_orderkey)
+    WHEN 3 THEN concat('https://WWW.', replace(p_name, ' ', '_'), l_suppkey, '.dev:8443/team')
+    ELSE concat('https://www.', replace(p_name, ' ', ''), l_suppkey, '.dev/blog/', l_orderkey) END AS url,
+  concat(p_name, CASE l_linenumber % 3 WHEN 0 THEN ' | team' WHEN 1 THEN ' - top startups' ELSE ' news' END) AS title,
+  concat(
+    CASE l_partkey % 4 WHEN 0 THEN concat('Company: ', p_name, ' | ') WHEN 1 THEN concat('Company: ', p_name, '_', p_brand, ' | ')
+      WHEN 2 THEN 'Company: a maker of many small and large parts for each and every buyer | ' ELSE '' END,
+    CASE l_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN concat('Persona: Eva ', l_suppkey, ' | ')
+      ELSE concat('Person: Ana ', l_suppkey, ' | ') END,
+    CASE l_linenumber % 6 WHEN 0 THEN 'Role: CTO | ' WHEN 1 THEN 'Role: Engineering Manager | ' WHEN 2 THEN 'Role: Director of Sales | '
+      WHEN 3 THEN 'led by the founder | ' WHEN 4 THEN '' ELSE 'Role: Talent Lead | ' END,
+    CASE l_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'Country: Unknown | ' ELSE concat('Country: ', place, ' | ') END,
+    CASE l_partkey % 5 WHEN 0 THEN '' ELSE concat('Employees: ', p_size * 3, ' | ') END,
+    CASE l_suppkey % 4 WHEN 0 THEN 'see https://site.example.com/a). GenAI automation' WHEN 1 THEN 'agentic workflow'
+      WHEN 2 THEN 'machine learning engineering' ELSE 'parts' END) AS snippet,
+  'fixture' AS source_type
+FROM e"""
+
+PAGE_TEXT_SQL = """concat(p_type, ' page | Employees: ', p_size * 3, ' | Country: ', place, ' | Role: ',
+  CASE WHEN p_size > 25 THEN 'CTO' ELSE 'Founder' END, ' | AI engineering automation https://', replace(p_name, ' ', ''),
+  '.example.org/about.')"""
+
+
+def _run(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFrame:
+    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in tables})
 
 
 def briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One brief per customer."""
-    key, nation = F.col("c_custkey"), F.col("c_nationkey")
-    count = F.when(key % 97 == 96, F.lit(25)).otherwise(1 + key % 5)
-    size = (
-        F.when(
-            key % 4 == 0,
-            F.concat(F.lit(" between "), _text(5 + key % 20), F.lit(" and "), _text(60 + key % 90), F.lit(" employees")),
-        )
-        .when(key % 4 == 1, F.concat(F.lit(" under "), _text(40 + key % 100), F.lit(" employees")))
-        .when(key % 4 == 2, F.concat(F.lit(" over "), _text(10 + key % 50), F.lit(" employees")))
-        .otherwise("")
-    )
-    segment = F.col("c_mktsegment")
-    theme = (
-        F.when(segment == "MACHINERY", " for automation")
-        .when(segment == "BUILDING", " for genai")
-        .when(segment == "AUTOMOBILE", " for agentic workflow")
-        .when(segment == "FURNITURE", " with llm and software")
-        .otherwise("")
-    )
-    role = _pick(key % 6, " CTO", " founder", " head of engineering", " technical recruiter", " CEO or CTO")
-    place = _pick(nation % 6, " in Spain", " in France", " in Germany", " in Portugal", " in the UK")
-    return table(spark, sf_dir, "customer").select(
-        key.alias("brief_id"),
-        F.concat(F.lit("find "), _text(count), F.lit(" leads"), role, place, size, theme).alias("user_text"),
-        F.lit(None).cast("string").alias("request_id"),
-        F.lit("{}").alias("meta"),
-    )
+    return _run(spark, sf_dir, BRIEFS_SQL, "customer")
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One unranked search result per line item, with its order columns and line attributes."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        *ORDER, "l_returnflag", "l_linestatus"
-    )
-    parts = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_size", "p_type"
-    )
-    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    order, line, part, supp = (F.col(c) for c in ORDER)
-    name = F.col("p_name")
-    rows = lines.join(parts, "l_partkey").join(suppliers, "l_suppkey")
-    rows = rows.withColumns(
-        {
-            "place": _pick(F.col("s_nationkey") % 5, "Spain", "France", "Germany", "Portugal", otherwise="United Kingdom"),
-            "term": _pick(
-                part % 6, "AI", "GenAI", "automation", "AI agents", "AI software", otherwise="software company"
-            ),
-        }
-    )
-    query = (
-        F.when(order % 3 == 0, F.concat(F.lit("site:eu-startups.com/directory/ "), "place", F.lit(" "), "term", F.lit(" software")))
-        .when(order % 3 == 1, F.concat("place", F.lit(" startup "), "term", F.lit(" software company")))
-        .otherwise(F.concat("place", F.lit(" cto "), "term", F.lit(" software startup")))
-    )
-    dense = F.replace(name, F.lit(" "), F.lit(""))
-    snake = F.replace(name, F.lit(" "), F.lit("_"))
-    dashed = F.replace(name, F.lit(" "), F.lit("-"))
-    url = (
-        F.when(supp % 8 == 0, F.concat(F.lit("https://www.eu-startups.com/directory/"), dashed, F.lit("-"), _text(part), F.lit("/")))
-        .when(supp % 8 == 1, F.concat(F.lit("https://linkedin.com/company/"), snake, _text(part)))
-        .when(supp % 8 == 2, F.concat(F.lit("https://x.com/"), dense, F.lit("/"), _text(order)))
-        .when(supp % 8 == 3, F.concat(F.lit("https://WWW."), snake, _text(supp), F.lit(".dev:8443/team")))
-        .otherwise(F.concat(F.lit("https://www."), dense, _text(supp), F.lit(".dev/blog/"), _text(order)))
-    )
-    company = (
-        F.when(part % 4 == 0, F.concat(F.lit("Company: "), name, F.lit(" | ")))
-        .when(part % 4 == 1, F.concat(F.lit("Company: "), name, F.lit("_"), "p_brand", F.lit(" | ")))
-        .when(part % 4 == 2, F.lit("Company: a maker of many small and large parts for each and every buyer | "))
-        .otherwise("")
-    )
-    person = (
-        F.when(order % 5 == 0, "")
-        .when(order % 5 == 1, F.concat(F.lit("Persona: Eva "), _text(supp), F.lit(" | ")))
-        .otherwise(F.concat(F.lit("Person: Ana "), _text(supp), F.lit(" | ")))
-    )
-    role = _pick(
-        line % 6, "Role: CTO | ", "Role: Engineering Manager | ", "Role: Director of Sales | ",
-        "led by the founder | ", "", otherwise="Role: Talent Lead | ",
-    )
-    country = (
-        F.when(order % 7 == 0, "").when(order % 7 == 1, "Country: Unknown | ")
-        .otherwise(F.concat(F.lit("Country: "), "place", F.lit(" | ")))
-    )
-    staff = F.when(part % 5 == 0, "").otherwise(
-        F.concat(F.lit("Employees: "), _text(F.col("p_size") * 3), F.lit(" | "))
-    )
-    topic = _pick(
-        supp % 4, "see https://site.example.com/a). GenAI automation", "agentic workflow",
-        "machine learning engineering", otherwise="parts",
-    )
-    return rows.select(
-        *ORDER,
-        "l_returnflag",
-        "l_linestatus",
-        "p_name",
-        "p_type",
-        "p_size",
-        "place",
-        query.alias("query"),
-        url.alias("url"),
-        F.concat(name, _pick(line % 3, " | team", " - top startups", otherwise=" news")).alias("title"),
-        F.concat(company, person, role, country, staff, topic).alias("snippet"),
-        F.lit("fixture").alias("source_type"),
-    )
+    return _run(spark, sf_dir, RESULTS_SQL, "lineitem", "part", "supplier")
 
 
 def _single() -> Column:
-    cond = F.lit(False)
-    for pattern in SINGLE_RESULT_QUERIES:
-        cond = cond | F.col("query").like(pattern)
-    return cond
+    return F.expr(" OR ".join(f"query LIKE '{p}'" for p in SINGLE_RESULT_QUERIES))
 
 
 def evidence(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -169,11 +117,5 @@ def all_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page text per evidence URL of open line items; the least text where lines share a URL."""
-    rows = results(spark, sf_dir).filter(F.col("l_linestatus") == "O")
-    text = F.concat(
-        "p_type", F.lit(" page | Employees: "), _text(F.col("p_size") * 3), F.lit(" | Country: "), "place",
-        F.lit(" | Role: "), F.when(F.col("p_size") > 25, "CTO").otherwise("Founder"),
-        F.lit(" | AI engineering automation https://"), F.replace("p_name", F.lit(" "), F.lit("")),
-        F.lit(".example.org/about."),
-    )
-    return rows.groupBy("url").agg(F.min(text).alias("text"))
+    rows = results(spark, sf_dir).filter("l_linestatus = 'O'")
+    return rows.groupBy("url").agg(F.min(F.expr(PAGE_TEXT_SQL)).alias("text"))
