@@ -339,21 +339,21 @@ def follow_up(
     """
     asked = dossiers.withColumn(
         "_follow_query", F.when(needs_follow_up(), follow_up_query(dossiers))
-    ).withColumn("_name", F.col("company.name"))
+    ).withColumn("asked_company", F.col("company.name"))
     questions = (
         asked.filter(F.col("_follow_query").isNotNull())
-        .select("scope", F.col("_follow_query").alias("query"), "_name")
+        .select("scope", F.col("_follow_query").alias("query"), "asked_company")
         .distinct()
     )
     rows = usable_results(retrieve(questions, evidence, k))
     if visited is not None:
         rows = unvisited(rows, visited)
-    group = ["scope", "query", "_name"]
+    group = ["scope", "query", "asked_company"]
     paged = with_page_text(rows, pages, group + ["rank"])
     text = F.concat_ws(" ", "title", "snippet", "page_text")
-    mentioning = paged.filter(F.contains(F.lower(text), F.lower(F.col("_name"))))
+    mentioning = paged.filter(F.contains(F.lower(text), F.lower(F.col("asked_company"))))
     lists = _parsed_lists(mentioning, text, group).withColumnRenamed("query", "_follow_query")
-    found = _with_parsed(asked, lists, ["scope", "_follow_query", "_name"], key)
+    found = _with_parsed(asked, lists, ["scope", "_follow_query", "asked_company"], key)
 
     def is_new(p: Column) -> Column:
         fresh = ~F.exists("evidence", lambda e: e["url"] == p["item"]["url"])

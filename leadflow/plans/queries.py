@@ -67,11 +67,15 @@ def dossier_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def decided_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Dossiers decided, drafted and addressed: one run per brief, one iteration per query."""
-    drafted = O.draft(K.qualify(dossier_rows(spark, sf)))
-    return drafted.withColumns(
+    """Dossiers decided, drafted and addressed: one run per brief, one iteration per query.
+
+    A stored table, since several outputs filter on its computed decisions.
+    """
+    decided = handover(K.qualify(dossier_rows(spark, sf).drop("items")), "decided")
+    addressed = O.draft(decided).withColumns(
         {"run_id": N.derived_id("run", F.col("brief_id")), "idx": (F.col("pos") + 1).cast("int")}
     )
+    return handover(addressed, "drafted")
 
 
 def flat_dossier(df: DataFrame, *extra: str) -> DataFrame:
@@ -420,7 +424,8 @@ def follow_up(spark: SparkSession, sf: str) -> DataFrame:
 def enrich_pass(spark: SparkSession, sf: str) -> DataFrame:
     """Enrichment of the dossiers whose decision asks for it."""
     stored = handover(dossier_rows(spark, sf), "dossiers")
-    asking = handover(K.qualify(stored).filter(F.col("decision.outcome") == "ENRICH").drop("decision"), "enrich")
+    decided = handover(K.qualify(stored), "decided")
+    asking = decided.filter(F.col("decision.outcome") == "ENRICH").drop("decision")
     return flat_dossier(D.enrich(asking, second_search(stored), X.pages(spark, sf), KEY))
 
 
@@ -436,9 +441,7 @@ def gap_fill(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def ground_external(spark: SparkSession, sf: str) -> DataFrame:
     """External dossiers checked against the evidence offered to them."""
-    items = handover(work_with_items(spark, sf), "items")
-    rule = D.build_dossiers(items, X.pages(spark, sf), KEY)
-    both = handover(rule.join(items.select(*KEY, "items"), KEY), "offered")
+    both = handover(dossier_rows(spark, sf), "offered")
     n = F.col("brief_id") + F.col("pos")
     urls = F.transform("items", lambda i: i["url"])
     claim = F.struct(
@@ -562,7 +565,7 @@ def shortlist_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def route_counts(spark: SparkSession, sf: str) -> DataFrame:
-    tables = R.route(handover(decided_rows(spark, sf), "decided"))
+    tables = R.route(decided_rows(spark, sf))
     counted = [
         df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
         for name, df in tables.items()
@@ -630,13 +633,13 @@ def stored_memory(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def memory_merge(spark: SparkSession, sf: str) -> DataFrame:
-    decided = handover(decided_rows(spark, sf), "decided")
+    decided = decided_rows(spark, sf)
     return M.merge_memory(stored_memory(spark, sf), R.memory_deltas(decided))
 
 
 @query
 def memory_reset(spark: SparkSession, sf: str) -> DataFrame:
-    decided = handover(decided_rows(spark, sf), "decided")
+    decided = decided_rows(spark, sf)
     merged = M.merge_memory(stored_memory(spark, sf), R.memory_deltas(decided))
     return M.reset_memory(merged, ["queryHistory", "visitedUrls", "bogus"]).select("scope", "kind", "value")
 
@@ -662,7 +665,7 @@ def upsert_runs(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def promote(spark: SparkSession, sf: str) -> DataFrame:
     """One selection per shortlist; some name an option that does not exist."""
-    decided = handover(decided_rows(spark, sf), "decided")
+    decided = decided_rows(spark, sf)
     options = R.shortlist_options(decided)
     runs = decided.select("run_id", "scope", F.lit("no_result").alias("status")).distinct()
     shortlists = options.select("shortlist_id", "run_id", F.lit("pending").alias("status")).distinct()
