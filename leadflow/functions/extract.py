@@ -99,11 +99,12 @@ def parse_candidates(
         F.when(F.col("_role") != "", T.strip(F.col("_role")))
         .when(F.col("_role_word") != "", F.col("_role_word"))
         .alias("_role"),
-        F.when(F.col("_company") != "", T.clean_company(F.col("_company"))).alias("_labelled"),
-        T.domain_company(u, F.col("_host")).alias("_by_url"),
+        F.when(F.col("_company") != "", T.company_letters(F.col("_company"))).alias("_labelled"),
+        T.domain_letters(u, F.col("_host")).alias("_by_url"),
         T.norm(F.when(F.col("_country") != "", F.col("_country")).otherwise(t)).alias("_place"),
         number(F.col("_employees")).alias("_employees"),
-    ).withColumn("_name", F.coalesce("_labelled", "_by_url"))
+    ).withColumns({"_labelled": T.company_case(F.col("_labelled")), "_by_url": T.company_case(F.col("_by_url"))})
+    values = values.withColumn("_name", F.coalesce("_labelled", "_by_url"))
     first_line = F.regexp_extract(t, V.FIRST_LINE, 0)
     final_name = F.when(
         T.is_long_name(F.col("_name")), F.coalesce(F.col("_by_url"), T.title_company(first_line))

@@ -136,14 +136,27 @@ def _title_case(c: Column) -> Column:
     return F.replace(F.initcap(marked), F.lit(_NAME_BREAK), F.lit(""))
 
 
-def clean_company(c: Column) -> Column:
-    """Printable company name, or null when fewer than two characters remain."""
+def company_letters(c: Column) -> Column:
+    """Name reduced to letters, digits, dots, ampersands and single spaces, noise words dropped."""
     plain = F.regexp_replace(c, r"[_\-]+", " ")
     plain = F.regexp_replace(plain, r"[^A-Za-z0-9.& ]+", " ")
     plain = F.regexp_replace(plain, V.NAME_NOISE_WORDS, " ")
-    plain = F.trim(F.regexp_replace(plain, " +", " "))
-    all_lower = plain.rlike("[a-z]") & ~plain.rlike("[A-Z]")
-    return F.when(F.length(plain) >= 2, F.when(all_lower, _title_case(plain)).otherwise(plain))
+    return F.trim(F.regexp_replace(plain, " +", " "))
+
+
+def company_case(letters: Column) -> Column:
+    """Title case for all-lower names; null when fewer than two characters."""
+    all_lower = letters.rlike("[a-z]") & ~letters.rlike("[A-Z]")
+    return F.when(F.length(letters) >= 2, F.when(all_lower, _title_case(letters)).otherwise(letters))
+
+
+def clean_company(c: Column) -> Column:
+    """Printable company name, or null when fewer than two characters remain.
+
+    On hot paths select :func:`company_letters` first and :func:`company_case` of it after, so that
+    the patterns run once.
+    """
+    return company_case(company_letters(c))
 
 
 def is_long_name(name: Column) -> Column:
@@ -181,14 +194,18 @@ def url_path_parts(url: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda p: p != "")
 
 
-def domain_company(url: Column, url_host: Column) -> Column:
-    """Company named by a URL: directory hosts use the path, other hosts their first label."""
+def domain_letters(url: Column, url_host: Column) -> Column:
+    """Letters of the company a URL names: directory hosts use the path, others their first label."""
     parts = url_path_parts(url)
     after = F.array_position(parts, "directory")
     segment = F.coalesce(F.when(after > 0, F.get(parts, after)), F.try_element_at(parts, F.lit(-1)))
     label = F.substring_index(url_host, ".", 1)
     named = F.when(one_of(url_host, V.DIRECTORY_HOSTS), segment).otherwise(label)
-    return F.when(url_host != "", clean_company(named))
+    return F.when(url_host != "", company_letters(named))
+
+
+def domain_company(url: Column, url_host: Column) -> Column:
+    return company_case(domain_letters(url, url_host))
 
 
 def official_website(text: Column, url: Column, url_host: Column) -> Column:

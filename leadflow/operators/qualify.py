@@ -211,7 +211,8 @@ def ground(work: DataFrame, claims: DataFrame, pages: DataFrame, key: list[str])
 
     base = F.col("company")
     raw_name = c["company"]["name"]
-    cleaned = T.clean_company(raw_name)
+    df = df.withColumn("_letters", T.company_letters(raw_name)).withColumn("_cleaned", T.company_case(F.col("_letters")))
+    cleaned = F.col("_cleaned")
     sound = cleaned.isNotNull() & (T.words(cleaned) <= 8) & ~raw_name.rlike(r"[{}]")
     first_url = F.coalesce(F.get("_support", F.lit(0))["url"], F.lit(""))
     offered_text = F.expr("array_join(transform(items, i -> concat(i.title, ' ', i.snippet)), ' ')")
@@ -246,8 +247,10 @@ def ground(work: DataFrame, claims: DataFrame, pages: DataFrame, key: list[str])
         country.alias("country_code"),
         F.coalesce("_employees", base["employee_estimate"]).alias("employee_estimate"),
     )
+    # Stored, so that the filter reads the cleaned name instead of repeating its patterns.
+    named = handover(named.withColumn("_usable", T.usable_company(F.col("_name"))), "claims")
     return (
-        named.filter(T.usable_company(F.col("_name")))
+        named.filter("_usable")
         .withColumn("_person", person)
         .select(
             *key,

@@ -25,6 +25,7 @@ from leadflow.operators import qualify as K
 from leadflow.operators import route as R
 from leadflow.operators.shared import handover
 from leadflow.plans import fixtures as X
+from leadflow.plans.campaign import run_campaign
 from leadflow.sources import briefs as B
 from leadflow.sources import evidence as EV
 from leadflow.sources import tables as TB
@@ -713,3 +714,21 @@ def outcome_counts(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("candidates"),
         F.sum("decision.score").alias("total_score"),
     )
+
+
+def campaign_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    counters = spark.createDataFrame([], S.COUNTERS)
+    evidence = handover(X.evidence(spark, sf, K_RESULTS), "evidence")
+    pages = handover(X.pages(spark, sf), "pages")
+    memory = spark.createDataFrame([], S.MEMORY)
+    return run_campaign(requests(spark, sf), evidence, pages, memory, counters)
+
+
+@query
+def campaign(spark: SparkSession, sf: str) -> DataFrame:
+    """Every brief run to its end: attempts with memory, follow-up and enrichment until the target or
+    the budget is reached."""
+    return campaign_tables(spark, sf)["runs"].select(
+        "run_id", "brief_id", "status", "completed_reason", "applied_relaxation_stage", "iterations",
+        "attempts", "enriched", "searches", "accepted", "shortlisted", "shortlist_id",
+    )

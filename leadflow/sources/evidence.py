@@ -38,8 +38,8 @@ def rank_results(results: DataFrame, order: list[str], k: int) -> DataFrame:
     shuffle and a query with any number of results never meets in one task.
     """
     by_query = Window.partitionBy("query").orderBy(*order)
-    ranked = results.withColumn("rank", F.row_number().over(by_query) - 1)
-    return ranked.filter(F.col("rank") < k)
+    numbered = results.withColumn("_n", F.row_number().over(by_query)).filter(F.col("_n") <= k)
+    return numbered.withColumn("rank", F.col("_n") - 1).drop("_n")
 
 
 def retrieve(questions: DataFrame, evidence: DataFrame, k: int = V.MAX_RESULTS) -> DataFrame:
