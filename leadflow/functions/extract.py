@@ -73,23 +73,35 @@ def fit_signals(themes: Column, hits: Column) -> Column:
     return F.array_distinct(F.filter(themes, lambda t: F.array_contains(hits, t)))
 
 
+def _labelled(text: str, pattern: str) -> str:
+    """SQL for the value a label pattern captures, '' without a match.
+
+    A substring test on the upper-case text decides whether the pattern is tried at all: most texts
+    lack most labels, and case-insensitive alternations are slow to scan.
+    """
+    words = " OR ".join(f"contains(_upper, {T.quoted(w)})" for w in V.LABEL_WORDS[pattern])
+    return f"CASE WHEN {words} THEN regexp_extract({text}, {T.quoted(pattern)}, 1) ELSE '' END"
+
+
 def parse_candidates(
     df: DataFrame, text: str, url: str, person: str = "person", company: str = "company"
 ) -> DataFrame:
     """Add ``person`` and ``company`` structs read from ``text`` (found at ``url``).
 
-    Each label pattern runs once per row; later steps only use its captured value.
+    Each label pattern runs at most once per row; later steps only use its captured value.
     """
     t, u = F.col(text), F.col(url)
     kept = df.columns
-    labels = df.select(
-        "*",
-        F.regexp_extract(t, V.PERSON_LABEL, 1).alias("_person"),
-        F.regexp_extract(t, V.ROLE_LABEL, 1).alias("_role"),
-        F.regexp_extract(t, V.ROLE_WORD_PATTERN, 1).alias("_role_word"),
-        F.regexp_extract(t, V.COMPANY_LABEL, 1).alias("_company"),
-        F.regexp_extract(t, V.COUNTRY_LABEL, 1).alias("_country"),
-        F.regexp_extract(t, V.EMPLOYEES_LABEL, 1).alias("_employees"),
+    # A dotted capital I counts as an i when case is ignored, but has no other upper case.
+    upper = df.withColumn("_upper", F.upper(F.translate(t, "İ", "I")))
+    labels = upper.select(
+        *kept,
+        "_upper",
+        F.expr(_labelled(text, V.PERSON_LABEL)).alias("_person"),
+        F.expr(_labelled(text, V.ROLE_LABEL)).alias("_role"),
+        F.expr(_labelled(text, V.COMPANY_LABEL)).alias("_company"),
+        F.expr(_labelled(text, V.COUNTRY_LABEL)).alias("_country"),
+        F.expr(_labelled(text, V.EMPLOYEES_LABEL)).alias("_employees"),
         T.host(u).alias("_host"),
     )
     values = labels.select(
@@ -97,7 +109,7 @@ def parse_candidates(
         "_host",
         F.when(F.col("_person") != "", T.strip(F.col("_person"))).alias("_person"),
         F.when(F.col("_role") != "", T.strip(F.col("_role")))
-        .when(F.col("_role_word") != "", F.col("_role_word"))
+        .otherwise(F.expr(f"nullif({_labelled(text, V.ROLE_WORD_PATTERN)}, '')"))
         .alias("_role"),
         F.when(F.col("_company") != "", T.company_letters(F.col("_company"))).alias("_labelled"),
         T.domain_letters(u, F.col("_host")).alias("_by_url"),

@@ -132,21 +132,21 @@ def dedupe_norm(values: Column) -> Column:
 def _title_case(c: Column) -> Column:
     # initcap starts a word at a space only; mark the other places where a letter follows a
     # non-letter with a removable break.
-    marked = F.regexp_replace(c, r"(?<=[^A-Za-z ])(?=[a-z])", _NAME_BREAK)
+    marked = F.regexp_replace(c, r"(?<=[^\p{Alpha} ])(?=\p{Lower})", _NAME_BREAK)
     return F.replace(F.initcap(marked), F.lit(_NAME_BREAK), F.lit(""))
 
 
 def company_letters(c: Column) -> Column:
     """Name reduced to letters, digits, dots, ampersands and single spaces, noise words dropped."""
-    plain = F.regexp_replace(c, r"[_\-]+", " ")
-    plain = F.regexp_replace(plain, r"[^A-Za-z0-9.& ]+", " ")
+    # POSIX classes (ASCII here) scan several times faster than negated letter ranges.
+    plain = F.regexp_replace(c, r"[^\p{Alnum}.\& ]+", " ")
     plain = F.regexp_replace(plain, V.NAME_NOISE_WORDS, " ")
-    return F.trim(F.regexp_replace(plain, " +", " "))
+    return F.trim(F.regexp_replace(plain, " {2,}", " "))
 
 
 def company_case(letters: Column) -> Column:
     """Title case for all-lower names; null when fewer than two characters."""
-    all_lower = letters.rlike("[a-z]") & ~letters.rlike("[A-Z]")
+    all_lower = letters.rlike(r"\p{Lower}") & ~letters.rlike(r"\p{Upper}")
     return F.when(F.length(letters) >= 2, F.when(all_lower, _title_case(letters)).otherwise(letters))
 
 
@@ -172,7 +172,9 @@ def title_company(title: Column) -> Column:
 # ---------------------------------------------------------------- URLs
 
 _AUTHORITY = r"^[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
-_HOST = r"^[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#]*@)?(?:\[([^\]/?#]*)\]|([^/?#:@\[\]]*))"
+# One pass over an authority without user info: bracketed address, or name with ``www.`` and port
+# cut off; anything else (unbalanced brackets) leaves nothing.
+_HOST_OF_AUTHORITY = r"(?s)^\[([^\[\]]*)\].*$|^(?:www\.)?([^:\[\]]*)(?::[^\[\]]*)?$|^.*$"
 _PATH = r"^[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
 
 
@@ -184,8 +186,8 @@ def well_formed(url: Column) -> Column:
 
 def host(url: Column) -> Column:
     """Lower-case host without user info, port and one leading ``www.``; '' if there is none."""
-    raw = F.concat(F.regexp_extract(url, _HOST, 1), F.regexp_extract(url, _HOST, 2))
-    return F.when(well_formed(url), F.regexp_replace(F.lower(raw), r"^www\.", "")).otherwise("")
+    server = F.substring_index(F.regexp_extract(url, _AUTHORITY, 1), "@", -1)
+    return F.regexp_replace(F.lower(server), _HOST_OF_AUTHORITY, "$1$2")
 
 
 def url_path_parts(url: Column) -> Column:
@@ -211,12 +213,14 @@ def domain_company(url: Column, url_host: Column) -> Column:
 def official_website(text: Column, url: Column, url_host: Column) -> Column:
     """First URL in the text that is neither on the source host nor on a directory; else the
     source URL unless its host is a directory."""
-    listed = F.filter(
-        F.regexp_extract_all(text, F.lit(V.URL_IN_TEXT), F.lit(0)),
-        lambda u: ~one_of(host(u), V.DIRECTORY_HOSTS + [""]) & (host(u) != url_host),
+    found = F.transform(
+        F.regexp_extract_all(text, F.lit(V.URL_IN_TEXT), F.lit(0)), lambda u: F.struct(u.alias("u"), host(u).alias("h"))
     )
+    other = F.filter(found, lambda x: ~one_of(x["h"], V.DIRECTORY_HOSTS + [""]) & (x["h"] != url_host))
     own = F.when(~one_of(url_host, V.DIRECTORY_HOSTS + [""]), url)
-    return F.coalesce(F.rtrim(F.get(listed, F.lit(0)), F.lit(".,)")), own)
+    # Most texts name no URL at all: a plain substring test spares them the pattern.
+    listed = F.when(F.contains(text, F.lit("://")), F.get(other, F.lit(0))["u"])
+    return F.coalesce(F.rtrim(listed, F.lit(".,)")), own)
 
 
 def usable_url(url: Column) -> Column:

@@ -9,14 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadflow.operators.shared import over_all_cores
 from leadflow.sources.evidence import rank_results
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 SINGLE_RESULT_QUERIES = ["%AI agents software", "%startup automation software company", "%cto AI software startup"]
 
 
+CPU_HEAVY = ["customer", "lineitem", "pages", "documents"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return over_all_cores(df) if name in CPU_HEAVY else df
 
 
 BRIEFS_SQL = """

@@ -117,6 +117,16 @@ PERSON_LABEL = r"(?iU)(?:person|persona|contact)\s*[:\-]?\s*([^\n|]+)"
 ROLE_LABEL = r"(?iU)(?:role|puesto|title|cargo)\s*[:\-]?\s*([^\n|]+)"
 COMPANY_LABEL = r"(?iU)(?:company|empresa)\s*[:\-]?\s*([^\n|]+)"
 
+# Upper-case words without which the pattern of the same name cannot match.
+LABEL_WORDS = {
+    PERSON_LABEL: ["PERSON", "CONTACT"],
+    ROLE_LABEL: ["ROLE", "PUESTO", "TITLE", "CARGO"],
+    COMPANY_LABEL: ["COMPANY", "EMPRESA"],
+    COUNTRY_LABEL: ["COUNTRY", "PAIS", "PAÍS"],
+    EMPLOYEES_LABEL: ["EMPLOYEES", "EMPLEADOS"],
+    ROLE_WORD_PATTERN: [word.upper() for word in ROLE_WORDS],
+}
+
 NAME_NOISE_WORDS = r"(?i)\b(page|directory|startups?|companies?)\b"
 LISTING_TITLE_WORDS = r"(?iU)\b(startups?|companies?|jobs?|rankings?)\b"
 TITLE_SEPARATOR = r"(?U)\s+[|\-]\s+"
