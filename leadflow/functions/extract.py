@@ -117,7 +117,7 @@ def parse_candidates(
         number(F.col("_employees")).alias("_employees"),
     ).withColumns({"_labelled": T.company_case(F.col("_labelled")), "_by_url": T.company_case(F.col("_by_url"))})
     values = values.withColumn("_name", F.coalesce("_labelled", "_by_url"))
-    first_line = F.regexp_extract(t, V.FIRST_LINE, 0)
+    first_line = F.get(F.split(t, V.LINE_BREAK, 2), F.lit(0))
     final_name = F.when(
         T.is_long_name(F.col("_name")), F.coalesce(F.col("_by_url"), T.title_company(first_line))
     ).otherwise(F.col("_name"))

@@ -131,7 +131,7 @@ NAME_NOISE_WORDS = r"(?i)\b(page|directory|startups?|companies?)\b"
 LISTING_TITLE_WORDS = r"(?iU)\b(startups?|companies?|jobs?|rankings?)\b"
 TITLE_SEPARATOR = r"(?U)\s+[|\-]\s+"
 URL_IN_TEXT = r"(?iU)https?://[^\s\x1c-\x1f)]+"
-FIRST_LINE = "^[^\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]*"
+LINE_BREAK = r"\R|[\x1c\x1d\x1e]"
 
 # ---------------------------------------------------------------- limits
 MAX_RESULTS = 5
