@@ -180,3 +180,23 @@ def run_campaign(
         "memory": M.merge_memory(memory, deltas),
         "counters": M.miss_streak(counters, order),
     }
+
+
+def responses(tables: dict[str, DataFrame]) -> DataFrame:
+    """One nested document per run for the archive: the run with its leads and shortlist options.
+
+    A run has at most one lead or option per attempt, so the collected lists stay short.
+    """
+
+    def listed(name: str, order: str) -> DataFrame:
+        rows = tables[name]
+        row = F.struct(*[c for c in rows.columns if c not in ("run_id", order)])
+        entries = F.array_sort(F.collect_list(F.struct(order, row.alias("row"))))
+        return rows.groupBy("run_id").agg(F.transform(entries, lambda e: e["row"]).alias(name))
+
+    runs = tables["runs"]
+    for name, order in (("accepted_leads", "idx"), ("shortlist_options", "option_number")):
+        per_run = listed(name, order)
+        empty = F.array().cast(per_run.schema[name].dataType)
+        runs = runs.join(per_run, "run_id", "left").withColumn(name, F.coalesce(name, empty))
+    return runs

@@ -771,6 +771,12 @@ oracle("follow_up", flat("followed", "follow_ups"))
 oracle("enrich_pass", flat("enriched"))
 oracle("gap_fill", flat("gap_filled"))
 oracle("ground_external", flat("grounded"))
+_fields = "brief_id, pos, sourcing_status, query_used, full_name, role_title, company_name, website, country_code, employee_estimate, fit, evidence, notes"
+CTE["fresh_claims"] = f"""
+SELECT {_fields} FROM grounded WHERE lower(company_name) NOT IN (SELECT lower(p_name) FROM v_results WHERE l_returnflag = 'R')"""
+CTE["preferred"] = f"""
+SELECT * FROM fresh_claims UNION ALL SELECT {_fields} FROM doss ANTI JOIN fresh_claims USING (brief_id, pos)"""
+oracle("grounded_dossiers", flat("preferred"))
 oracle("qualify", "SELECT brief_id, pos, outcome, match_type, score, summary, type, region FROM decided")
 oracle(
     "qualify_reasons",

@@ -378,14 +378,18 @@ def dossiers(spark: SparkSession, sf: str) -> DataFrame:
     return flat_dossier(dossier_rows(spark, sf))
 
 
-@query
-def explored_companies(spark: SparkSession, sf: str) -> DataFrame:
-    """Dossiers after dropping companies that carry the name of a returned part."""
-    names = X.results(spark, sf).filter(F.col("l_returnflag") == "R").select(
+def returned_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Companies explored before: the names of returned parts."""
+    return X.results(spark, sf).filter(F.col("l_returnflag") == "R").select(
         F.lit("global").alias("scope"), F.lower("p_name").alias("company_key")
     )
+
+
+@query
+def explored_companies(spark: SparkSession, sf: str) -> DataFrame:
+    """Dossiers after dropping companies that were explored before."""
     stored = handover(dossier_rows(spark, sf), "dossiers")
-    return flat_dossier(D.drop_explored(stored, names, KEY))
+    return flat_dossier(D.drop_explored(stored, returned_names(spark, sf), KEY))
 
 
 def second_search(dossiers: DataFrame) -> DataFrame:
@@ -439,10 +443,8 @@ def gap_fill(spark: SparkSession, sf: str) -> DataFrame:
     return flat_dossier(D.fill_gaps(D._with_parsed(stored, lists, ["query"], KEY), "parsed"))
 
 
-@query
-def ground_external(spark: SparkSession, sf: str) -> DataFrame:
-    """External dossiers checked against the evidence offered to them."""
-    both = handover(dossier_rows(spark, sf), "offered")
+def external_claims(offered: DataFrame) -> DataFrame:
+    """Made-up external dossiers, right and wrong in turns, for work rows with evidence."""
     n = F.col("brief_id") + F.col("pos")
     urls = F.transform("items", lambda i: i["url"])
     claim = F.struct(
@@ -460,8 +462,22 @@ def ground_external(spark: SparkSession, sf: str) -> DataFrame:
         F.when(n % 3 == 0, T.strings(["automation", "Automation", "genai"])).otherwise(T.strings(["moon"])).alias("fit_signals"),
         F.when(n % 2 == 0, F.array_append(F.reverse(urls), F.lit("https://unknown.example.org"))).otherwise(T.strings([])).alias("urls"),
     )
-    claims = both.filter(F.size("items") > 0).select(*KEY, claim.alias("claim"))
-    return flat_dossier(K.ground(both, claims, X.pages(spark, sf), KEY))
+    return offered.filter(F.size("items") > 0).select(*KEY, claim.alias("claim"))
+
+
+@query
+def ground_external(spark: SparkSession, sf: str) -> DataFrame:
+    """External dossiers checked against the evidence offered to them."""
+    offered = handover(dossier_rows(spark, sf), "offered")
+    return flat_dossier(K.ground(offered, external_claims(offered), X.pages(spark, sf), KEY))
+
+
+@query
+def grounded_dossiers(spark: SparkSession, sf: str) -> DataFrame:
+    """Rule dossiers with sound external ones in their place, unless the company was explored."""
+    offered = handover(dossier_rows(spark, sf), "offered")
+    grounded = K.ground(offered, external_claims(offered), X.pages(spark, sf), KEY)
+    return flat_dossier(K.prefer_grounded(offered, grounded, returned_names(spark, sf), KEY))
 
 
 # ---------------------------------------------------------------- decisions

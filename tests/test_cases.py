@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 
 from leadflow import schemas as S
 from leadflow import vocab as V
+from leadflow.operators import expand as Q
 from leadflow.operators import finish as Z
 from leadflow.operators import outreach as O
 from leadflow.operators import qualify as K
 from leadflow.operators import route as R
 from leadflow.operators.normalize import normalize_briefs
 from leadflow.operators.shared import handover
-from leadflow.plans.campaign import run_campaign
+from leadflow.plans.campaign import responses, run_campaign
 from leadflow.sources.briefs import validate_briefs, validate_requests
 
 BRIEF = "busca 1 lead CTO en españa entre 5 y 50 empleados con genai"
@@ -49,6 +50,8 @@ def test_accept_end_to_end(spark):
     lead = out["accepted_leads"].collect()[0]
     assert (lead.company_name, lead.person_name, lead.role_title) == ("Acme AI", "Laura Martin", "CTO")
     assert lead.qualification.score == 100 and lead.commercial.email_body and "Acme AI" in lead.commercial.email_subject
+    response = responses(out).collect()[0]
+    assert [x.company_name for x in response.accepted_leads] == ["Acme AI"] and response.shortlist_options == []
     first = out["iterations"].collect()[0]
     assert first.query == QUERY and first.sourcing_status == "FOUND" and len(first.evidence) == 2
     assert out["memory"].filter(F.col("kind") == V.LEAD_NAMES).collect()[0].value == "Laura Martin"
@@ -115,3 +118,11 @@ def test_contract(spark):
     raw = spark.createDataFrame([(1, '{"unexpected": "value"}'), (2, '{"user_text": "find 2 leads"}')], "brief_id long, payload string")
     sound, refused = validate_briefs(raw)
     assert [r.brief_id for r in sound.collect()] == [2] and [r.error for r in refused.collect()] == ["unknown field: unexpected"]
+
+
+def test_suggested_queries_come_first(spark):
+    requests = normalize_briefs(spark.createDataFrame([(1, BRIEF, None, "{}")], S.BRIEFS))
+    own = [p.v for p in Q.query_pairs(requests, F.lit(0)).first().candidates]
+    suggested = F.array(F.lit("too short"), F.lit("  Spain   AI people "), F.lit(own[2].upper()))
+    got = [p.v for p in Q.query_pairs(requests, F.lit(0), suggested=suggested).first().candidates]
+    assert got == ["Spain AI people", own[2].upper(), *own[:2], *own[3:]]
