@@ -109,21 +109,29 @@ def canonical_themes(values: Column) -> Column:
     )
 
 
-def distinct_pairs(values: Column) -> Column:
-    """Entries with their normal form as (v, n), first spelling of each form kept, in order."""
-    pairs = F.transform(values, lambda v: F.struct(v.alias("v"), norm(v).alias("n")))
-    return F.aggregate(
+def norm_pairs(values: Column) -> Column:
+    """Entries with their normal form, as (v, n)."""
+    return F.transform(values, lambda v: F.struct(v.alias("v"), norm(v).alias("n")))
+
+
+def first_of_each(pairs: Column) -> Column:
+    """Pairs with the first entry of each normal form kept, in order.
+
+    Mostly nothing repeats, which a hash-based distinct settles; only else are entries compared.
+    """
+    kept = F.aggregate(
         pairs,
         F.array().cast("array<struct<v:string,n:string>>"),
         lambda acc, p: F.when(F.exists(acc, lambda a: a["n"] == p["n"]), acc).otherwise(
             F.array_append(acc, p)
         ),
     )
+    return F.when(F.size(F.array_distinct(F.transform(pairs, lambda p: p["n"]))) == F.size(pairs), pairs).otherwise(kept)
 
 
 def dedupe_norm(values: Column) -> Column:
     """Drop entries equal after ``norm``; order and first spelling are kept."""
-    return F.transform(distinct_pairs(values), lambda p: p["v"])
+    return F.transform(first_of_each(norm_pairs(values)), lambda p: p["v"])
 
 
 # ---------------------------------------------------------------- company names

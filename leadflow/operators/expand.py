@@ -57,8 +57,8 @@ def query_pairs(df: DataFrame, stage: Column, alias: str = "candidates", suggest
     own = F.expr(f"concat({', '.join(lists)})")
     if suggested is not None:
         own = F.concat(T.tidy_queries(F.coalesce(suggested, T.strings([]))), own)
-    raw = sized.select(*kept, own.alias("_raw"))
-    return raw.select(*kept, T.distinct_pairs(F.col("_raw")).alias(alias))
+    raw = sized.select(*kept, own.alias("_raw")).select(*kept, T.norm_pairs(F.col("_raw")).alias("_pairs"))
+    return raw.select(*kept, T.first_of_each(F.col("_pairs")).alias(alias))
 
 
 def expand_queries(requests: DataFrame, stage: Column) -> DataFrame:

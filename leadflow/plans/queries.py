@@ -323,7 +323,7 @@ def retrieve_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def evidence_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Page text per evidence row, '' where there is none."""
-    rows = X.all_evidence(spark, sf)
+    rows = handover(X.all_evidence(spark, sf).select(*X.ORDER, "url"), "evidence")
     return EV.with_page_text(rows, X.pages(spark, sf), X.ORDER).select(*X.ORDER, "url", "page_text")
 
 
