@@ -41,26 +41,31 @@ SELECT c_custkey AS brief_id,
   '{{}}' AS meta
 FROM {customer}"""
 
-RESULTS_SQL = """
-WITH e AS (
+KEYS_SQL = """
+SELECT *,
+  CASE l_orderkey % 3
+    WHEN 0 THEN concat('site:eu-startups.com/directory/ ', place, ' ', term, ' software')
+    WHEN 1 THEN concat(place, ' startup ', term, ' software company')
+    ELSE concat(place, ' cto ', term, ' software startup') END AS query
+FROM (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, p_name, p_brand, p_size, p_type,
     CASE s_nationkey % 5 WHEN 0 THEN 'Spain' WHEN 1 THEN 'France' WHEN 2 THEN 'Germany' WHEN 3 THEN 'Portugal'
       ELSE 'United Kingdom' END AS place,
     CASE l_partkey % 6 WHEN 0 THEN 'AI' WHEN 1 THEN 'GenAI' WHEN 2 THEN 'automation' WHEN 3 THEN 'AI agents'
       WHEN 4 THEN 'AI software' ELSE 'software company' END AS term
-  FROM {lineitem} JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, p_name, p_type, p_size, place,
-  CASE l_orderkey % 3
-    WHEN 0 THEN concat('site:eu-startups.com/directory/ ', place, ' ', term, ' software')
-    WHEN 1 THEN concat(place, ' startup ', term, ' software company')
-    ELSE concat(place, ' cto ', term, ' software startup') END AS query,
+  FROM {lineitem} JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey)"""
+
+TEXT_COLUMNS = [
+    """
   CASE l_suppkey % 8
     WHEN 0 THEN concat('https://www.eu-startups.com/directory/', replace(p_name, ' ', '-'), '-', l_partkey, '/')
     WHEN 1 THEN concat('https://linkedin.com/company/', replace(p_name, ' ', '_'), l_partkey)
     WHEN 2 THEN concat('https://x.com/', replace(p_name, ' ', ''), '/', l_orderkey)
     WHEN 3 THEN concat('https://WWW.', replace(p_name, ' ', '_'), l_suppkey, '.dev:8443/team')
-    ELSE concat('https://www.', replace(p_name, ' ', ''), l_suppkey, '.dev/blog/', l_orderkey) END AS url,
-  concat(p_name, CASE l_linenumber % 3 WHEN 0 THEN ' | team' WHEN 1 THEN ' - top startups' ELSE ' news' END) AS title,
+    ELSE concat('https://www.', replace(p_name, ' ', ''), l_suppkey, '.dev/blog/', l_orderkey) END AS url""",
+    """
+  concat(p_name, CASE l_linenumber % 3 WHEN 0 THEN ' | team' WHEN 1 THEN ' - top startups' ELSE ' news' END) AS title""",
+    """
   concat(
     CASE l_partkey % 4 WHEN 0 THEN concat('Company: ', p_name, ' | ') WHEN 1 THEN concat('Company: ', p_name, '_', p_brand, ' | ')
       WHEN 2 THEN 'Company: a maker of many small and large parts for each and every buyer | ' ELSE '' END,
@@ -71,9 +76,9 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatu
     CASE l_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'Country: Unknown | ' ELSE concat('Country: ', place, ' | ') END,
     CASE l_partkey % 5 WHEN 0 THEN '' ELSE concat('Employees: ', p_size * 3, ' | ') END,
     CASE l_suppkey % 4 WHEN 0 THEN 'see https://site.example.com/a). GenAI automation' WHEN 1 THEN 'agentic workflow'
-      WHEN 2 THEN 'machine learning engineering' ELSE 'parts' END) AS snippet,
-  'fixture' AS source_type
-FROM e"""
+      WHEN 2 THEN 'machine learning engineering' ELSE 'parts' END) AS snippet""",
+    "'fixture' AS source_type",
+]
 
 PAGE_TEXT_SQL = """concat(p_type, ' page | Employees: ', p_size * 3, ' | Country: ', place, ' | Role: ',
   CASE WHEN p_size > 25 THEN 'CTO' ELSE 'Founder' END, ' | AI engineering automation https://', replace(p_name, ' ', ''),
@@ -89,9 +94,15 @@ def briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, BRIEFS_SQL, "customer")
 
 
+def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per line item with its query, before any text is built."""
+    return _run(spark, sf_dir, KEYS_SQL, "lineitem", "part", "supplier")
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One unranked search result per line item, with its order columns and line attributes."""
-    return _run(spark, sf_dir, RESULTS_SQL, "lineitem", "part", "supplier")
+    kept = ["l_returnflag", "l_linestatus", "p_name", "p_type", "p_size", "place", "query"]
+    return _keys(spark, sf_dir).selectExpr(*ORDER, *kept, *TEXT_COLUMNS)
 
 
 def _single() -> Column:
@@ -100,9 +111,9 @@ def _single() -> Column:
 
 def evidence(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """Ranked evidence, first ``k`` per query; some queries have a single result."""
-    ranked = rank_results(results(spark, sf_dir), ORDER, k)
+    ranked = rank_results(_keys(spark, sf_dir), ORDER, k)  # texts are built for the kept rows only
     shown = ranked.filter((F.col("rank") == 0) | ~_single())
-    return shown.select("query", "rank", "url", "title", "snippet", "source_type")
+    return shown.selectExpr("query", "rank", *TEXT_COLUMNS)
 
 
 def all_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
