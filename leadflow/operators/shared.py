@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,18 +11,32 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: the session's ``spark.checkpoint.dir``.
+    """Folder all executors can reach: the context's checkpoint folder, else ``spark.checkpoint.dir``.
 
-    Only where the session names none (unit tests on one machine) a private one is set.
+    Only a session on one machine that names none gets a private one; a cluster without a shared
+    folder is refused, as its executors would each write to their own disk.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leadflow-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    return private_dir(spark.sparkContext.master, spark.sparkContext.setCheckpointDir)
+
+
+def private_dir(master: str, use) -> str:
+    """A folder of this machine, handed to ``use``; refused where ``master`` is not ``local``."""
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    made = tempfile.mkdtemp(prefix="leadflow-")
+    use(made)
+    return made
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/leadflow/{label}-{uuid.uuid4().hex}"
 
 
 def handover(df: DataFrame, label: str) -> DataFrame:
@@ -30,7 +45,7 @@ def handover(df: DataFrame, label: str) -> DataFrame:
     Cuts lineage (a lost executor repeats tasks of one step only) and makes a result that several
     branches read cost one computation.
     """
-    path = f"{shared_dir(df.sparkSession)}/leadflow/{label}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -45,8 +60,8 @@ def over_all_cores(df: DataFrame) -> DataFrame:
 
 
 def spread_factor(spark: SparkSession) -> int:
-    """Parts a hot key is cut into: one per shuffle partition, within reason."""
-    return max(2, min(1024, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """Parts a hot key is cut into: one per shuffle partition."""
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def spread_lookup(
