@@ -5,12 +5,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leadflow.llm.common import read
+from leadflow.llm.decontaminate import decontamination_report
+from leadflow.llm.embeddings import embedding_groups
 from leadflow.llm.simhash import simhash_groups
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), size=10)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read(spark, sf_dir, "documents"), width=3, radius=2)
 
 
-QUERIES = {"op9_simhash": op9_simhash}
-ORACLES: dict[str, str] = {}
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(read(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+QUERIES = {"op3_decontaminate": op3_decontaminate, "op9_simhash": op9_simhash, "op10_embeddings": op10_embeddings}
+
+#: Words of a text, as the decontamination contract states them.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES = {
+    "op3_decontaminate": f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+grams AS (
+    SELECT DISTINCT item, array_to_string(w[i:i + 9], ' ') AS gram, least(len(w), 10) AS n
+    FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)
+), docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+lengths AS (SELECT DISTINCT n FROM grams),
+places AS (
+    SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram
+    FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, lengths WHERE len(w) >= n)
+), hits AS (SELECT p.r, p.i, p.n, g.item FROM places p JOIN grams g ON g.gram = p.gram AND g.n = p.n),
+words AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS pos FROM hits) GROUP BY r),
+named AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY r)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN words USING (r) LEFT JOIN named USING (r)
+""",
+    "op10_embeddings": """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        AND len([x FOR x IN embedding IF x <> 0]) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b
+    FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(a, b) AS (
+    SELECT vec_id, vec_id FROM embeddings
+    UNION
+    SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
+    c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = e.vec_id
+""",
+}
