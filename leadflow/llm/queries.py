@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from leadflow.llm.common import read
 from leadflow.llm.decontaminate import decontamination_report
 from leadflow.llm.embeddings import embedding_groups
 from leadflow.llm.simhash import simhash_groups
+from leadflow.llm.tokens import token_files
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), size=10)
 
 
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read(spark, sf_dir, "documents"), width=3, radius=2)
 
@@ -22,7 +28,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(read(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op9_simhash": op9_simhash, "op10_embeddings": op10_embeddings}
+QUERIES = {"op3_decontaminate": op3_decontaminate, "op4_tokens": op4_tokens, "op9_simhash": op9_simhash, "op10_embeddings": op10_embeddings}
 
 #: Words of a text, as the decontamination contract states them.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
