@@ -94,7 +94,8 @@ def _scan(shared):
     """Per document: its words, and the occurrences of windows with the items they stand for."""
 
     def scan(batches):
-        grams = shared.value
+        grams = Grams.__new__(Grams)
+        grams.__dict__ = shared.value
         for batch in batches:
             codes, bounds, names = word_codes(batch.column("text"), WORDS)
             known = np.array([grams.word.get(n.as_buffer().to_pybytes() if n.is_valid else b"", 0) for n in names], np.int64)
@@ -142,7 +143,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", size:
     scanned = []
     for part in range(parts):
         own = grams.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == part).toLocalIterator()
-        shared = spark.sparkContext.broadcast(Grams([(tuple(bytes(g.gram).split(b" ")), g["items"]) for g in own]))
+        # plain values only: executors need not have this class
+        shared = spark.sparkContext.broadcast(vars(Grams([(tuple(bytes(g.gram).split(b" ")), g["items"]) for g in own])))
         scanned.append(texts.mapInArrow(_scan(shared), schema))
     if parts > 1:
         each = scanned[0]
