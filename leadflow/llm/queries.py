@@ -4,14 +4,23 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leadflow.llm.common import read
+from leadflow.llm import langid
+from leadflow.llm.common import fold, read
 from leadflow.llm.decontaminate import decontamination_report
 from leadflow.llm.embeddings import embedding_groups
 from leadflow.llm.simhash import simhash_groups
 from leadflow.llm.tokens import token_files
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
+    network = langid.train(docs.where(~F.col("held_out")).select("text", "lang"))
+    ids = docs.select(F.struct("doc_id", "held_out").alias("key"), "text")
+    return langid.predict(ids, network, "key").select("key.doc_id", "key.held_out", "lang_pred", "score")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), size=10)
 
@@ -28,7 +37,13 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(read(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op4_tokens": op4_tokens, "op9_simhash": op9_simhash, "op10_embeddings": op10_embeddings}
+QUERIES = {
+    "op2_language": op2_language,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_tokens": op4_tokens,
+    "op9_simhash": op9_simhash,
+    "op10_embeddings": op10_embeddings,
+}
 
 #: Words of a text, as the decontamination contract states them.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
