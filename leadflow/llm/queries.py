@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadflow.llm import langid
+from leadflow.llm import langid, quality
 from leadflow.llm.common import fold, read
 from leadflow.llm.decontaminate import decontamination_report
 from leadflow.llm.embeddings import embedding_groups
@@ -14,6 +14,15 @@ from leadflow.llm.simhash import simhash_groups
 from leadflow.llm.tokens import token_files
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 5) == 0)
+    labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
+    model = quality.train(docs.where(~F.col("held_out")).select("doc_id", "text").join(labels, "doc_id").select("text", "y"))
+    ids = docs.select(F.struct("doc_id", "held_out").alias("key"), "text")
+    found = quality.score(ids, model, "key").select("key.doc_id", "key.held_out", "score")
+    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
     network = langid.train(docs.where(~F.col("held_out")).select("text", "lang"))
@@ -38,6 +47,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op3_decontaminate": op3_decontaminate,
     "op4_tokens": op4_tokens,
