@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadflow.llm import langid, quality
+from leadflow.llm import langid, mixing, quality
 from leadflow.llm.common import fold, read
 from leadflow.llm.decontaminate import decontamination_report
 from leadflow.llm.embeddings import embedding_groups
@@ -14,6 +14,16 @@ from leadflow.llm.simhash import simhash_groups
 from leadflow.llm.tokens import token_files
 
 
+#: Token shares that mixing aims at; ``labels`` says which documents are of which domain.
+MIX = {"good": 0.9, "low": 0.07, "toxic": 0.03}
+
+
+def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, domain): good, low or toxic, from the labels; rows with neither mark known are left out."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "good")
+    return read(spark, sf_dir, "labels").select("doc_id", domain.alias("domain")).where("domain is not null")
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 5) == 0)
     labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
@@ -38,6 +48,10 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(read(spark, sf_dir, "documents"), labelled_domains(spark, sf_dir), MIX)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read(spark, sf_dir, "documents"), width=3, radius=2)
 
@@ -51,6 +65,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_decontaminate": op3_decontaminate,
     "op4_tokens": op4_tokens,
+    "op5_mixing": op5_mixing,
     "op9_simhash": op9_simhash,
     "op10_embeddings": op10_embeddings,
 }

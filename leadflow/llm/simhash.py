@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadflow.llm.common import LOWER, components, forest, raw
@@ -17,63 +17,77 @@ CHUNK = 1 << 15
 TILE = 4096
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """SimHash of a text's word shingles (XXH64, seed 42); 0 if it has no words."""
-    words = text.translate(LOWER).split()
-    if not words:
-        return 0
-    joined, width = b" ".join(words), min(width, len(words))
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - width + 1].tolist()
-    ends, digest, votes = ends[width - 1 :].tolist(), xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Other 64 bits from 64 bits, one to one."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(text: bytes, width: int, words: int = 1) -> list[int]:
+    """SimHash of a text's word shingles (XXH64, seed 42), 64 bits a word; 0 if it has no words."""
+    split = text.translate(LOWER).split()
+    if not split:
+        return [0] * words
+    joined, width = b" ".join(split), min(width, len(split))
+    ends = np.cumsum([len(w) + 1 for w in split]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(split) - width + 1].tolist()
+    ends, digest, votes = ends[width - 1 :].tolist(), xxhash.xxh64_intdigest, np.zeros((words, 64), np.int64)
     for at in range(0, len(starts), CHUNK):
         part = zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)
         hashes = np.array([digest(joined[s:e], 42) for s, e in part], np.uint64)
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        for k in range(words):
+            hashes = _mixed(hashes) if k else hashes
+            votes[k] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = (2 * votes > len(starts)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0].tolist()
 
 
-def fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, fp): the 64-bit fingerprint of each whole text, as a long."""
+def fingerprints(docs: DataFrame, width: int, words: int = 1, key: str = "doc_id") -> DataFrame:
+    """(``key``, fp): the fingerprint of each whole text, ``words`` longs."""
 
     def score(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t.as_buffer().to_pybytes(), width) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_buffer().to_pybytes(), width, words) for t in batch.column("text")], np.uint64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * words, pa.int32()), pa.array(fps.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), lists], ["key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), raw()).mapInArrow(score, "doc_id long, fp long")
+    rows = docs.select(F.col(key).alias("key"), raw())
+    return rows.mapInArrow(score, f"key {rows.schema['key'].dataType.simpleString()}, fp array<long>").withColumnRenamed("key", key)
 
 
-def _counts(radius: int):
-    """Counts of set bits of each 16-bit quarter, as one number with 5 bits a quarter."""
-    return sum(
-        (F.bit_count(F.shiftrightunsigned("fp", 16 * q).bitwiseAND(F.lit(0xFFFF).cast("long"))).cast("int") * F.lit(32**q) for q in range(4)),
-        F.lit(0),
-    )
+def _counts(words: int, radius: int) -> tuple[Column, list[int]]:
+    """What tiles are laid by, as one number, and the differences of it at which links are possible.
 
-
-def _shifts(radius: int) -> list[tuple[int, int, int, int]]:
-    """Differences of the four counts that add up to the radius at most, each and its opposite once."""
+    For a small radius over one word: set bits of each 16-bit quarter; else set bits in all.
+    Of a difference and its opposite one is listed.
+    """
+    if words > 1 or radius > 4:
+        return sum((F.bit_count(F.col("fp")[k]).cast("int") for k in range(words)), F.lit(0)), list(range(radius + 1))
+    quarter = [F.bit_count(F.shiftrightunsigned(F.col("fp")[0], 16 * q).bitwiseAND(F.lit(0xFFFF).cast("long"))).cast("int") for q in range(4)]
     reach = range(-radius, radius + 1)
     near = [(a, b, c, d) for a in reach for b in reach for c in reach for d in reach if abs(a) + abs(b) + abs(c) + abs(d) <= radius]
-    return [s for s in near if s >= (0, 0, 0, 0)]
+    return sum((n * F.lit(32**q) for q, n in enumerate(quarter)), F.lit(0)), [sum(d * 32**q for q, d in enumerate(s)) for s in near if s >= (0, 0, 0, 0)]
 
 
-def _compare(radius: int):
+def _compare(words: int, radius: int):
     def links(batches):
         for batch in batches:
-            xs, ys = batch.column(0), batch.column(1)
             kept = [[], []]
-            for x, y in zip(xs, ys, strict=True):
-                p = np.frombuffer(x.as_buffer(), np.uint64)
-                q = np.frombuffer(y.as_buffer(), np.uint64)
-                i, j = np.nonzero(np.bitwise_count(p[:, None] ^ q[None, :]) <= radius)
-                near = p[i] != q[j]
-                if near.any():
-                    child, root = forest(p[i[near]].view(np.int64), q[j[near]].view(np.int64))
-                    kept[0].append(child)
-                    kept[1].append(root)
+            for row in range(batch.num_rows):
+                p, q, p_id, q_id = (np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in (("p", np.uint64), ("q", np.uint64), ("p_id", np.int64), ("q_id", np.int64)))
+                p, q = p.reshape(-1, words), q.reshape(-1, words)
+                for at in range(0, len(p), 512):  # what stays in a core's cache
+                    part = p[at : at + 512]
+                    apart = np.bitwise_count(part[:, None, 0] ^ q[None, :, 0])
+                    for k in range(1, words):
+                        apart += np.bitwise_count(part[:, None, k] ^ q[None, :, k])
+                    i, j = np.nonzero(apart <= radius)
+                    near = p_id[at + i] != q_id[j]
+                    if near.any():
+                        child, root = forest(p_id[at + i[near]], q_id[j[near]])
+                        kept[0].append(child)
+                        kept[1].append(root)
             if kept[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(k)) for k in kept], ["a", "b"])
 
@@ -81,41 +95,40 @@ def _compare(radius: int):
 
 
 def _packed(batches):
-    """One row per tile: its fingerprints as bytes."""
+    """One row per tile: its fingerprints and their nodes as bytes."""
     for batch in batches:
-        lists = batch.column(2)
-        blobs = [np.asarray(v.values, dtype=np.int64).tobytes() for v in lists]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["counts", "tile", "fps"])
+        fps = [np.asarray(v.values.flatten(), dtype=np.int64).tobytes() for v in batch.column("fps")]
+        ids = [np.asarray(v.values, dtype=np.int64).tobytes() for v in batch.column("ids")]
+        yield pa.RecordBatch.from_arrays([batch.column("counts"), batch.column("tile"), pa.array(fps, pa.binary()), pa.array(ids, pa.binary())], ["counts", "tile", "fps", "ids"])
 
 
-def near_links(distinct: DataFrame, radius: int) -> DataFrame:
-    """(a, b): links among distinct fingerprints ``fp`` that differ in ``radius`` bits at most.
+def near_links(distinct: DataFrame, radius: int, words: int = 1) -> DataFrame:
+    """(a, b): links among distinct ``(node, fp)`` whose fingerprints differ in ``radius`` bits at most.
 
-    Fingerprints are laid into tiles by the bit counts of their four quarters; a pair of tiles whose
-    counts differ by more than the radius in sum cannot hold a link and is never formed.  Each
-    remaining pair is compared exactly, every fingerprint with every other, by exclusive-or and bit
-    count.  A pair of tiles gives the star forest of its links: at most as many rows as it has
-    fingerprints, and no connection is lost.
+    Fingerprints are laid into tiles by their population counts; a pair of tiles whose counts differ
+    by more than the radius cannot hold a link and is never formed.  Each remaining pair is compared
+    exactly, every fingerprint with every other, by exclusive-or and bit count.  A pair of tiles
+    gives star forests of its links: no more rows than a few times its fingerprints, and no
+    connection is lost.
     """
-    laid = distinct.select("fp", _counts(radius).alias("counts"))
+    key, shifts = _counts(words, radius)
+    laid = distinct.select("node", "fp", key.alias("counts"))
     # at most 17^4 rows of two numbers, whatever the input
     sizes = laid.groupBy("counts").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     sizes = handover(sizes, "tile-sizes")
-    placed = laid.join(F.broadcast(sizes), "counts").withColumn("tile", F.pmod(F.xxhash64("fp"), "tiles").cast("int"))
-    tiles = placed.groupBy("counts", "tile").agg(F.collect_list("fp").alias("fps"))
-    tiles = handover(tiles.mapInArrow(_packed, "counts int, tile int, fps binary"), "tiles")
-    near = F.array(*[F.lit(sum(d * 32**q for q, d in enumerate(s))) for s in _shifts(radius)])
-    left = sizes.select(F.col("counts").alias("x"), F.col("tiles").alias("n"), F.explode(near).alias("shift"))
-    pairs = left.withColumn("y", F.col("x") + F.col("shift")).join(
-        F.broadcast(sizes.select(F.col("counts").alias("y"), F.col("tiles").alias("m"))), "y"
-    )
+    placed = laid.join(F.broadcast(sizes), "counts").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+    tiles = placed.groupBy("counts", "tile").agg(F.collect_list(F.struct("fp", "node")).alias("rows"))
+    tiles = tiles.select("counts", "tile", F.col("rows.fp").alias("fps"), F.col("rows.node").alias("ids"))
+    tiles = handover(tiles.mapInArrow(_packed, "counts int, tile int, fps binary, ids binary"), "tiles")
+    left = sizes.select(F.col("counts").alias("x"), F.col("tiles").alias("n"), F.explode(F.array(*map(F.lit, shifts))).alias("shift"))
+    pairs = left.withColumn("y", F.col("x") + F.col("shift")).join(F.broadcast(sizes.select(F.col("counts").alias("y"), F.col("tiles").alias("m"))), "y")
     pairs = pairs.select("x", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), "y", "m").select(
         "x", "i", "y", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j")
     )
     pairs = pairs.where((F.col("x") != F.col("y")) | (F.col("i") <= F.col("j")))
-    first = pairs.join(tiles.select(F.col("counts").alias("x"), F.col("tile").alias("i"), F.col("fps").alias("p")), ["x", "i"])
-    second = first.join(tiles.select(F.col("counts").alias("y"), F.col("tile").alias("j"), F.col("fps").alias("q")), ["y", "j"])
-    return second.select("p", "q").mapInArrow(_compare(radius), "a long, b long")
+    first = pairs.join(tiles.select(F.col("counts").alias("x"), F.col("tile").alias("i"), F.col("fps").alias("p"), F.col("ids").alias("p_id")), ["x", "i"])
+    second = first.join(tiles.select(F.col("counts").alias("y"), F.col("tile").alias("j"), F.col("fps").alias("q"), F.col("ids").alias("q_id")), ["y", "j"])
+    return second.select("p", "q", "p_id", "q_id").mapInArrow(_compare(words, radius), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
@@ -129,11 +142,34 @@ def simhash_groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFram
     table gives an empty one.  A wrapped difference of bit counts only adds comparisons, never
     loses one.
     """
-    prints = handover(fingerprints(docs, width), "fingerprints")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = handover(fingerprints(rows, width).select("doc_id", F.col("fp")[0].alias("fp")), "fingerprints")
     classes = handover(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
-    group = components(near_links(classes, radius)).withColumnsRenamed({"node": "fp", "component": "root"})
+    group = components(near_links(classes.select(F.col("fp").alias("node"), F.array("fp").alias("fp")), radius)).withColumnsRenamed({"node": "fp", "component": "root"})
     rooted = handover(classes.join(group, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_class = handover(spread_lookup(rooted.select("fp", "root"), named, ["root"], ["fp"]).select("fp", "component_id"), "named")
     joined = spread_lookup(prints, of_class, ["fp"], ["doc_id"])
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, words: int = 2, radius: int = 26) -> DataFrame:
+    """``docs`` without near-duplicates: of each group the row with the smallest doc_id stays, all columns as they were.
+
+    Texts link if their fingerprints of ``words`` * 64 bits over shingles of ``width`` words differ
+    in ``radius`` bits at most.  Shingle sets of similarity 0.8 differ in some 19 of 128 bits, give
+    or take 4, unrelated ones in 64: 26 bits reach the pairs of 0.8 and more and no unrelated ones.
+    Rows with equal ids are told apart; of a group without ids, or with the smallest id twice, one
+    row stays.  Null and empty texts are alike.
+    """
+    names = docs.columns
+    keyed = docs.select(F.struct(*names).alias("_doc"), "text")
+    stored = fingerprints(keyed, width, words, "_doc").withColumn("row", F.monotonically_increasing_id())
+    stored = handover(stored, "fingerprints")
+    rows = stored.select("row", F.col("_doc.doc_id").alias("doc_id"), "fp")
+    classes = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("best"))
+    classes = handover(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    group = components(near_links(classes.select("node", "fp"), radius, words)).withColumnRenamed("component", "root")
+    rooted = classes.join(group, "node", "left").select("best", F.coalesce("root", "node").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
+    return stored.join(handover(kept, "kept"), "row", "left_semi").select(*[F.col("_doc")[n].alias(n) for n in names])
