@@ -10,6 +10,7 @@ from leadflow.llm import langid, mixing, quality
 from leadflow.llm.common import fold, read
 from leadflow.llm.decontaminate import decontamination_report
 from leadflow.llm.embeddings import embedding_groups
+from leadflow.llm.pii import pii_report
 from leadflow.llm.simhash import simhash_groups
 from leadflow.llm.tokens import token_files
 
@@ -52,6 +53,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"), labelled_domains(spark, sf_dir), MIX)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(read(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read(spark, sf_dir, "documents"), width=3, radius=2)
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_tokens": op4_tokens,
     "op5_mixing": op5_mixing,
+    "op7_pii": op7_pii,
     "op9_simhash": op9_simhash,
     "op10_embeddings": op10_embeddings,
 }
