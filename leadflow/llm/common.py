@@ -61,6 +61,18 @@ def word_codes(texts: pa.Array, table: bytes) -> tuple[np.ndarray, np.ndarray, p
     return codes, bounds, names
 
 
+def by_size(batch: pa.RecordBatch, column: str, limit: int):
+    """Slices of a batch, cut where ``column`` has gathered ``limit`` bytes; a longer row is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links among values as a star forest: each linked value but the smallest of its group, with that smallest."""
     nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)

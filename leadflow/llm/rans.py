@@ -18,7 +18,7 @@ import numpy as np
 
 MAGIC = b"TRB1"
 HEAD = "<4sIIHHII"
-LANES, EVERY = 256, 256
+LANES, EVERY = 1024, 128
 #: Bits of the frequency scale; the lower bound of a state; bits moved at once.
 SCALE, LOW, MOVE = 20, np.uint64(1 << 31), np.uint64(32)
 MASK = np.uint64((1 << SCALE) - 1)

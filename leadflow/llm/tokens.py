@@ -20,14 +20,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from leadflow.llm.common import raw
+from leadflow.llm.common import by_size
 from leadflow.llm.rans import Table, scaled
 from leadflow.operators.shared import handover, new_folder
 
 #: Ids after which a block is closed; a longer document makes a longer block of its own.
 BLOCK = 1 << 18
-#: Pieces of text whose ids a worker remembers; it forgets all when there are more.
-REMEMBER = 600_000
+#: Bytes of text whose pieces are numbered together.
+SLICE = 12 << 20
+#: Atoms of text whose ids a worker remembers; it forgets all when there are more.
+REMEMBER = 1_000_000
 
 
 def _worker(name: str, make):
@@ -38,32 +40,74 @@ def _worker(name: str, make):
     return getattr(home, name)
 
 
+def _atoms(piece: str) -> list[str]:
+    """A piece cut further where a byte-level pre-tokenizer always cuts: around a lone line end, before a stop or comma after a letter."""
+    if piece.isascii() and piece[1:].isalnum():
+        return [piece]
+    lines = piece.split("\n")
+    if len(lines) > 1 and any(not x or x[-1].isspace() or (k and x[0].isspace()) for k, x in enumerate(lines)):
+        return [piece]
+    out = []
+    for k, x in enumerate(lines):
+        if k:
+            out.append("\n")
+        if len(x) > 2 and x[-1] in ".," and x[-2].isalpha() and x[-2] < "\u0250":
+            out += [x[:-1], x[-1]]
+        else:
+            out.append(x)
+    return out
+
+
 class Tokens:
-    """Ids of whole texts by the tokenizers library, which sees each distinct piece of text once.
+    """Ids of whole texts by the tokenizers library, which sees each distinct atom of text once.
 
-    A piece starts at a space that a non-space follows.  A byte-level pre-tokenizer always cuts
-    there, so the ids of a text are those of its pieces, in order.  Texts that hold an added token
-    go to the library whole.
+    A piece starts at a space that a non-space follows, and is cut further into atoms.  A byte-level
+    pre-tokenizer always cuts there, so the ids of a text are those of its atoms, in order.  Texts
+    that hold an added token go to the library whole.
     """
 
     def __init__(self, path: str):
         self.library, self.ids = Tokenizer.from_file(path), {}
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cut = re.compile(r" (?=\S)").split
+        # ids that stand for text with a space in front: in joined atoms, the first id of each
+        self.spaced = np.zeros(self.library.get_vocab_size(), bool)
+        self.spaced[[i for t, i in self.library.get_vocab().items() if t[0] == "\u0120"]] = True
         self.width = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.width)
 
-    def learn(self, pieces: list[str]) -> None:
-        new = [p for p in pieces if p not in self.ids]
+    def learn(self, atoms: list[str]) -> None:
+        """Ids of the atoms not yet known, by one call for many: atoms are joined and told apart by their first ids."""
+        new = [a for a in dict.fromkeys(atoms) if a not in self.ids]
         if len(self.ids) + len(new) > REMEMBER:
             self.ids.clear()
-            new = pieces
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.ids[p] = np.array(e.ids, self.width).tobytes()
+            new = list(dict.fromkeys(atoms))
+        plain = []
+        for a in new:
+            if a == " " + a.strip() and len(a.split()) == 1:
+                plain.append(a)
+            else:
+                self.ids[a] = self.whole(a).tobytes()
+        texts = ["".join(plain[at : at + 500]) for at in range(0, len(plain), 500)]
+        for at, e in zip(range(0, len(plain), 500), self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.width)
+            size, raw_ids = ids.itemsize, ids.tobytes()
+            bounds = [*(np.flatnonzero(self.spaced[ids]) * size).tolist(), len(raw_ids)]
+            self.ids.update(zip(plain[at : at + 500], [raw_ids[x:y] for x, y in zip(bounds, bounds[1:], strict=False)], strict=True))
+
+    def encoded(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, each as bytes."""
+        found = list(map(self.ids.get, pieces))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        parts = [_atoms(pieces[k]) for k in missing]
+        self.learn([a for p in parts for a in p])
+        get = self.ids.__getitem__
+        for k, p in zip(missing, parts, strict=True):
+            found[k] = get(p[0]) if len(p) == 1 else b"".join(map(get, p))
+        self.ids.update((pieces[k], found[k]) for k, p in zip(missing, parts, strict=True) if len(p) > 1)
+        return found
 
     def batch(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as bytes."""
@@ -80,20 +124,20 @@ class Tokens:
         flat, bounds = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
         numbered = flat.dictionary_encode()
         codes, names = numbered.indices.to_numpy(zero_copy_only=False), numbered.dictionary.to_pylist()
-        blank = np.array([not n or n[0].isspace() for n in names], bool)
+        blank = np.array([n[:1].isspace() or not n for n in names], bool)
         starts = np.zeros(len(codes) + 1, bool)
         starts[bounds[:-1]] = True
         loose = np.concatenate([[0], np.cumsum(blank[codes] & ~starts[:-1])])
-        spaced = [" " + n for n in names]
-        self.learn([s for s, b in zip(spaced, blank, strict=True) if not b])
-        of = [b"" if b else self.ids.get(s) for s, b in zip(spaced, blank, strict=True)]
+        of = [b""] * len(names)
+        some = np.flatnonzero(~blank).tolist()
+        for n, ids in zip(some, self.encoded([" " + names[n] for n in some]), strict=True):
+            of[n] = ids
         get = of.__getitem__
         for k in plain:
             a, b = bounds[k], bounds[k + 1]
             if loose[b] > loose[a]:  # runs of white space: cut where the rule says, not at every space
                 first, *rest = self.cut(texts[k].as_py())
-                self.learn(rest := [" " + r for r in rest])
-                out[k] = self.whole(first).tobytes() + b"".join([self.ids[r] for r in rest])
+                out[k] = self.whole(first).tobytes() + b"".join(self.encoded([" " + r for r in rest]))
             else:
                 first = names[codes[a]] if b > a else ""
                 out[k] = (self.whole(first).tobytes() if first else b"") + b"".join(map(get, codes[a + 1 : b].tolist()))
@@ -107,8 +151,7 @@ def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
         tokens = _worker("tokens:" + path, lambda: Tokens(path))
         last = np.array([end], tokens.width).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in by_size(batch, "text", SLICE):
                 ids = [i + last for i in tokens.batch(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
