@@ -11,6 +11,7 @@ from leadflow.llm.common import fold, read
 from leadflow.llm.decontaminate import decontamination_report
 from leadflow.llm.embeddings import embedding_groups
 from leadflow.llm.pii import pii_report
+from leadflow.llm.pitman_yor import lm_scores
 from leadflow.llm.simhash import simhash_groups
 from leadflow.llm.tokens import token_files
 
@@ -53,6 +54,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"), labelled_domains(spark, sf_dir), MIX)
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 7) == 2))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(read(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_tokens": op4_tokens,
     "op5_mixing": op5_mixing,
+    "op6_language_model": op6_language_model,
     "op7_pii": op7_pii,
     "op9_simhash": op9_simhash,
     "op10_embeddings": op10_embeddings,
