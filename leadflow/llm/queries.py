@@ -13,6 +13,7 @@ from leadflow.llm.embeddings import embedding_groups
 from leadflow.llm.pii import pii_report
 from leadflow.llm.pitman_yor import lm_scores
 from leadflow.llm.simhash import simhash_groups
+from leadflow.llm.substrings import repeats_report
 from leadflow.llm.tokens import token_files
 
 
@@ -62,6 +63,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(read(spark, sf_dir, "documents"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_report(read(spark, sf_dir, "documents"), length=200)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read(spark, sf_dir, "documents"), width=3, radius=2)
 
@@ -78,6 +83,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_language_model": op6_language_model,
     "op7_pii": op7_pii,
+    "op8_substrings": op8_substrings,
     "op9_simhash": op9_simhash,
     "op10_embeddings": op10_embeddings,
 }
