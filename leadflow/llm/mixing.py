@@ -73,7 +73,7 @@ def learn(docs: DataFrame, labelled: DataFrame) -> Domains:
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6 < share)
     # bounded by SAMPLE, whatever the input
     texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    told = handover(with_words(texts).select("domain", F.explode(F.array_distinct("words")).alias("word")), "labelled-words")
+    told = with_words(texts).select("domain", F.explode(F.array_distinct("words")).alias("word"))
     sizes = {r["domain"]: r["count"] for r in texts.groupBy("domain").count().collect()}
     total = max(sum(sizes.values()), 1)
     counts = told.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col("domain") == d).cast("long")).alias(f"n{k}") for k, d in enumerate(names)])
@@ -98,36 +98,45 @@ def _stepped(steps: list[list[float]], max_rate: float) -> Column:
     return F.aggregate(rounds, F.col("rate"), lambda r, s: F.least(F.greatest(r - dot(s), F.lit(0.0)), F.lit(max_rate)))
 
 
-def fit_rates(members: DataFrame, names: list[str], weights: dict[str, float], total: float | None, max_rate: float) -> DataFrame:
-    """``members(posterior, tokens, ...)`` with ``rate``: nonnegative document rates that meet the targets.
+def fit_rates(members: DataFrame, names: list[str], weights: dict[str, float], total: float | None, max_rate: float) -> list[list[float]]:
+    """Steps whose sum (``rated``) gives each row of ``members(posterior, tokens)`` a nonnegative rate that meets the targets.
 
     Projected gradient on the sum over domains of (expected tokens - target)^2 / natural tokens,
     from rate 1 for all.  A document's gradient is its posterior times the domains' relative
-    misses, so a round is one aggregation to as many sums as there are domains, and a change of a
-    column.  Targets are ``weights`` times ``total`` tokens; by default the most tokens that no
-    domain need be repeated for.  Ends when every target is met within ``NEAR`` of it, or cannot
-    come nearer under ``max_rate``.
+    misses, so a round is one aggregation to as many sums as there are domains, and a rate follows
+    from a posterior and the misses of all rounds.  Targets are ``weights`` times ``total`` tokens; by
+    default the most tokens that no domain need be repeated for.  Ends when every target is met
+    within ``NEAR`` of it, or comes no nearer under ``max_rate``.
     """
+
     def sums(rate: Column) -> list[float]:
         parts = [F.sum(F.col("tokens") * rate * F.col("posterior")[k]).alias(f"s{k}") for k in range(len(names))]
         return [float(v or 0.0) for v in now.select(*parts).first()]
 
-    now = handover(members.withColumn("rate", F.lit(1.0)), "rates")
+    # two short columns; texts stay where they are
+    now = members.select("posterior", "tokens").withColumn("rate", F.lit(1.0))
     natural = sums(F.lit(1.0))
     share = [max(weights.get(n, 0.0), 0.0) for n in names]
     share = [s / (sum(share) or 1.0) for s in share]
     if total is None:
         total = min([sum(natural), *[n / s for n, s in zip(natural, share, strict=True) if s > 0]])
     target = [s * total for s in share]
-    steps: list[list[float]] = []
+    steps, fresh, last = [], [], None
     for _ in range(ROUNDS):
-        miss = [(s - t) / max(n, 1e-9) for s, t, n in zip(sums(_stepped(steps, max_rate)), target, natural, strict=True)]
-        if max((abs(m) * n / max(t, 1e-3 * n, 1e-9) for m, n, t in zip(miss, natural, target, strict=True)), default=0.0) < NEAR:
+        miss = [(s - t) / max(n, 1e-9) for s, t, n in zip(sums(_stepped(fresh, max_rate)), target, natural, strict=True)]
+        far = max((abs(m) * n / max(t, 1e-3 * n, 1e-9) for m, n, t in zip(miss, natural, target, strict=True)), default=0.0)
+        if far < NEAR or (last is not None and abs(last - far) < 1e-3 * far):
             break
+        last = far
         steps.append(miss)
-        if len(steps) == CUT:
-            now, steps = handover(now.withColumn("rate", _stepped(steps, max_rate)), "rates"), []
-    return now.withColumn("rate", _stepped(steps, max_rate))
+        fresh.append(miss)
+        if len(fresh) == CUT:
+            now, fresh = handover(now.withColumn("rate", _stepped(fresh, max_rate)), "rates"), []
+    return steps
+
+
+def rated(members: DataFrame, steps: list[list[float]], max_rate: float) -> DataFrame:
+    return members.withColumn("rate", F.lit(1.0)).withColumn("rate", _stepped(steps, max_rate))
 
 
 def membership(docs: DataFrame, domains: Domains) -> DataFrame:
@@ -144,16 +153,18 @@ def mix_report(docs: DataFrame, labelled: DataFrame, weights: dict[str, float],
     all the same.
     """
     domains = learn(docs, labelled)
-    rated = fit_rates(membership(docs.select("doc_id", "text"), domains), domains.names, weights, total, max_rate)
+    members = handover(membership(docs.select("doc_id", "text"), domains), "members")
+    members = rated(members, fit_rates(members, domains.names, weights, total, max_rate), max_rate)
     named = F.map_from_arrays(F.array(*map(F.lit, domains.names)), "posterior")
     chance = F.pmod(F.xxhash64("_doc.doc_id", "_doc.text"), F.lit(1_000_000)) / 1e6
     p = [named[n].alias(f"p_{n}") for n in domains.names]
-    return rated.select("_doc.doc_id", "tokens", *p, "rate", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).alias("copies"))
+    return members.select("_doc.doc_id", "tokens", *p, "rate", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).alias("copies"))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]) -> DataFrame:
     """``docs`` thinned to the target weights; all columns as they were, no row more than once."""
     domains = learn(docs, labelled)
-    rated = fit_rates(membership(docs, domains), domains.names, weights, None, 1.0)
+    members = handover(membership(docs, domains), "members")
+    members = rated(members, fit_rates(members, domains.names, weights, None, 1.0), 1.0)
     chance = F.pmod(F.xxhash64("_doc.doc_id", "_doc.text"), F.lit(1_000_000)) / 1e6
-    return rated.where(chance < F.col("rate")).select(*[F.col("_doc")[n].alias(n) for n in docs.columns])
+    return members.where(chance < F.col("rate")).select(*[F.col("_doc")[n].alias(n) for n in docs.columns])
