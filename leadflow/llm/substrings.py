@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import by_size, raw
+from leadflow.llm.common import by_size, raw, stored
 from leadflow.operators.shared import handover
 
 #: Bytes of an anchor; bytes hashed at once; bytes of units in a bucket; units an anchor may bring
 #: to a bucket before it is split.
-GRAM, SLICE, BUCKET, CROWD = 32, 2 << 20, 512 << 10, 300
+GRAM, SLICE, BUCKET, CROWD = 64, 2 << 20, 512 << 10, 300
 
 
 def anchors(body: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -258,12 +258,14 @@ def _split_crowds(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """
     now, ready, settled = rows.withColumns({"key": F.col("h"), "a": F.lit(0), "b": F.lit(0)}), [], []
     while True:
-        sizes = now.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        now = handover(now.join(sizes, "key"), "keys")
-        ready.append(now.where(F.col("n") <= CROWD).drop("n", "a", "b"))
-        crowd = now.where(F.col("n") > CROWD).drop("n")
-        if crowd.isEmpty():
+        sizes = now.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        crowded = handover(sizes.where(F.col("n") > CROWD).select("key"), "crowded-keys")
+        if ready:  # units that no other unit agrees with any more are left out
+            now = stored(now.join(sizes.where("n > 1").select("key"), "key"), "keys")
+        ready.append(now.join(crowded, "key", "left_anti").drop("a", "b"))
+        if crowded.isEmpty():
             break
+        crowd = stored(now.join(crowded, "key"), "crowds")
         slack = F.lit(length - GRAM) - F.col("a") - F.col("b")
         full = crowd.where(slack <= 0)
         settled.append(full.select("row", (F.col("low") + F.col("left") - F.col("a")).alias("low"), (F.col("low") + F.col("left") + GRAM + F.col("b")).alias("high")))
@@ -291,23 +293,23 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     runs (start, end), kept the remaining bytes.  Null counts as empty; a text shorter than ``length``
     loses nothing; repeated rows are texts of their own and repeat each other.
     """
-    stored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw()).withColumn("row", F.monotonically_increasing_id())
-    stored = handover(stored, "texts")
-    texts = stored.select("row", "text")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw()).withColumn("row", F.monotonically_increasing_id())
+    own = stored(own, "texts")
+    texts = own.select("row", "text")
     # pieces of a very long text overlap, so an anchor may come twice
-    found = handover(texts.mapInArrow(_find_anchors(length), "h long, row long, pos long"), "anchors")
+    found = stored(texts.mapInArrow(_find_anchors(length), "h long, row long, pos long"), "anchors")
     twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     again = found.join(twice, "h", "left_semi").groupBy("row").agg(F.collect_set(F.struct("h", "pos")).alias("found"))
-    again = handover(again, "repeated-anchors")
-    hashed = handover(texts.join(again, "row").mapInArrow(_units(length, True), UNIT), "units")
+    again = stored(again, "repeated-anchors")
+    hashed = stored(texts.join(again, "row").mapInArrow(_units(length, True), UNIT), "units")
     hashed = hashed.where(F.col("high") - F.col("low") >= length)
     classes = hashed.groupBy("h", "unit").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "low", "left")).alias("one"))
-    classes = handover(classes, "unit-classes")
+    classes = stored(classes, "unit-classes")
     whole = hashed.join(classes.where("n > 1").select("h", "unit"), ["h", "unit"], "left_semi").select("row", "low", "high")
     differing = classes.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
     ask = classes.join(differing, "h", "left_semi").select("h", "one.row", (F.col("one.low") + F.col("one.left")).alias("pos"))
     ask = handover(ask.groupBy("row").agg(F.collect_list(F.struct("h", "pos")).alias("found")), "asked")
-    units = handover(texts.join(ask, "row").mapInArrow(_units(length, False), UNIT), "units")
+    units = stored(texts.join(ask, "row").mapInArrow(_units(length, False), UNIT), "units")
     keyed, settled = _split_crowds(units, length)
     volume = keyed.agg(F.sum(F.length("unit"))).first()[0] or 0
     buckets = max(1, -(-volume // BUCKET))
@@ -316,7 +318,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     spans = whole.union(settled).union(near).groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     spans = handover(spans, "spans")
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
-    return stored.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(_apply, schema)
+    return own.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(_apply, schema)
 
 
 def repeats_report(docs: DataFrame, length: int = 200) -> DataFrame:
