@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from leadflow.llm.common import LOWER, raw, word_codes
 from leadflow.operators.shared import handover, spread_lookup
 
-LEAST = 200
+LEAST = 1000
 #: Sweeps before and while sampling; customers of a row that a sweep seats anew.
 BURN, SAMPLES, RESEAT = 1, 3, 4
 STRENGTH, ROOT_DISCOUNT = 1.0, 0.5
@@ -313,9 +313,10 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     parts = handover(texts.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(_pairs(last), "part int, u long, w long, n long"), "pairs")
     trained = handover(parts.groupBy("u", "w").agg(F.sum("n").alias("c")).where("c > 0"), "trained")
     near, samples, _ = sampled(trained, dishes)
-    asked = parts.select("part", "u", "w").join(near, ["u", "w"])
+    near = handover(near, "near")
+    asked = handover(parts.select("part", "u", "w").join(near, ["u", "w"]), "asked")
     empty = {n: F.lit(None).cast(t).alias(n) for n, t in {"c": "long", "b": "long", "x": "double", "p": "array<double>", "g": "array<double>"}.items()}
-    ids = parts.select("part", F.col("u").alias("id")).union(parts.select("part", "w")).distinct().join(samples, "id", "left")
+    ids = handover(parts.select("part", F.col("u").alias("id")).union(parts.select("part", "w")).distinct().join(samples, "id", "left"), "ids")
     side = words.select("part", "kind", "a", "b", "c", empty["x"], empty["p"], empty["g"])
     side = side.union(ids.select("part", F.lit(1), "id", empty["b"], empty["c"], empty["x"], "p", "g"))
     side = side.union(asked.select("part", F.lit(2), "u", "w", empty["c"], "near", empty["p"], empty["g"]))
