@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadflow import vocab as V
 from leadflow.functions import text as T
 
-_TOO_BIG = 2147483647
+#: Every decimal digit but the ASCII ones, and its ASCII digit.
+_DIGITS = [c for c in map(chr, range(128, 0x110000)) if unicodedata.category(c) == "Nd"]
+_FOREIGN, _ASCII = "".join(_DIGITS), "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
 
 PERSON_TYPE = "struct<full_name:string,role_title:string>"
-COMPANY_TYPE = "struct<name:string,website:string,country_code:string,employee_estimate:int>"
+COMPANY_TYPE = "struct<name:string,website:string,country_code:string,employee_estimate:bigint>"
 
 
 def number(digits: Column) -> Column:
-    """INT of a digit string; '' is null, more than an INT holds is the largest INT."""
-    return F.when(digits != "", F.coalesce(digits.try_cast("int"), F.lit(_TOO_BIG)))
+    """BIGINT of a string of decimal digits of any script; null if it is empty or more than a BIGINT holds."""
+    return F.translate(digits, _FOREIGN, _ASCII).try_cast("bigint")
 
 
 def brief_numbers(df: DataFrame, text: str) -> DataFrame:

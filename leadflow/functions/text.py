@@ -279,10 +279,3 @@ def tidy_queries(values: Column, limit: int = 6, min_chars: int = 10) -> Column:
     """Suggested queries: squeezed, at least ten characters, distinct, first six."""
     flat = F.transform(values, lambda v: squeeze(F.coalesce(v, F.lit(""))))
     return F.slice(F.array_distinct(F.filter(flat, lambda v: F.length(v) >= min_chars)), 1, limit)
-
-
-def role_matches(role: Column, buyers: Column) -> tuple[Column, Column]:
-    """(exact, adjacent) of a normalised role; null role matches nothing."""
-    exact = F.exists(buyers, lambda b: F.contains(role, F.translate(b, "_", " ")))
-    adjacent = role.rlike("|".join(V.ADJACENT_ROLE_WORDS))
-    return F.coalesce(exact, F.lit(False)), F.coalesce(adjacent, F.lit(False))

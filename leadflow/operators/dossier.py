@@ -135,7 +135,7 @@ def _combination_facts(chosen: DataFrame, pages: DataFrame) -> DataFrame:
             by_title.alias("name"),
             T.official_website(F.col("page_text"), F.col("url"), T.host(F.col("url"))).alias("website"),
             T.country_of("_page_norm").alias("country_code"),
-            F.lit(None).cast("int").alias("employee_estimate"),
+            F.lit(None).cast("bigint").alias("employee_estimate"),
         ),
     )
     return parsed.select(

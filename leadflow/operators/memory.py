@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadflow import vocab as V
+from leadflow.operators.shared import spread_lookup
 
 
 def entries(memory: DataFrame, kind: str) -> DataFrame:
@@ -63,7 +64,7 @@ def miss_streak(counters: DataFrame, runs: DataFrame) -> DataFrame:
     ended = runs.filter(F.col("status") != "running")
     hit = F.col("status") != "no_result"
     last = ended.groupBy("scope").agg(F.max(F.when(hit, F.col("run_order"))).alias("_last_hit"))
-    since = ended.join(last, "scope").groupBy("scope").agg(
+    since = spread_lookup(ended, last, ["scope"], ["run_order"], "inner").groupBy("scope").agg(
         F.count_if(F.col("_last_hit").isNull() | (F.col("run_order") > F.col("_last_hit"))).alias("_since"),
         F.max("_last_hit").isNotNull().alias("_reset"),
     )

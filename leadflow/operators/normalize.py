@@ -12,9 +12,9 @@ from leadflow.sources.briefs import bounds_error
 
 
 def derived_id(prefix: str, *key: Column) -> Column:
-    """Reproducible id: prefix and twelve hex digits of the key's hash."""
+    """Reproducible id: prefix and 128 bits of the key's hash, in hex."""
     text = F.concat_ws("\u001f", *[k.cast("string") for k in key])
-    return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(text, 256), 1, 12))
+    return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(text, 256), 1, 32))
 
 
 def constraints_of(count: Column, place: Column, low: Column, high: Column) -> Column:

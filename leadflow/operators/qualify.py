@@ -11,7 +11,7 @@ from leadflow import schemas as S
 from leadflow import vocab as V
 from leadflow.functions import extract as E
 from leadflow.functions import text as T
-from leadflow.operators.shared import handover
+from leadflow.operators.shared import handover, spread_lookup
 from leadflow.sources.evidence import with_page_text
 
 
@@ -266,10 +266,13 @@ def ground(work: DataFrame, claims: DataFrame, pages: DataFrame, key: list[str])
 
 
 def prefer_grounded(dossiers: DataFrame, grounded: DataFrame, explored: DataFrame, key: list[str]) -> DataFrame:
-    """Replace rule dossiers by grounded external ones, except for companies explored before."""
-    names = explored.select("scope", "company_key").distinct()
+    """Replace rule dossiers by grounded external ones, except for companies explored before.
+
+    The rule dossiers that stay are taken as they are: check them with ``drop_explored`` first.
+    """
+    names = explored.select("scope", "company_key", F.lit(True).alias("_known")).distinct()
     scoped = grounded.join(dossiers.select(*key, "scope"), key).withColumn("company_key", F.lower("company.name"))
-    fresh = scoped.join(names, ["scope", "company_key"], "left_anti")
+    fresh = spread_lookup(scoped, names, ["scope", "company_key"], key).where("_known is null")
     new = fresh.select(*key, *[F.col(c).alias(f"g_{c}") for c in S.DOSSIER_COLUMNS])
     joined = dossiers.join(new, key, "left")
     held = F.col("g_sourcing_status").isNotNull()

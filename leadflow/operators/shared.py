@@ -50,15 +50,6 @@ def handover(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def over_all_cores(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer splits than there are cores, as text work is CPU-bound.
-
-    Only inputs of a few small files are affected; a large table has many splits and stays as read.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def spread_factor(spark: SparkSession) -> int:
     """Parts a hot key is cut into: one per shuffle partition."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))

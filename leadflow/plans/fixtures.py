@@ -9,19 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadflow.operators.shared import over_all_cores
 from leadflow.sources.evidence import rank_results
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 SINGLE_RESULT_QUERIES = ["%AI agents software", "%startup automation software company", "%cto AI software startup"]
 
 
-CPU_HEAVY = ["customer", "lineitem", "pages", "documents"]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return over_all_cores(df) if name in CPU_HEAVY else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 BRIEFS_SQL = """
@@ -33,7 +28,9 @@ SELECT c_custkey AS brief_id,
       WHEN 3 THEN ' in Portugal' WHEN 4 THEN ' in the UK' ELSE '' END,
     CASE c_custkey % 4
       WHEN 0 THEN concat(' between ', 5 + c_custkey % 20, ' and ', 60 + c_custkey % 90, ' employees')
-      WHEN 1 THEN concat(' under ', 40 + c_custkey % 100, ' employees')
+      WHEN 1 THEN concat(' under ', translate(cast(40 + c_custkey % 100 AS STRING), '0123456789',
+        CASE c_custkey % 5 WHEN 1 THEN '٠١٢٣٤٥٦٧٨٩' WHEN 2 THEN '０１２３４５６７８９'
+          ELSE '0123456789' END), CASE WHEN c_custkey % 37 = 5 THEN '00000000' ELSE '' END, ' employees')
       WHEN 2 THEN concat(' over ', 10 + c_custkey % 50, ' employees') ELSE '' END,
     CASE c_mktsegment WHEN 'MACHINERY' THEN ' for automation' WHEN 'BUILDING' THEN ' for genai'
       WHEN 'AUTOMOBILE' THEN ' for agentic workflow' WHEN 'FURNITURE' THEN ' with llm and software' ELSE '' END) AS user_text,
@@ -74,7 +71,9 @@ TEXT_COLUMNS = [
     CASE l_linenumber % 6 WHEN 0 THEN 'Role: CTO | ' WHEN 1 THEN 'Role: Engineering Manager | ' WHEN 2 THEN 'Role: Director of Sales | '
       WHEN 3 THEN 'led by the founder | ' WHEN 4 THEN '' ELSE 'Role: Talent Lead | ' END,
     CASE l_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'Country: Unknown | ' ELSE concat('Country: ', place, ' | ') END,
-    CASE l_partkey % 5 WHEN 0 THEN '' ELSE concat('Employees: ', p_size * 3, ' | ') END,
+    CASE l_partkey % 5 WHEN 0 THEN '' ELSE concat('Employees: ', translate(cast(p_size * 3 AS STRING), '0123456789',
+      CASE l_suppkey % 7 WHEN 1 THEN '٠١٢٣٤٥٦٧٨٩' WHEN 2 THEN '０１２３４５６７８９' ELSE '0123456789' END),
+      CASE WHEN l_suppkey % 41 = 3 THEN '000000000' ELSE '' END, ' | ') END,
     CASE l_suppkey % 4 WHEN 0 THEN 'see https://site.example.com/a). GenAI automation' WHEN 1 THEN 'agentic workflow'
       WHEN 2 THEN 'machine learning engineering' ELSE 'parts' END) AS snippet""",
     "'fixture' AS source_type",

@@ -22,9 +22,19 @@ def lits(values: list[str]) -> str:
 
 
 def re2(pattern: str) -> str:
+    if "(?iU)" in pattern or "(?U)" in pattern:  # digits of every script
+        pattern = pattern.replace(r"\d", r"\p{Nd}")
     return lit(pattern.replace("(?iU)", "(?i)").replace("(?U)", ""))
 
 
+#: The scripts whose digits the fixture tables hold.
+DIGITS = "\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669\uff10\uff11\uff12\uff13\uff14\uff15\uff16\uff17\uff18\uff19"
+
+
+def as_number(x: str) -> str:
+    return f"try_cast(nullif(translate({x}, '{DIGITS}', '01234567890123456789'), '') AS BIGINT)"
+
+
 def norm(x: str) -> str:
     return f"trim(regexp_replace(lower(coalesce({x}, '')), '{W}+', ' ', 'g'))"
 
@@ -154,7 +164,7 @@ def tidy_role(x: str) -> str:
 
 
 def run_id(key: str) -> str:
-    return f"'run_' || substr(sha256(cast({key} AS VARCHAR)), 1, 12)"
+    return f"'run_' || substr(sha256(cast({key} AS VARCHAR)), 1, 32)"
 
 
 def role_exact(role_norm: str, buyers: str) -> str:
@@ -206,7 +216,7 @@ def parse(name: str, source: str) -> None:
         CASE WHEN coalesce(x_name, '') <> '' OR coalesce(x_role, '') <> '' THEN x_role END AS p_role,
         c_name, CASE WHEN c_name IS NOT NULL THEN {website('text', 'url', 'h')} END AS c_site,
         CASE WHEN c_name IS NOT NULL THEN {country('place_text')} END AS c_country,
-        CASE WHEN c_name IS NOT NULL THEN try_cast(nullif(g_staff, '') AS INTEGER) END AS c_staff
+        CASE WHEN c_name IS NOT NULL THEN {as_number('g_staff')} END AS c_staff
       FROM (SELECT *, CASE WHEN length(nm) > 80 OR ({n_words('nm')}) > 8 THEN coalesce(by_url, {title_company(first_line)})
               ELSE nm END AS c_name
             FROM (SELECT *, coalesce(labelled, by_url) AS nm FROM {name}_names))"""
@@ -223,7 +233,9 @@ SELECT c_custkey AS brief_id, c_nationkey, c_acctbal,
       WHEN 3 THEN ' in Portugal' WHEN 4 THEN ' in the UK' ELSE '' END,
     CASE c_custkey % 4
       WHEN 0 THEN concat(' between ', cast(5 + c_custkey % 20 AS VARCHAR), ' and ', cast(60 + c_custkey % 90 AS VARCHAR), ' employees')
-      WHEN 1 THEN concat(' under ', cast(40 + c_custkey % 100 AS VARCHAR), ' employees')
+      WHEN 1 THEN concat(' under ', translate(cast(40 + c_custkey % 100 AS VARCHAR), '0123456789',
+        CASE c_custkey % 5 WHEN 1 THEN '\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669' WHEN 2 THEN '\uff10\uff11\uff12\uff13\uff14\uff15\uff16\uff17\uff18\uff19'
+          ELSE '0123456789' END), CASE WHEN c_custkey % 37 = 5 THEN '00000000' ELSE '' END, ' employees')
       WHEN 2 THEN concat(' over ', cast(10 + c_custkey % 50 AS VARCHAR), ' employees') ELSE '' END,
     CASE c_mktsegment WHEN 'MACHINERY' THEN ' for automation' WHEN 'BUILDING' THEN ' for genai'
       WHEN 'AUTOMOBILE' THEN ' for agentic workflow' WHEN 'FURNITURE' THEN ' with llm and software' ELSE '' END) AS user_text
@@ -258,7 +270,9 @@ SELECT *,
     CASE l_linenumber % 6 WHEN 0 THEN 'Role: CTO | ' WHEN 1 THEN 'Role: Engineering Manager | ' WHEN 2 THEN 'Role: Director of Sales | '
       WHEN 3 THEN 'led by the founder | ' WHEN 4 THEN '' ELSE 'Role: Talent Lead | ' END,
     CASE l_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'Country: Unknown | ' ELSE concat('Country: ', place, ' | ') END,
-    CASE l_partkey % 5 WHEN 0 THEN '' ELSE concat('Employees: ', cast(p_size * 3 AS VARCHAR), ' | ') END,
+    CASE l_partkey % 5 WHEN 0 THEN '' ELSE concat('Employees: ', translate(cast(p_size * 3 AS VARCHAR), '0123456789',
+      CASE l_suppkey % 7 WHEN 1 THEN '\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669' WHEN 2 THEN '\uff10\uff11\uff12\uff13\uff14\uff15\uff16\uff17\uff18\uff19' ELSE '0123456789' END),
+      CASE WHEN l_suppkey % 41 = 3 THEN '000000000' ELSE '' END, ' | ') END,
     CASE l_suppkey % 4 WHEN 0 THEN 'see https://site.example.com/a). GenAI automation' WHEN 1 THEN 'agentic workflow'
       WHEN 2 THEN 'machine learning engineering' ELSE 'parts' END) AS snippet
 FROM v_terms"""
@@ -279,7 +293,7 @@ FROM v_results WHERE l_linestatus = 'O' GROUP BY url"""
 
 
 def _number(pattern: str, group: int = 1) -> str:
-    return f"try_cast(nullif(regexp_extract(user_text, {re2(pattern)}, {group}), '') AS INTEGER)"
+    return as_number(f"regexp_extract(user_text, {re2(pattern)}, {group})")
 
 
 CTE["r_read"] = f"""
@@ -291,14 +305,15 @@ SELECT *, {norm('user_text')} AS n,
 FROM v_briefs"""
 
 CTE["req_all"] = f"""
-SELECT brief_id, c_nationkey, c_acctbal, user_text, n, 'req_' || substr(sha256(cast(brief_id AS VARCHAR)), 1, 12) AS request_id,
+SELECT brief_id, c_nationkey, c_acctbal, user_text, n, 'req_' || substr(sha256(cast(brief_id AS VARCHAR)), 1, 32) AS request_id,
   coalesce(nullif(counted, 0), 3) AS target_count, {country('n')} AS country,
   coalesce(low, over_n) AS min_size, CASE WHEN low IS NOT NULL THEN high ELSE under_n END AS max_size,
   CASE WHEN len(found_buyers) > 0 THEN found_buyers ELSE {lits(V.DEFAULT_BUYERS)} END AS buyers,
   {let(themes_in('n', {**V.THEME_ALIASES, **V.EXTRA_BRIEF_THEMES}), 'ft', f'CASE WHEN len(ft) > 0 THEN ft ELSE {lits(V.DEFAULT_THEMES)} END')} AS themes
 FROM r_read"""
 
-CTE["req"] = "SELECT * FROM req_all WHERE target_count BETWEEN 1 AND 20"
+CTE["req"] = """SELECT * FROM req_all WHERE target_count BETWEEN 1 AND 20
+  AND coalesce(min_size BETWEEN 1 AND 100000, true) AND coalesce(max_size BETWEEN 1 AND 100000, true)"""
 
 
 def _terms_case() -> str:
@@ -449,7 +464,7 @@ FROM {name}_ruled"""
 
 decide("decided", "doss")
 CTE["lead_rows"] = f"""
-SELECT *, 'lead_' || substr(sha256(run_id || chr(31) || cast(idx AS VARCHAR)), 1, 12) AS lead_id,
+SELECT *, 'lead_' || substr(sha256(run_id || chr(31) || cast(idx AS VARCHAR)), 1, 32) AS lead_id,
   {tidy_person('full_name')} AS person_name, {tidy_role('role_title')} AS tidy_role FROM decided WHERE outcome = 'ACCEPT'"""
 CTE["short_rows"] = f"""
 SELECT 'short_' || substr(run_id, 5) AS shortlist_id, run_id, brief_id, company_name, {tidy_person('full_name')} AS person_name,
@@ -755,18 +770,16 @@ oracle(
 oracle("fit_signals", "SELECT brief_id, pos, rank, array_to_string(sig, '; ') AS fit_signals, cast(score AS INTEGER) AS score FROM scored")
 oracle("best_evidence", "SELECT brief_id, pos, rank, url, cast(score AS INTEGER) AS score FROM best_row")
 oracle("dossiers", flat("doss"))
-oracle(
-    "explored_companies",
-    flat(
-        f"""(SELECT brief_id, pos, query_used, CASE WHEN again THEN 'NO_CANDIDATE' ELSE sourcing_status END AS sourcing_status,
+CTE["checked"] = (
+    f"""SELECT brief_id, pos, query_used, CASE WHEN again THEN 'NO_CANDIDATE' ELSE sourcing_status END AS sourcing_status,
       CASE WHEN NOT again THEN full_name END AS full_name, CASE WHEN NOT again THEN role_title END AS role_title,
       CASE WHEN NOT again THEN company_name END AS company_name, CASE WHEN NOT again THEN website END AS website,
       CASE WHEN NOT again THEN country_code END AS country_code, CASE WHEN NOT again THEN employee_estimate END AS employee_estimate,
       CASE WHEN again THEN [] ELSE fit END AS fit, CASE WHEN again THEN [] ELSE evidence END AS evidence,
       CASE WHEN again THEN list_append(notes, '{V.NOTE_EXPLORED}') ELSE notes END AS notes
-      FROM (SELECT *, coalesce(lower(company_name) IN (SELECT lower(p_name) FROM v_results WHERE l_returnflag = 'R'), false) AS again FROM doss))"""
-    ),
+      FROM (SELECT *, coalesce(lower(company_name) IN (SELECT lower(p_name) FROM v_results WHERE l_returnflag = 'R'), false) AS again FROM doss)"""
 )
+oracle("explored_companies", flat("checked"))
 oracle("follow_up", flat("followed", "follow_ups"))
 oracle("enrich_pass", flat("enriched"))
 oracle("gap_fill", flat("gap_filled"))
@@ -775,7 +788,7 @@ _fields = "brief_id, pos, sourcing_status, query_used, full_name, role_title, co
 CTE["fresh_claims"] = f"""
 SELECT {_fields} FROM grounded WHERE lower(company_name) NOT IN (SELECT lower(p_name) FROM v_results WHERE l_returnflag = 'R')"""
 CTE["preferred"] = f"""
-SELECT * FROM fresh_claims UNION ALL SELECT {_fields} FROM doss ANTI JOIN fresh_claims USING (brief_id, pos)"""
+SELECT * FROM fresh_claims UNION ALL SELECT {_fields} FROM checked ANTI JOIN fresh_claims USING (brief_id, pos)"""
 oracle("grounded_dossiers", flat("preferred"))
 oracle("qualify", "SELECT brief_id, pos, outcome, match_type, score, summary, type, region FROM decided")
 oracle(

@@ -474,10 +474,11 @@ def ground_external(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def grounded_dossiers(spark: SparkSession, sf: str) -> DataFrame:
-    """Rule dossiers with sound external ones in their place, unless the company was explored."""
+    """Rule dossiers with sound external ones in their place; of either kind none whose company was explored."""
     offered = handover(dossier_rows(spark, sf), "offered")
     grounded = K.ground(offered, external_claims(offered), X.pages(spark, sf), KEY)
-    return flat_dossier(K.prefer_grounded(offered, grounded, returned_names(spark, sf), KEY))
+    explored = returned_names(spark, sf)
+    return flat_dossier(K.prefer_grounded(D.drop_explored(offered, explored, KEY), grounded, explored, KEY))
 
 
 # ---------------------------------------------------------------- decisions

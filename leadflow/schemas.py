@@ -2,10 +2,10 @@
 
 EVIDENCE_ITEM = "struct<url:string,title:string,snippet:string,source_type:string>"
 PERSON = "struct<full_name:string,role_title:string>"
-COMPANY = "struct<name:string,website:string,country_code:string,employee_estimate:int>"
+COMPANY = "struct<name:string,website:string,country_code:string,employee_estimate:bigint>"
 CONSTRAINTS = (
-    "struct<target_count:int,preferred_country:string,preferred_regions:array<string>,"
-    "min_company_size:int,max_company_size:int,prefer_named_person:boolean,"
+    "struct<target_count:bigint,preferred_country:string,preferred_regions:array<string>,"
+    "min_company_size:bigint,max_company_size:bigint,prefer_named_person:boolean,"
     "hard_constraints:array<string>,relaxable_constraints:array<string>>"
 )
 CLOSE_MATCH = "struct<summary:string,missed_filters:array<string>,reasons:array<string>>"

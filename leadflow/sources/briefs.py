@@ -66,5 +66,6 @@ def bounds_error(constraints: Column) -> Column:
 def validate_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split normalised requests into ``(within bounds, quarantine)``; pass a stored table, so that
     the bounds are checked on stored numbers instead of pushing the text patterns into a filter."""
-    checked = requests.withColumn("error", bounds_error(F.col("constraints")))
+    beyond = F.when(F.col("user_text").rlike(r"(?U)\d{19}"), "number out of range")
+    checked = requests.withColumn("error", F.coalesce(bounds_error(F.col("constraints")), beyond))
     return checked.filter(F.col("error").isNull()).drop("error"), checked.filter(F.col("error").isNotNull())

@@ -3,6 +3,8 @@
 import json
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from leadflow import schemas as S
@@ -135,3 +137,21 @@ def test_selection_stream(spark, tmp_path, small):
     leads = spark.read.parquet(f"{out}/accepted_leads").collect()
     assert sorted((r.shortlist_id, r.batch) for r in leads) == sorted([(one, 0), (two, 1)])
     assert spark.read.parquet(f"{out}/refused").count() == 2
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from leadflow.operators import shared
+
+    used = []
+    for master in ("spark://host:7077", "yarn", "k8s://https://host", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared.private_dir(master, used.append)
+    assert not used and shared.private_dir("local[4]", used.append) == used[0]
+
+
+def test_numbers_of_any_script_and_size(spark):
+    from leadflow.functions.extract import number
+
+    texts = ["٢٥", "２５", "12345678901", "७", "9" * 18, "9" * 25, "", "007"]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(number(F.col("t"))).collect()]
+    assert got == [None if not t or int(t) >= 2**63 else int(t) for t in texts]
