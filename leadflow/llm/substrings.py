@@ -23,7 +23,7 @@ from leadflow.operators.shared import handover
 
 #: Bytes of an anchor; bytes hashed at once; bytes of units in a bucket; units an anchor may bring
 #: to a bucket before it is split.
-GRAM, SLICE, BUCKET, CROWD = 64, 2 << 20, 512 << 10, 300
+GRAM, SLICE, BUCKET, CROWD = 64, 2 << 20, 512 << 10, 4000
 
 
 def anchors(body: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,12 +96,12 @@ def _find_anchors(length: int):
 def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     """Positions of ``s``, read as a ring, sorted by the ``depth`` or more symbols that start there."""
     n = len(s)
-    key, around = s.astype(np.int64), s.astype(np.int64)
-    for k in range(1, 6):  # six 9-bit symbols to begin with
-        key = (key << 9) | np.roll(around, -k)
-    width = 6
+    key = s.astype(np.int64)
+    for k in range(1, 4):  # four 9-bit symbols to begin with
+        key = (key << 9) | np.roll(s, -k)
+    width = 4
     while True:
-        order = np.argsort(key, kind="stable")
+        order = _order(key)
         ranked = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
@@ -111,6 +111,14 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
         width *= 2
 
 
+def _order(key: np.ndarray) -> np.ndarray:
+    """Stable order of nonnegative keys; keys and places are sorted as one number while both fit."""
+    bits = max(1, len(key) - 1).bit_length()
+    if not len(key) or int(key.max()).bit_length() + bits > 62:
+        return np.argsort(key, kind="stable")
+    return np.sort((key << bits) | np.arange(len(key))) & ((1 << bits) - 1)
+
+
 def common_below(s: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """For each sorted position but the first: whether it shares ``length`` symbols with the one before.
 
@@ -121,7 +129,7 @@ def common_below(s: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     n = len(s)
     before = s[order - 1]
     step = np.empty(n, np.int64)
-    step[np.argsort(before, kind="stable")] = np.arange(n)
+    step[_order(before)] = np.arange(n)
     noted = np.zeros(n + 1, bool)
     noted[n] = True
     low, high = np.array([0]), np.array([n])
@@ -131,7 +139,7 @@ def common_below(s: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
         at = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + low[which]
         key = which * 512 + before[at]
         if len(low) < len(at):
-            by = np.argsort(key, kind="stable")
+            by = _order(key)
             key, at = key[by], at[by]
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         low, high = step[at[new]], step[at[np.concatenate([new[1:], [len(at)]]) - 1]] + 1
