@@ -16,6 +16,7 @@ import types
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -145,14 +146,16 @@ class Tokens:
 
 
 def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """(doc_id, ids): ids of each whole text with ``end`` appended, as little-endian unsigned integers (16 bits if they fit)."""
+    """(doc_id, ids): ids of each whole text with ``end`` appended, as little-endian unsigned integers (16 bits if they fit), each row compressed by Zstandard."""
 
     def run(batches):
         tokens = _worker("tokens:" + path, lambda: Tokens(path))
         last = np.array([end], tokens.width).tobytes()
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for part in by_size(batch, "text", SLICE):
-                ids = [i + last for i in tokens.batch(part.column("text"))]
+                # compressed here, as they are stored and shuffled before they are coded
+                ids = [pack(i + last) for i in tokens.batch(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -161,9 +164,9 @@ def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
 
 def _counted(width):
     def run(batches):
-        total = np.zeros(0, np.int64)
+        total, unpack = np.zeros(0, np.int64), zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            ids = np.frombuffer(b"".join(v.as_buffer() for v in batch.column(0)), width)
+            ids = np.frombuffer(b"".join([unpack(v.as_buffer()) for v in batch.column(0)]), width)
             more = np.bincount(ids, minlength=len(total))
             more[: len(total)] += total
             total = more
@@ -186,9 +189,11 @@ def _blocks(shared, width):
 
     def run(batches):
         table, seq, first, held, size, part = None, 0, 0, [], 0, 0
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             table = table or Table(shared.value)
-            for part, doc, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids")), strict=True):
+            for part, doc, packed in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids")), strict=True):
+                ids = unpack(packed)
                 held.append((doc, ids))
                 size += len(ids) // np.dtype(width).itemsize
                 if size >= BLOCK:
@@ -212,7 +217,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int = 2) -> None:
     vocabulary = max(Tokenizer.from_file(path).get_vocab_size(), end + 1)
     width = np.uint16 if vocabulary <= 1 << 16 else np.uint32
     rows = new_folder(spark, "ids")
-    tokenised(docs, path, end).write.option("compression", "zstd").parquet(rows)
+    tokenised(docs, path, end).write.option("compression", "none").parquet(rows)
     ids = spark.read.schema("doc_id long, ids binary").parquet(rows)
     counted = ids.select("ids").mapInArrow(_counted(width), "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
     counted.write.parquet(f"{folder}/table")
