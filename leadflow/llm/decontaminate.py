@@ -132,14 +132,16 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", size:
     windows travel as a broadcast hash set while they are few (``BROADCAST_WINDOWS``, checked);
     more are taken in parts by hash, and the parts' results are joined by row.  Every occurrence is
     verified word by word.  Null and empty texts have no words and no hits; an empty benchmark gives
-    no hits; repeated rows of documents are scanned as rows of their own where ``key`` is unique.
+    no hits; repeated rows of documents are scanned as rows of their own.
     """
     spark = docs.sparkSession
     grams = handover(windows(benchmark, size), "windows")
     parts = max(1, -(-grams.count() // BROADCAST_WINDOWS))
-    schema = "row {0}, n_words long, hits array<struct<start: long, words: long>>, items array<string>"
     texts = docs.select(F.col(key).alias("row"), raw())
-    schema = schema.format(texts.schema["row"].dataType.simpleString())
+    if parts > 1:  # rows are told apart when their parts are merged
+        texts = handover(texts.select(F.struct("row", F.monotonically_increasing_id().alias("n")).alias("row"), "text"), "texts")
+    kind = texts.schema["row"].dataType.simpleString()
+    schema = f"row {kind}, n_words long, hits array<struct<start: long, words: long>>, items array<string>"
     scanned = []
     for part in range(parts):
         own = grams.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == part).toLocalIterator()
@@ -150,7 +152,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", size:
         each = scanned[0]
         for more in scanned[1:]:
             each = each.union(more)
-        scanned = [each.groupBy("row", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))]
+        hits, items = F.flatten(F.collect_list("hits")), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
+        merged = each.groupBy("row.n").agg(F.first("row.row").alias("row"), F.first("n_words").alias("n_words"), hits.alias("hits"), items.alias("items"))
+        scanned = [merged.drop("n")]
     return scanned[0].withColumnRenamed("row", key)
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,12 @@ BASE = {
 }
 #: What else may be personal data: numbers in groups, and addresses whose at-sign is spelt out.
 NUMBERS = r"(?<![A-Za-z0-9])\(?[0-9][0-9 ().-]{5,}[0-9](?![A-Za-z0-9])"
-SPELT = r"[A-Za-z0-9._%+-]+ ?[\[({](?:at|AT)[\])}] ?[A-Za-z0-9-]+(?:(?:\.| ?[\[({](?:dot|DOT)[\])}] ?)[A-Za-z0-9-]+)+"
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_HOST = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_SPELT_AT = re.compile(r" ?[\[({](?:at|AT)[\])}]")
+_SPELT_HOST = re.compile(r" ?[A-Za-z0-9-]+(?:(?:\.| ?[\[({](?:dot|DOT)[\])}] ?)[A-Za-z0-9-]+)+")
+#: As BASE, but begun at the first digit only: no later start in a row of digits can match.
+_IP = re.compile(r"(?<![0-9])" + BASE["ip"])
 #: Gazetteers: ends of host names, dialling codes, first digits of card issuers.
 HOST_ENDS = frozenset("com org net edu gov info io de fr es it uk eu at ch nl be pt br mx ca us au in jp cn ru pl se".split())
 DIALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "61", "81", "82", "86", "90", "91", "351", "353", "358")
@@ -52,25 +59,53 @@ def _holds(kind: str, span: str) -> bool:
     return 8 <= len(digits) <= 15 if kind == "phone" else True
 
 
+def _before(text: str, at: int, least: int) -> int:
+    """Where the run of address characters that ends at ``at`` begins, not before ``least``."""
+    while at > least and text[at - 1] in _LOCAL:
+        at -= 1
+    return at
+
+
+def _emails(text: str):
+    """The leftmost matches of the base pattern, from each at-sign outwards: no run is searched twice, however long."""
+    end = 0
+    at = text.find("@")
+    while at >= 0:
+        start, host = _before(text, at, end), _HOST.match(text, at)
+        if host and start < at:
+            end = host.end()
+            yield start, end
+        at = text.find("@", max(at + 1, end))
+
+
+def _spelt(text: str):
+    end = 0
+    for m in _SPELT_AT.finditer(text):
+        start, host = _before(text, m.start(), end), _SPELT_HOST.match(text, m.end())
+        if host and start < m.start():
+            end = host.end()
+            yield start, end
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind as in KINDS, then start."""
-    out = []
-    for kind in KINDS:
-        if ("@" if kind == "email" else "+" if kind == "phone" else "." if kind == "ip" else "") in text:
-            out += [(kind, m.start(), m.end()) for m in re.finditer(BASE[kind], text) if _holds(kind, m.group())]
+    out = [("email", a, b) for a, b in _emails(text)]
+    for kind, pattern, mark in (("ip", _IP, "."), ("card", re.compile(BASE["card"]), ""), ("phone", re.compile(BASE["phone"]), "+")):
+        if mark in text:
+            out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if _holds(kind, m.group())]
     return out
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
     """Spans that may be personal data and overlap no base span."""
     taken = sorted((a, b) for _, a, b in base)
+    starts, ends = [a for a, _ in taken], [*accumulate((b for _, b in taken), max)]
     out = []
-    for pattern in (SPELT, NUMBERS):
-        for m in re.finditer(pattern, text):
-            if all(m.end() <= a or b <= m.start() for a, b in taken):
-                out.append(m.span())
-                taken.append(m.span())
-    return sorted(out)
+    for a, b in sorted([*_spelt(text), *((m.start(), m.end()) for m in re.finditer(NUMBERS, text))]):
+        k = bisect_left(starts, b)
+        if (k == 0 or ends[k - 1] <= a) and (not out or out[-1][1] <= a):
+            out.append((a, b))
+    return out
 
 
 def votes(text: str, start: int, end: int) -> tuple[int, ...]:
