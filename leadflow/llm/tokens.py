@@ -28,9 +28,9 @@ from leadflow.operators.shared import handover, new_folder
 #: Ids after which a block is closed; a longer document makes a longer block of its own.
 BLOCK = 1 << 18
 #: Bytes of text whose pieces are numbered together.
-SLICE = 12 << 20
+SLICE = 4 << 20
 #: Atoms of text whose ids a worker remembers; it forgets all when there are more.
-REMEMBER = 1_000_000
+REMEMBER = 500_000
 
 
 def _worker(name: str, make):
