@@ -148,7 +148,8 @@ def run_campaign(
     """
     state, queries = _start(requests, memory)
     # Only results of queries that can be asked are read again in every round.
-    mine = handover(evidence.join(queries, "query", "left_semi"), "evidence")
+    first = evidence.filter(F.col("rank") < max_results)
+    mine = handover(first.join(queries, "query", "left_semi"), "evidence")
     attempts, ended = [], []
     for idx in range(1, source_attempt_budget + 1):
         decided = _attempt(state, mine, evidence, pages, memory, enrich_attempt_budget, max_results)

@@ -59,8 +59,10 @@ def with_page_text(df: DataFrame, pages: DataFrame, spread_by: list[str]) -> Dat
 
 
 def unvisited(evidence: DataFrame, visited: DataFrame) -> DataFrame:
-    """Evidence rows whose (scope, url) is not in ``visited``."""
-    return evidence.join(visited.select("scope", "url").distinct(), ["scope", "url"], "left_anti")
+    """Evidence rows whose (scope, url) is not in ``visited``; rows of one popular URL are spread by their other columns."""
+    seen = visited.select("scope", "url", F.lit(True).alias("_seen")).distinct()
+    found = spread_lookup(evidence, seen, ["scope", "url"], [c for c in evidence.columns if c not in ("scope", "url")])
+    return found.where("_seen is null").select(*evidence.columns)
 
 
 def usable_results(evidence: DataFrame) -> DataFrame:
