@@ -252,8 +252,8 @@ def _score(last: int, total: int, distinct: int, rare: tuple[int, int], dishes:
         known = more.column("a").to_numpy()
         order = np.argsort(known)
         known = known[order]
-        flat = lambda name, missing: np.array([missing if v is None else v for v in more.column(name).to_pylist()], float).reshape(len(known), SAMPLES)[order]
-        p, g = flat("p", [1.0 / dishes] * SAMPLES), flat("g", [1.0] * SAMPLES)
+        flat = lambda name, missing: np.stack([pc.fill_null(more.column(f"{name}{k}"), missing).to_numpy() for k in range(SAMPLES)], axis=1)[order]
+        p, g = flat("p", 1.0 / dishes), flat("g", 1.0)
         pairs = side.filter(pc.equal(side.column("kind"), 2))
         u, w, near = (pairs.column(c).to_numpy() for c in ("a", "b", "x"))
         place = lambda x: np.searchsorted(known, x)
@@ -315,11 +315,15 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     near, samples, _ = sampled(trained, dishes)
     near = handover(near, "near")
     asked = handover(parts.select("part", "u", "w").join(near, ["u", "w"]), "asked")
-    empty = {n: F.lit(None).cast(t).alias(n) for n, t in {"c": "long", "b": "long", "x": "double", "p": "array<double>", "g": "array<double>"}.items()}
+    # plain columns: rows with null arrays are slow to hand to Python
+    drawn = [f"{n}{k}" for n in "pg" for k in range(SAMPLES)]
+    samples = samples.select("id", *[F.col(n)[k].alias(f"{n}{k}") for n in "pg" for k in range(SAMPLES)])
+    empty = {n: F.lit(None).cast("double" if n in (*drawn, "x") else "long").alias(n) for n in ("b", "c", "x", *drawn)}
+    none = [empty[n] for n in drawn]
     ids = handover(parts.select("part", F.col("u").alias("id")).union(parts.select("part", "w")).distinct().join(samples, "id", "left"), "ids")
-    side = words.select("part", "kind", "a", "b", "c", empty["x"], empty["p"], empty["g"])
-    side = side.union(ids.select("part", F.lit(1), "id", empty["b"], empty["c"], empty["x"], "p", "g"))
-    side = side.union(asked.select("part", F.lit(2), "u", "w", empty["c"], "near", empty["p"], empty["g"]))
+    side = words.select("part", "kind", "a", "b", "c", empty["x"], *none)
+    side = side.union(ids.select("part", F.lit(1), "id", empty["b"], empty["c"], empty["x"], *drawn))
+    side = side.union(asked.select("part", F.lit(2), "u", "w", empty["c"], "near", *none))
     rare = (sums["rare_n"] or 0, sums["rare_v"] or 0)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     found = texts.groupBy("part").cogroup(side.groupBy("part")).applyInArrow(_score(last, total, distinct, rare, dishes), schema)
