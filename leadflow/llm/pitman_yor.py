@@ -1,9 +1,9 @@
 """Language-model scores by a hierarchical Pitman-Yor model whose seating is sampled by Gibbs.
 
 Restaurants are contexts (the word before); all share one parent restaurant over words, whose base
-is uniform.  Words seen ``LEAST`` times or more in training are dishes and contexts of their own; all
-rarer ones are one dish and one context, and inside that dish a word has its smoothed share of
-counts.  So the model grows with the corpus, and every count is over all of it.
+is uniform.  Every word of the training texts is a dish and a context of its own; all words that only
+held-out texts have are one more dish and context.  So the model grows with the corpus, and every
+count is over all of it.
 
 Seating is kept per (context, dish): the sizes of its tables.  A sweep takes customers out and seats
 them again, each row by itself: what rows share, the tables of a restaurant and the parent's
@@ -24,14 +24,13 @@ from pyspark.sql import functions as F
 from leadflow.llm.common import LOWER, raw, word_codes
 from leadflow.operators.shared import handover, spread_lookup
 
-LEAST = 1000
 #: Sweeps before and while sampling; customers of a row that a sweep seats anew.
 BURN, SAMPLES, RESEAT = 1, 3, 4
 STRENGTH, ROOT_DISCOUNT = 1.0, 0.5
 #: Customers seated one by one at the start; the rest joins tables by their sizes.
 OPENING = 32
-#: Ids of the dish of rare words and of the start of a text; others are from 0.
-RARE, START = -1, -2
+#: Ids of the dish of words not seen in training and of the start of a text; others are from 0.
+UNSEEN, START = -1, -2
 
 
 def _number(batches):
@@ -61,7 +60,7 @@ def _reader(side: pa.Table):
     """Per word of a part's dictionary: its id and training count, and where ids start."""
     words = side.filter(pc.equal(side.column("kind"), 0))
     code = words.column("a").to_numpy()
-    ids, counts = np.full(code.max(initial=-1) + 1, RARE), np.zeros(code.max(initial=-1) + 1, np.int64)
+    ids, counts = np.full(code.max(initial=-1) + 1, UNSEEN), np.zeros(code.max(initial=-1) + 1, np.int64)
     ids[code], counts[code] = words.column("b").to_numpy(), words.column("c").to_numpy()
     return ids, counts
 
@@ -243,7 +242,7 @@ def sampled(pairs: DataFrame, dishes: int) -> tuple[DataFrame, DataFrame, float]
     return near, handover(of.join(p_of, "id", "full"), "samples"), d
 
 
-def _score(last: int, total: int, distinct: int, rare: tuple[int, int], dishes: int):
+def _score(last: int, total: int, distinct: int, dishes: int):
     """Base and model scores of a part's texts; side rows of kind 0 are its words, of kind 1 its ids, of kind 2 its known pairs."""
 
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
@@ -261,9 +260,6 @@ def _score(last: int, total: int, distinct: int, rare: tuple[int, int], dishes:
         by = np.argsort(key)
         key, near = key[by], near[by]
         base_of = np.log10((counts + 1.0) / (total + distinct + 1.0))
-        inside = np.zeros(len(counts))
-        is_rare = ids == RARE
-        inside[is_rare] = np.log10((counts[is_rare] + 1.0) / (rare[0] + rare[1] + 1.0))
         out = {"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out")}
         n_tokens, n_known, base, score = [], [], [], []
         for blob in docs.column("codes"):
@@ -278,7 +274,7 @@ def _score(last: int, total: int, distinct: int, rare: tuple[int, int], dishes:
             n_tokens.append(len(codes) + 1)
             n_known.append(int((counts[codes] > 0).sum()))
             base.append(float(base_of[codes].sum()))
-            score.append(float(np.log10(back).sum() + inside[codes].sum()))
+            score.append(float(np.log10(back).sum()))
         out |= {"n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())}
         return pa.table(out)
 
@@ -300,14 +296,11 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     entries = numbered.where("words is not null").select("part", F.col("doc_id").alias("from"), F.posexplode(F.arrays_zip("words", "counts")).alias("k", "e"))
     entries = handover(entries.select("part", (F.col("from") + F.col("k")).alias("code"), F.col("e.words").alias("word"), F.col("e.counts").alias("n")), "entries")
     counted = entries.groupBy("word").agg(F.sum("n").alias("c"))
-    counted = handover(counted.withColumn("id", F.when(F.col("c") >= LEAST, F.monotonically_increasing_id()).otherwise(F.lit(RARE).cast("long"))), "words")
-    sums = counted.agg(
-        F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v"), F.sum((F.col("id") >= 0).cast("long")).alias("f"), F.max("id").alias("top"),
-        F.sum(F.when(F.col("id") == RARE, F.col("c"))).alias("rare_n"), F.sum(((F.col("id") == RARE) & (F.col("c") > 0)).cast("long")).alias("rare_v"),
-    ).first()
+    counted = handover(counted.withColumn("id", F.when(F.col("c") > 0, F.monotonically_increasing_id()).otherwise(F.lit(UNSEEN).cast("long"))), "words")
+    sums = counted.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v"), F.max("id").alias("top")).first()
     ends = rows.where(~F.col("held_out")).count()
     total, distinct = (sums["n"] or 0) + ends, (sums["v"] or 0) + (1 if ends else 0)
-    last, dishes = max(sums["top"] or 0, 0) + 1, (sums["f"] or 0) + 2
+    last, dishes = max(sums["top"] or 0, 0) + 1, (sums["v"] or 0) + 2
     coded = spread_lookup(entries.select("part", "code", "word"), counted, ["word"], ["part", "code"])
     words = handover(coded.select("part", F.lit(0).alias("kind"), F.col("code").alias("a"), F.col("id").alias("b"), "c"), "coded")
     parts = handover(texts.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(_pairs(last), "part int, u long, w long, n long"), "pairs")
@@ -324,9 +317,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     side = words.select("part", "kind", "a", "b", "c", empty["x"], *none)
     side = side.union(ids.select("part", F.lit(1), "id", empty["b"], empty["c"], empty["x"], *drawn))
     side = side.union(asked.select("part", F.lit(2), "u", "w", empty["c"], "near", *none))
-    rare = (sums["rare_n"] or 0, sums["rare_v"] or 0)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    found = texts.groupBy("part").cogroup(side.groupBy("part")).applyInArrow(_score(last, total, distinct, rare, dishes), schema)
+    found = texts.groupBy("part").cogroup(side.groupBy("part")).applyInArrow(_score(last, total, distinct, dishes), schema)
     end = float(np.log10((ends + 1.0) / (total + distinct + 1.0)))
     return found.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.lit(1 if ends else 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),

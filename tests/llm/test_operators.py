@@ -266,6 +266,76 @@ def test_language_model(docs, empty):
     assert pitman_yor.lm_scores(empty).count() == 0
 
 
+def one_by_one(pairs, dishes, d, sweeps, seed):
+    """p(w | u) by plain Gibbs sampling: every customer leaves and sits again, in both restaurants."""
+    draw = random.Random(seed)
+    child, root, mean = {}, {}, Counter()
+    contexts = sorted({u for u, _ in pairs})
+    size = Counter(u for u, w in pairs.elements())
+    tables, all_t, all_r = Counter(), 0, 0
+    strength, back = pitman_yor.STRENGTH, pitman_yor.ROOT_DISCOUNT
+
+    def p_root(w):
+        own = root.get(w, [])
+        return (sum(own) - back * len(own) + (strength + back * all_r) / dishes) / (strength + all_t)
+
+    def sit(own, d, fresh):
+        at = draw.random() * (fresh + sum(own) - d * len(own)) - fresh
+        for k, s in enumerate(own):
+            if 0 <= at < s - d:
+                own[k] += 1
+                return 0
+            at -= s - d if at >= 0 else 0
+        own.append(1)
+        return 1
+
+    def leave(own):
+        k = draw.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        if own[k]:
+            return 0
+        own.pop(k)
+        return 1
+
+    for sweep in range(sweeps):
+        for u, w in pairs.elements():
+            own = child.setdefault((u, w), [])
+            if sweep and leave(own):
+                tables[u], all_t = tables[u] - 1, all_t - 1
+                all_r -= leave(root[w])
+            if sit(own, d, (strength + d * tables[u]) * p_root(w)):
+                tables[u] += 1
+                fresh = (strength + back * all_r) / dishes
+                all_t, all_r = all_t + 1, all_r + sit(root.setdefault(w, []), back, fresh)
+        if sweep >= sweeps // 4:
+            for u in contexts:
+                for w in {w for _, w in pairs}:
+                    own = child.get((u, w), [])
+                    near = sum(own) - d * len(own)
+                    mean[u, w] += (near + (strength + d * tables[u]) * p_root(w)) / (strength + size[u]) / (sweeps - sweeps // 4)
+    return mean
+
+
+def test_every_training_word_is_a_dish(spark):
+    draw = random.Random(4)
+    follow = {w: draw.sample(WORDS, 3) for w in WORDS}
+    rows = []
+    for k in range(60):
+        text = [draw.choice(WORDS[:6])]
+        while len(text) < 20:
+            text.append(draw.choice(follow[text[-1]]))
+        rows.append((k, " ".join(text), False))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    pairs = Counter(p for _, t, _ in rows for p in zip(["<", *t.split()], [*t.split(), ">"], strict=True))
+    n1, n2 = (sum(c == n for c in pairs.values()) for n in (1, 2))
+    d = min(0.95, max(0.05, n1 / (n1 + 2 * n2)))
+    mean = one_by_one(pairs, len({w for _, w in pairs}) + 1, d, 200, 1)
+    for r in pitman_yor.lm_scores(docs).collect():
+        text = rows[r.doc_id][1].split()
+        want = sum(np.log10(mean[p]) for p in zip(["<", *text], [*text, ">"], strict=True))
+        assert abs(r.score - want) < 0.05 * abs(want)
+
+
 def test_model_probabilities_add_up(spark):
     """Averaged predictive probabilities of all dishes after any context add up to 1."""
     draw = np.random.default_rng(2)
