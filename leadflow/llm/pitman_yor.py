@@ -5,30 +5,31 @@ is uniform.  Every word of the training texts is a dish and a context of its own
 held-out texts have are one more dish and context.  So the model grows with the corpus, and every
 count is over all of it.
 
-Seating is kept per (context, dish): the sizes of its tables.  A sweep takes customers out and seats
-them again, each row by itself: what rows share, the tables of a restaurant and the parent's
+Seating is kept per (context, dish): which of its customers opened a table.  A sweep seats all customers
+anew, each row by itself: what rows share, the tables of a restaurant and the parent's
 probabilities, are sums of the sweep before.  So no restaurant, however large, meets in one task.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadflow.llm.common import LOWER, raw, word_codes
 from leadflow.operators.shared import handover, spread_lookup
 
-#: Sweeps before and while sampling; customers of a row that a sweep seats anew.
-BURN, SAMPLES, RESEAT = 1, 3, 4
+#: Sweeps before and while sampling.
+BURN, SAMPLES = 1, 3
 STRENGTH, ROOT_DISCOUNT = 1.0, 0.5
-#: Customers seated one by one at the start; the rest joins tables by their sizes.
-OPENING = 32
+#: Customers whose seats are drawn at once.
+CHUNK = 1 << 17
 #: Ids of the dish of words not seen in training and of the start of a text; others are from 0.
 UNSEEN, START = -1, -2
 
@@ -94,109 +95,129 @@ def _pairs(last: int):
     return run
 
 
-class Seats:
-    """Tables of many rows, flat: row k has the slots from ``at[k]`` on, spare ones last."""
-
-    def __init__(self, sizes: list[np.ndarray], spare: int):
-        tables = np.array([len(s) for s in sizes], np.int64)
-        self.at = np.concatenate([[0], np.cumsum(tables + spare)])
-        self.free = self.at[:-1] + tables
-        self.size = np.zeros(self.at[-1], np.int64)
-        if len(sizes):
-            row = np.repeat(np.arange(len(sizes)), tables)
-            self.size[self.at[row] + np.arange(len(row)) - np.repeat(np.cumsum(tables) - tables, tables)] = np.concatenate(sizes)
-
-    def tables(self) -> np.ndarray:
-        return np.add.reduceat((self.size > 0).astype(np.int64), self.at[:-1])
-
-    def _pick(self, rows: np.ndarray, weight: np.ndarray, draw: np.ndarray) -> np.ndarray:
-        """A slot of each row, by weight."""
-        total = np.concatenate([[0], np.cumsum(weight)])
-        low, high = total[self.at[rows]], total[self.at[rows + 1]]
-        slot = np.searchsorted(total, low + draw * (high - low), side="right") - 1
-        return np.clip(slot, self.at[rows], self.at[rows + 1] - 1)
-
-    def leave(self, rows: np.ndarray, draw: np.ndarray) -> None:
-        slot = self._pick(rows, self.size, draw)
-        odd = self.size[slot] == 0  # a rounding at a row's edge: its fullest table instead
-        for k in np.flatnonzero(odd):
-            a, b = self.at[rows[k]], self.at[rows[k] + 1]
-            slot[k] = a + int(self.size[a:b].argmax())
-        self.size[slot] -= 1
-
-    def sit(self, rows: np.ndarray, new_weight: np.ndarray, seated: np.ndarray, d: float, draw: np.ndarray, choice: np.ndarray) -> None:
-        """One customer for each of ``rows``: a new table by ``new_weight``, or one of size s by s - d."""
-        tables = self.tables()[rows]
-        old = np.maximum(seated - d * tables, 0)
-        fresh = choice * (new_weight + old) < new_weight
-        fresh |= tables == 0
-        opened = self.free[rows[fresh]]
-        self.size[opened] += 1
-        self.free[rows[fresh]] += 1
-        rest = rows[~fresh]
-        if len(rest):
-            slot = self._pick(rest, np.where(self.size > 0, self.size - d, 0.0), draw[~fresh])
-            for k in np.flatnonzero(self.size[slot] == 0):
-                a, b = self.at[rest[k]], self.at[rest[k] + 1]
-                slot[k] = a + int(self.size[a:b].argmax())
-            np.add.at(self.size, slot, 1)
-
-    def lists(self) -> list[np.ndarray]:
-        return [own[own > 0] for own in np.split(self.size, self.at[1:-1])]
-
-
-def _seat(seed: int, d: float, opening: bool):
-    """Seats the customers of rows (u, w, c, sizes, t_u, p): all of them at the opening, some anew in a sweep."""
+class Seating:
+    """Which customers of many rows open a table, in order of arrival; flat: row k has the places from ``at[k]`` on.
+
+    With t tables among the k customers before, the next one opens a table by a(t) = p * (strength +
+    d * (others + t)) against k - d * t, ``others`` being the restaurant's tables of other rows.
+    Table counts follow from the openings alone, so sizes of tables are not kept.
+    """
+
+    def __init__(self, c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float):
+        self.at, self.d = np.concatenate([[0], np.cumsum(c)]), d
+        self.base, self.step = p * (STRENGTH + d * np.maximum(others, 0)), p * d
+        # a table more makes all later customers likelier to open one: about this power of k
+        self.power, self.end = d * (1 - p), self.base + c
+
+    def draw(self, kept: np.ndarray, given: np.ndarray, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """(places that open a table, log weight of each row): the first ``given`` customers of a row as in ``kept``, the others drawn.
+
+        All customers are drawn, ``CHUNK`` at a time.  Whether one opens a table depends on the tables
+        before, and only grows with them: from none, repeated passes come to just what drawing one
+        after another gives.  The weight is the chance of the seating over that of drawing it so.
+        """
+        at, opened, weight = self.at, [], np.zeros(len(self.at) - 1)
+        carried = 0  # tables so far of the row that the last chunk ended in
+        for low in range(0, int(at[-1]), CHUNK):
+            high = min(low + CHUNK, int(at[-1]))
+            first, last = np.searchsorted(at, [low, high - 1], side="right") - 1
+            starts = np.maximum(at[first : last + 1], low) - low
+            sizes = np.diff(np.append(starts, high - low))
+            rows = np.repeat(np.arange(first, last + 1), sizes)
+            k = np.arange(low, high) - at[rows]
+            begin = np.zeros(last + 1 - first, np.int64)
+            begin[0] = carried if at[first] < low else 0
+            base, step, power = self.base[rows], self.step[rows], self.power[rows]
+            lift = np.exp(power * np.log((base + k + 1) / self.end[rows]))
+            fixed = k < given[rows]
+            new = np.zeros(high - low, bool)
+            new[kept[np.searchsorted(kept, low) : np.searchsorted(kept, high)] - low] = True
+            new &= fixed
+            if (free := ~fixed).any():
+                chance = random.random(high - low)
+                new |= free & (k == 0)
+            while True:
+                before = np.cumsum(new) - new
+                tables = before - np.repeat(before[starts] - begin, sizes)
+                fresh, old = (base + step * tables) * lift, k - self.d * tables
+                if not free.any():
+                    break
+                now = np.where(free, chance * (fresh + old) < fresh, new)
+                if np.array_equal(now, new):
+                    break
+                new = now
+            weight[first : last + 1] += np.add.reduceat(np.log(fresh + old) - np.where(new, np.log(lift), 0.0), starts)
+            opened.append(np.flatnonzero(new) + low)
+            carried = int(tables[-1] + new[-1])
+        return np.concatenate([*opened, np.zeros(0, np.int64)]), weight
+
+    def per_row(self, places: np.ndarray) -> np.ndarray:
+        return np.diff(np.searchsorted(places, self.at))
+
+
+def _seat(seed: int, d: float):
+    """Seats all customers of rows (u, w, c, opened, c_old, t_u, p), and where there is a seating (``c_old``), keeps it or takes the new one.
+
+    A row's new seating of all its customers is proposed and accepted by Metropolis-Hastings, so that
+    the row's conditional, given what other rows share, is kept.  Customers that a row has gained
+    since then are first seated behind the old ones, those that it has lost leave from the end.
+    """
 
     def run(batches):
         for batch in batches:
-            u, w, c, t_u, p = (batch.column(x).to_numpy() for x in ("u", "w", "c", "t_u", "p"))
+            u, w, c, c_old, t_u, p = (batch.column(x).to_numpy() for x in ("u", "w", "c", "c_old", "t_u", "p"))
             random = np.random.default_rng([seed, zlib.crc32(u.tobytes() + w.tobytes())])
-            if opening:
-                seats, rounds = Seats([np.zeros(0, np.int64)] * len(c), OPENING), OPENING
-            else:
-                seats, rounds = Seats([np.asarray(s.values, dtype=np.int64) for s in batch.column("sizes")], RESEAT), RESEAT
-                before = seats.tables()
-            for k in range(rounds):
-                rows = np.flatnonzero(c > k)
-                if not len(rows):
-                    break
-                if opening:
-                    seated, tables = np.full(len(rows), k), t_u[rows]
-                else:
-                    seats.leave(rows, random.random(len(rows)))
-                    seated, tables = c[rows] - 1, t_u[rows] + (seats.tables() - before)[rows]
-                weight = (STRENGTH + d * np.maximum(tables, 0)) * p[rows]
-                seats.sit(rows, weight, seated, d, random.random(len(rows)), random.random(len(rows)))
-            sizes = seats.lists()
-            if opening:
-                for k in np.flatnonzero(c > OPENING).tolist():  # the rest joins tables in proportion
-                    grown = np.floor(sizes[k] * (c[k] / OPENING)).astype(np.int64)
-                    grown[int(grown.argmax())] += c[k] - grown.sum()
-                    sizes[k] = grown
-            columns = [batch.column(x) for x in ("u", "w", "c")]
-            t = np.array([len(s) for s in sizes], np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(t)]), pa.int32()), pa.array(np.concatenate(sizes) if len(sizes) else t))
-            yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(t)], ["u", "w", "c", "sizes", "t"])
+            lists = batch.column("opened")
+            row = np.repeat(np.arange(len(c)), pc.list_value_length(lists).to_numpy())
+            own = lists.flatten().to_numpy()
+            seating = Seating(c, t_u - np.bincount(row, minlength=len(c)), p, d)
+            left = own < c[row]
+            places, weight = seating.draw(seating.at[row[left]] + own[left], c_old, random)
+            if (c_old > 0).any():
+                other, other_weight = seating.draw(np.zeros(0, np.int64), np.zeros(len(c), np.int64), random)
+                take = (c_old > 0) & (np.log(1 - random.random(len(c))) < other_weight - weight)
+                of = lambda x: np.searchsorted(seating.at, x, side="right") - 1
+                places = np.sort(np.concatenate([places[~take[of(places)]], other[take[of(other)]]]))
+            t = seating.per_row(places)
+            # offsets of 32 bits: a batch holds so many openings only if they fit in memory twice
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(t)]), pa.int32()), pa.array(places - np.repeat(seating.at[:-1], t)))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("w"), batch.column("c"), lists, pa.array(t)], ["u", "w", "c", "opened", "t"])
 
     return run
 
 
-STATE = "u long, w long, c long, sizes array<long>, t long"
+STATE = "u long, w long, c long, opened array<long>, t long"
 
 
-def _root(customers: DataFrame, dishes: int, seed: int) -> DataFrame:
-    """(w, p): the parent's probabilities; its customers are the children's tables, seated the same way."""
+def _root(customers: DataFrame, dishes: int, seed: int, before: DataFrame | None = None, tables: int = 0) -> tuple[DataFrame, DataFrame, int]:
+    """(w, p), the parent's probabilities; its seating; its tables.  Its customers are the children's tables, seated the same way.
+
+    ``before`` and ``tables`` are the seating and the tables of the sweep before.
+    """
     base = 1.0 / dishes
-    counts = customers.select(F.lit(0).cast("long").alias("u"), "w", F.col("n").alias("c"), F.array(F.lit(0).cast("long")).alias("sizes"))
-    types = counts.count()
-    rows = counts.withColumn("t_u", F.lit(types).cast("long")).withColumn("p", F.lit(base))
-    seated = rows.mapInArrow(_seat(seed, ROOT_DISCOUNT, True), STATE)
-    seated = handover(seated.select("w", "c", "t"), "root")
+    rows = customers.select(F.lit(0).cast("long").alias("u"), "w", F.col("n").alias("c"))
+    if before is None:
+        first = rows.agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).select(_first_tables(ROOT_DISCOUNT, "c", "n")).first()
+        rows, tables = _unseated(rows), int(first[0] or 0)
+    else:
+        rows = rows.join(before.select("w", "opened", F.col("c").alias("c_old")), "w")
+    rows = rows.select("u", "w", "c", "opened", "c_old", F.lit(tables).cast("long").alias("t_u"), F.lit(base).alias("p"))
+    seated = handover(rows.mapInArrow(_seat(seed, ROOT_DISCOUNT), STATE), "root")
     total = seated.agg(F.sum("c").alias("c"), F.sum("t").alias("t")).first()
     all_c, all_t = float(total["c"] or 0), float(total["t"] or 0)
     p = (F.col("c") - ROOT_DISCOUNT * F.col("t") + (STRENGTH + ROOT_DISCOUNT * all_t) * base) / (STRENGTH + all_c)
-    return handover(seated.select("w", p.alias("p")), "root")
+    return handover(seated.select("w", p.alias("p")), "root"), seated, int(all_t)
+
+
+def _first_tables(d: float, c: str, types: str | Column) -> Column:
+    """Tables to begin with: as many as ``c`` customers open on average whatever they eat, one for each dish at least."""
+    ratio = math.exp(math.lgamma(STRENGTH) - math.lgamma(STRENGTH + d))
+    return F.greatest((F.lit(ratio) * F.pow(F.col(c) + STRENGTH + (d - 1) / 2, F.lit(d)) - 1) * STRENGTH / d, types)
+
+
+def _unseated(rows: DataFrame) -> DataFrame:
+    """Rows whose first customer has a table and nobody else a seat."""
+    return rows.withColumns({"opened": F.array(F.lit(0).cast("long")), "c_old": F.lit(0).cast("long")})
 
 
 def sampled(pairs: DataFrame, dishes: int) -> tuple[DataFrame, DataFrame, float]:
@@ -210,17 +231,20 @@ def sampled(pairs: DataFrame, dishes: int) -> tuple[DataFrame, DataFrame, float]
     d = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
     single = pairs.where("c = 1").select("u", "w", "c", F.lit(1).cast("long").alias("t"))
     by_u = handover(pairs.groupBy("u").agg(F.sum("c").alias("c_u"), F.count(F.lit(1)).alias("t_u")), "contexts")
-    state, root, seed = None, _root(pairs.groupBy("w").agg(F.count(F.lit(1)).alias("n")), dishes, 0), 1
-    tables, kept, roots = by_u.select("u", "t_u"), [], []
+    state, seed = None, 1
+    root, seated, n_tables = _root(pairs.groupBy("w").agg(F.count(F.lit(1)).alias("n")), dishes, 0)
+    # what a row adds to the tables is up to its own customers
+    tables, kept, roots = by_u.select("u", "c_u", _first_tables(d, "c_u", "t_u").alias("t_u")), [], []
     for sweep in range(BURN + SAMPLES):
-        rows = (pairs.where("c > 1") if state is None else state).join(tables, "u").join(root, "w")
+        rows = _unseated(pairs.where("c > 1")) if state is None else state.withColumn("c_old", F.col("c"))
+        rows = rows.join(tables, "u").join(root, "w")
         if state is None:
-            rows = rows.withColumn("sizes", F.array(F.lit(0).cast("long")))
-        rows = rows.select("u", "w", "c", "sizes", "t_u", "p")
-        state = handover(rows.mapInArrow(_seat(seed + sweep, d, state is None), STATE), "seats")
+            rows = rows.withColumn("t_u", (F.col("t_u") * (1 - F.col("c") / F.col("c_u"))).cast("long") + 1)
+        rows = rows.select("u", "w", "c", "opened", "c_old", "t_u", "p")
+        state = handover(rows.mapInArrow(_seat(seed + sweep, d), STATE), "seats")
         whole = state.select("u", "w", "c", "t").union(single)
         tables = handover(whole.groupBy("u").agg(F.sum("t").alias("t_u")), "tables")
-        root = _root(whole.groupBy("w").agg(F.sum("t").alias("n")), dishes, 100 + sweep)
+        root, seated, n_tables = _root(whole.groupBy("w").agg(F.sum("t").alias("n")), dishes, 100 + sweep, seated, n_tables)
         if sweep >= BURN:
             kept.append(state.select("u", "w", "c", "t"))
             roots.append((tables, root))

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -266,7 +267,7 @@ def test_language_model(docs, empty):
     assert pitman_yor.lm_scores(empty).count() == 0
 
 
-def one_by_one(pairs, dishes, d, sweeps, seed):
+def one_by_one(pairs, dishes, d, sweeps, seed, counts=None):
     """p(w | u) by plain Gibbs sampling: every customer leaves and sits again, in both restaurants."""
     draw = random.Random(seed)
     child, root, mean = {}, {}, Counter()
@@ -311,6 +312,8 @@ def one_by_one(pairs, dishes, d, sweeps, seed):
             for u in contexts:
                 for w in {w for _, w in pairs}:
                     own = child.get((u, w), [])
+                    if counts is not None:
+                        counts[u, w] += len(own) / (sweeps - sweeps // 4)
                     near = sum(own) - d * len(own)
                     mean[u, w] += (near + (strength + d * tables[u]) * p_root(w)) / (strength + size[u]) / (sweeps - sweeps // 4)
     return mean
@@ -336,6 +339,45 @@ def test_every_training_word_is_a_dish(spark):
         assert abs(r.score - want) < 0.05 * abs(want)
 
 
+def tables_of(c: int, others: int, p: float, d: float) -> float:
+    """Mean number of tables of a row with ``c`` customers, given what it shares, summed over all counts."""
+    t = np.arange(c + 1)
+    ways = np.where(t == 1, 0.0, -np.inf)
+    with np.errstate(divide="ignore"):
+        for k in range(1, c):
+            ways = np.logaddexp(np.log(np.maximum(k - d * t, 0)) + ways, np.concatenate([[-np.inf], ways[:-1]]))
+        ways[1:] += np.cumsum(np.log(p * (pitman_yor.STRENGTH + d * (others + t[:-1]))))
+    chance = np.exp(ways - ways.max())
+    return (chance * t).sum() / chance.sum()
+
+
+@pytest.mark.parametrize(("c", "others", "p", "d"), [(2, 5, 0.1, 0.7), (200, 50, 0.05, 0.8), (1500, 300, 0.05, 0.8), (1500, 2, 0.5, 0.5)])
+def test_all_customers_are_seated(monkeypatch, c, others, p, d):
+    monkeypatch.setattr(pitman_yor, "CHUNK", 10_000)
+    n, seen = 300, []
+    columns = [np.arange(n), np.arange(n), np.full(n, c), pa.array([[0]] * n, pa.list_(pa.int64())), np.zeros(n, np.int64), np.full(n, others + 1), np.full(n, p)]
+    for sweep in range(24):
+        batch = pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["u", "w", "c", "opened", "c_old", "t_u", "p"])
+        got = next(pitman_yor._seat(sweep, d)([batch]))
+        columns[3:6] = got.column("opened"), np.full(n, c), others + got.column("t").to_numpy()
+        seen.append(got.column("t").to_numpy().mean())
+    assert abs(np.mean(seen[9:]) / tables_of(c, others, p, d) - 1) < 0.05
+
+
+def test_tables_of_frequent_rows(spark):
+    """A row of thousands has as many tables as when its customers leave and sit one by one."""
+    pairs = Counter({(u, w): 2000 for u in range(3) for w in range(4)} | {(u, 4): 1 for u in range(2)} | {(2, 4): 2})
+    near, _, d = pitman_yor.sampled(spark.createDataFrame([(*k, c) for k, c in pairs.items()], "u long, w long, c long"), dishes=6)
+    size = Counter(u for u, _ in pairs.elements())
+    got = [(pairs[r.u, r.w] - r.near * (pitman_yor.STRENGTH + size[r.u])) / d for r in near.collect() if r.w < 4]
+    opened = np.mean(got)
+    assert len(got) == 12
+    tables = Counter()
+    one_by_one(pairs, 6, d, 24, 3, tables)
+    want = np.mean([tables[u, w] for u in range(3) for w in range(4)])
+    assert abs(opened / want - 1) < 0.3
+
+
 def test_model_probabilities_add_up(spark):
     """Averaged predictive probabilities of all dishes after any context add up to 1."""
     draw = np.random.default_rng(2)
