@@ -85,6 +85,34 @@ def test_wide_fingerprints_keep_one(docs, empty):
     assert simhash.keep_one_of_each(empty).count() == 0
 
 
+def alike(a: str, b: str) -> float:
+    """Share of distinct runs of five words that two texts have in common."""
+    x, y = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_duplicates_are_verified(spark, monkeypatch):
+    texts = {}
+    for k in range(40):  # pairs that share a beginning: similarities from 0.55 to 0.95
+        base, other = prose(1000 + k, 400), prose(2000 + k, 400)
+        shared = 300 + 2 * k + (k % 3)
+        texts[2 * k], texts[2 * k + 1] = base, " ".join(base.split()[:shared] + other.split()[shared:])
+    line = prose(7, 8) + " "
+    texts |= {200 + k: line * 60 + prose(3000 + k, 30) for k in range(2)}  # one line often, else different
+    texts |= {300 + k: " ".join(f"crowd{i}" for i in range(200)) + f" {k}" for k in range(30)}
+    links = [(a, b) for a in texts for b in texts if a < b and alike(texts[a], texts[b]) >= 0.8]
+    least = {k: k for k in texts}
+    for _ in texts:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(3)
+    want = {k for k in texts if least[k] == k}
+    assert {200, 201} <= want and 31 < len(texts) - len(want) < 70
+    assert {r.doc_id for r in simhash.keep_one_of_each(docs).collect()} == want
+    monkeypatch.setattr(simhash, "SET_BYTES", 6_000)  # several tiles a group
+    assert {r.doc_id for r in simhash.keep_one_of_each(docs).collect()} == want
+
+
 def test_embeddings(spark):
     draw = np.random.default_rng(5)
     base = draw.normal(size=(30, 16))
