@@ -161,10 +161,33 @@ def mix_report(docs: DataFrame, labelled: DataFrame, weights: dict[str, float],
     return members.select("_doc.doc_id", "tokens", *p, "rate", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).alias("copies"))
 
 
+def whole_rates(natural: dict[str, float], weights: dict[str, float]) -> dict[str, float]:
+    """Rates of domains with ``natural`` tokens, measured by the one of the largest weight, which stays whole.
+
+    Others have their weight's tokens beside it; scarcer ones stay as they are and fall short, and a
+    domain without weight goes.
+    """
+    main = max(sorted(weights), key=lambda n: weights[n])
+    total = natural.get(main, 0.0) / weights[main] if weights[main] > 0 else 0.0
+    rates = {n: 1.0 if total <= 0 or v <= 0 else min(1.0, weights.get(n, 0.0) * total / v) for n, v in natural.items()}
+    return {n: (1.0 if n == main else r) if weights.get(n, 0.0) > 0 else 0.0 for n, r in rates.items()}
+
+
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """``docs`` thinned to the target weights; all columns as they were, no row more than once."""
+    """``docs`` thinned to the target weights; all columns as they were, no row more than once.
+
+    A row is of the domain that it most likely belongs to; see ``whole_rates`` for how many rows of
+    a domain stay, chosen by a hash of id and text.
+    """
     domains = learn(docs, labelled)
-    members = handover(membership(docs, domains), "members")
-    members = rated(members, fit_rates(members, domains.names, weights, None, 1.0), 1.0)
+    members = membership(docs, domains)
+    likeliest = F.array_position("posterior", F.array_max("posterior")).cast("int")
+    members = handover(members.withColumn("domain", F.element_at(F.array(*map(F.lit, domains.names)), likeliest)).drop("posterior"), "members")
+    # one row a domain
+    natural = {r["domain"]: float(r["n"] or 0) for r in members.groupBy("domain").agg(F.sum("tokens").alias("n")).collect()}
+    rates = whole_rates(natural, weights)
+    if not rates:
+        return docs.limit(0)
+    rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])[F.col("domain")]
     chance = F.pmod(F.xxhash64("_doc.doc_id", "_doc.text"), F.lit(1_000_000)) / 1e6
-    return members.where(chance < F.col("rate")).select(*[F.col("_doc")[n].alias(n) for n in docs.columns])
+    return members.where(chance < rate).select(*[F.col("_doc")[n].alias(n) for n in docs.columns])

@@ -282,6 +282,21 @@ def test_mixing(spark, docs, empty):
     assert kept.columns == data.columns and kept.count() < 204
 
 
+def test_mixing_keeps_the_good(spark):
+    """However scarce the others are, good rows all stay; rows of no weight go."""
+    kinds = {k: "toxic" if k % 100 == 0 else "low" if k % 10 == 1 else "good" for k in range(1000)}
+    mark = {"toxic": " venom" * 6, "low": " spam" * 6, "good": " ham" * 6}
+    data = spark.createDataFrame([(k, prose(k, 30) + mark[d]) for k, d in kinds.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([*kinds.items()], "doc_id long, domain string")
+    kept = Counter(kinds[r.doc_id] for r in mixing.mix(data, labels, {"good": 0.9, "low": 0.07, "toxic": 0.0}).collect())
+    want = 0.07 / 0.9 * sum(d == "good" for d in kinds.values())
+    assert kept["good"] == sum(d == "good" for d in kinds.values()) and kept["toxic"] == 0
+    assert abs(kept["low"] - want) < 20
+    scarce = mixing.whole_rates({"good": 950.0, "low": 40.0, "toxic": 10.0}, {"good": 0.9, "low": 0.07, "toxic": 0.0})
+    assert scarce == {"good": 1.0, "low": 1.0, "toxic": 0.0}
+    assert mixing.mix(data.limit(0), labels, {"good": 1.0}).count() == 0
+
+
 def test_language_model(docs, empty):
     held = docs.withColumn("held_out", F.col("doc_id") % 5 == 0)
     got = pitman_yor.lm_scores(held).collect()
