@@ -238,8 +238,8 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, words: int = 2, radius: in
     Texts link if the sets of their distinct shingles of ``width`` words have a similarity (common
     over all) of 0.8 or more.  Candidates are the texts that fingerprints of ``words`` * 64 bits over
     the sets, ``radius`` bits apart at most, connect; each link is then verified on the sets.  Sets
-    of similarity 0.8 differ in some 19 of 128 bits, give or take 4, so about one pair in 10,000
-    of just 0.8 is missed, and more (about 1 in 100) of sets of five shingles or fewer.
+    of similarity 0.8 differ in some 19 of 128 bits, give or take 4: by that estimate (not measured)
+    about one pair in 10,000 of just 0.8 is missed, and 1 in 100 of sets of five shingles or fewer.
     Rows with equal ids are told apart; of a group without ids, or with the smallest id twice, one
     row stays.  Null and empty texts are alike.
     """
