@@ -10,8 +10,11 @@ from leadflow.llm import langid, mixing, quality
 from leadflow.llm.common import fold, read
 from leadflow.llm.decontaminate import decontamination_report
 from leadflow.llm.embeddings import embedding_groups
+from leadflow.llm.filters import filter_audit
+from leadflow.llm.infill import fill_in_middle, restored
 from leadflow.llm.pii import pii_report
 from leadflow.llm.pitman_yor import lm_scores
+from leadflow.llm.repetition import repetition
 from leadflow.llm.simhash import simhash_groups
 from leadflow.llm.substrings import repeats_report
 from leadflow.llm.tokens import token_files
@@ -75,6 +78,23 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(read(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition(read(spark, sf_dir, "documents")).drop("spans")
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(read(spark, sf_dir, "documents"), seed=7, rate=100, spm=50)
+    output, form = F.col("output"), F.col("form")
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(output.cast("binary"), 256).alias("output_sha256"), F.sha2(restored(output, form).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
@@ -86,6 +106,9 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_simhash": op9_simhash,
     "op10_embeddings": op10_embeddings,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_repetition": op12_repetition,
+    "op13_infill": op13_infill,
 }
 
 #: Words of a text, as the decontamination contract states them.
@@ -127,5 +150,73 @@ WITH RECURSIVE v AS (
 SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
     c.component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = e.vec_id
+""",
+    "op11_filter_audit": """
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+firsts AS (SELECT t, min(doc_id) AS least FROM texts GROUP BY t),
+marked AS (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), worded AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts),
+judged AS (
+    SELECT part, coalesce(good, false)::INT AS good, coalesce(toxic, false)::INT AS toxic,
+        {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+         'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+         'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(d.doc_id > least, false)} AS f
+    FROM worded d JOIN firsts USING (t) LEFT JOIN marked USING (doc_id)
+), sets AS (
+    SELECT part, concat(CASE WHEN f.A THEN 'A' ELSE '' END, CASE WHEN f.B THEN 'B' ELSE '' END, CASE WHEN f.C THEN 'C' ELSE '' END,
+        CASE WHEN f.D THEN 'D' ELSE '' END, CASE WHEN f.E THEN 'E' ELSE '' END) AS fails,
+        count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+    FROM judged GROUP BY ALL
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+    SELECT filter_order, step, filter_order[step:step] AS own, filter_order[1:step - 1] AS earlier
+    FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), taken AS (
+    SELECT part, filter_order, step, own, n, good, toxic, contains(fails, own) AS hit, fails = own AS alone,
+        length(translate(fails, earlier, '')) < length(fails) AS gone
+    FROM sets, steps
+), counted AS (
+    SELECT part, filter_order, step, own, CAST(sum(CASE WHEN gone OR hit THEN 0 ELSE n END) AS BIGINT) AS kept,
+        CAST(sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS removed,
+        CAST(sum(CASE WHEN hit AND gone THEN n ELSE 0 END) AS BIGINT) AS redundant,
+        CAST(sum(CASE WHEN alone THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+        CAST(sum(CASE WHEN hit AND NOT gone THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+        CAST(sum(CASE WHEN hit AND NOT gone THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+    FROM taken GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counted
+""",
+    "op13_infill": """
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS t, sha256(concat('7:', CAST(doc_id AS VARCHAR))) AS h,
+        regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u
+    FROM documents
+), drawn AS (
+    SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+        CAST('0x' || h[25:32] AS BIGINT) AS h4
+    FROM texts
+), cut AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+             WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+    FROM drawn
+), pieces AS (
+    SELECT doc_id, t, n, form, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m,
+        coalesce(array_to_string(u[b + 1:n], ''), '') AS s
+    FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m)
+        ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM pieces
 """,
 }
