@@ -20,7 +20,8 @@ COMPANY_TYPE = "struct<name:string,website:string,country_code:string,employee_e
 
 def number(digits: Column) -> Column:
     """BIGINT of a string of decimal digits of any script; null if it is empty or more than a BIGINT holds."""
-    return F.translate(digits, _FOREIGN, _ASCII).try_cast("bigint")
+    foreign = F.octet_length(digits) > F.length(digits)
+    return F.when(foreign, F.translate(digits, _FOREIGN, _ASCII)).otherwise(digits).try_cast("bigint")
 
 
 def brief_numbers(df: DataFrame, text: str) -> DataFrame:

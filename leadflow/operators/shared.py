@@ -55,6 +55,15 @@ def spread_factor(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread_rows(df: DataFrame, *by: str) -> DataFrame:
+    """Deal rows to all shuffle partitions by their key ``by``, before work that is heavy per row.
+
+    A table of one or a few row groups would otherwise be worked on by one or a few tasks.  Project
+    to narrow rows first.
+    """
+    return df.repartition(spread_factor(df.sparkSession), *by)
+
+
 def spread_lookup(
     left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str], how: str = "left"
 ) -> DataFrame:

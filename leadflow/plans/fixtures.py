@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadflow.operators.shared import spread_rows
 from leadflow.sources.evidence import rank_results
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -89,8 +90,8 @@ def _run(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFrame
 
 
 def briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One brief per customer."""
-    return _run(spark, sf_dir, BRIEFS_SQL, "customer")
+    """One brief per customer; dealt out, as reading briefs is work on text."""
+    return spread_rows(_run(spark, sf_dir, BRIEFS_SQL, "customer"), "brief_id")
 
 
 def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,9 +100,10 @@ def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One unranked search result per line item, with its order columns and line attributes."""
+    """One unranked search result per line item, with its order columns and line attributes; dealt
+    out before its texts are built."""
     kept = ["l_returnflag", "l_linestatus", "p_name", "p_type", "p_size", "place", "query"]
-    return _keys(spark, sf_dir).selectExpr(*ORDER, *kept, *TEXT_COLUMNS)
+    return spread_rows(_keys(spark, sf_dir), *ORDER).selectExpr(*ORDER, *kept, *TEXT_COLUMNS)
 
 
 def _single() -> Column:

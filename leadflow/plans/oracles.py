@@ -898,3 +898,201 @@ oracle(
     """SELECT coalesce(country, 'any') AS country, outcome, count(*) AS candidates, cast(sum(score) AS BIGINT) AS total_score
     FROM decided GROUP BY ALL""",
 )
+
+# ---------------------------------------------------------------- the campaign, round by round
+
+_SOCIAL = ", ".join(lit(x) for x in V.SOCIAL_HOSTS)
+ROUNDS = V.SOURCE_ATTEMPT_BUDGET
+
+CTE["seg_old"] = """
+SELECT lower(c_mktsegment) AS scope, url, query, p_name, place FROM v_results
+JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_returnflag = 'R'"""
+CTE["seg_memory"] = f"""
+SELECT DISTINCT scope, '{V.VISITED_URLS}' AS kind, url AS value, url AS value_norm FROM seg_old
+UNION ALL SELECT DISTINCT scope, '{V.QUERY_HISTORY}', query, {norm('query')} FROM seg_old WHERE place = 'Portugal'
+UNION ALL SELECT DISTINCT scope, '{V.COMPANY_NAMES}', p_name, lower(p_name) FROM seg_old WHERE place = 'Portugal'"""
+CTE["seg_req"] = f"""
+SELECT req.*, lower(c_mktsegment) AS scope, {run_id('brief_id')} AS run FROM req JOIN customer ON brief_id = c_custkey"""
+CTE["seg_cand"] = f"""
+SELECT c.brief_id, c.stage, c.pos, c.query, c.qn
+FROM (SELECT *, {norm('query')} AS qn FROM cand) c JOIN seg_req r ON c.brief_id = r.brief_id
+WHERE NOT EXISTS (SELECT 1 FROM seg_memory m WHERE m.scope = r.scope AND m.kind = '{V.QUERY_HISTORY}' AND m.value_norm = c.qn)"""
+#: Every result once, as read with and without its page.
+CTE["res"] = """
+SELECT e.query, e.rank, e.url, e.title, e.snippet, coalesce(page_text, '') AS page_text
+FROM (SELECT query, rank, url, title, snippet FROM ev UNION ALL SELECT query, rank, url, title, snippet FROM second) e
+LEFT JOIN v_pages p ON e.url = p.url"""
+CTE["res_bare_text"] = "SELECT *, title || ' ' || snippet || ' ' AS text FROM res"
+parse("res_bare", "res_bare_text")
+CTE["res_short_text"] = f"SELECT *, title || ' ' || snippet || ' ' || substr(page_text, 1, {V.EXCERPT_CHARS}) AS text FROM res"
+parse("res_short", "res_short_text")
+CTE["res_full_text"] = "SELECT *, title || ' ' || snippet || ' ' || page_text AS text FROM res"
+parse("res_full", "res_full_text")
+CTE["res_named"] = f"""
+SELECT * EXCLUDE (c_site, c_country), coalesce(c_name, tc) AS d_name,
+  CASE WHEN c_name IS NULL AND tc IS NOT NULL THEN {website('page_text', 'url', 'h')} ELSE c_site END AS d_site,
+  CASE WHEN c_name IS NULL AND tc IS NOT NULL THEN {country(norm('text'))} ELSE c_country END AS d_country, c_site, c_country
+FROM (SELECT *, {title_company('title')} AS tc FROM res_full)"""
+CTE["start_1"] = """
+SELECT run, 0 AS attempts, 0 AS enriched, 0 AS searches, 0 AS accepted, 0 AS shortlisted, []::VARCHAR[] AS history,
+  []::VARCHAR[] AS visited, NULL::VARCHAR AS current FROM seg_req"""
+CTE["held_0"] = "SELECT scope, value_norm AS company_key, NULL::VARCHAR AS run_id, 0 AS idx FROM seg_memory WHERE kind = '" + V.COMPANY_NAMES + "'"
+
+
+def _evidence(q: str) -> str:
+    return f"{{'url': {q}.url, 'title': {q}.title, 'snippet': {q}.snippet, 'q': {q}.query, 'r': {q}.rank}}"
+
+
+def round_ctes(n: int) -> None:
+    """One attempt of every run that is still active."""
+    CTE[f"ask_{n}"] = f"""
+SELECT s.*, r.* EXCLUDE (run), q.query
+FROM start_{n} s JOIN seg_req r ON s.run = r.run LEFT JOIN (
+  SELECT s2.run, arg_min(c.query, c.pos) AS query FROM start_{n} s2 JOIN seg_req r2 ON s2.run = r2.run JOIN seg_cand c ON c.brief_id = r2.brief_id
+  WHERE c.stage = CASE WHEN attempts >= 4 THEN 2 WHEN attempts >= 2 THEN 1 ELSE 0 END
+    AND NOT list_contains(history, c.qn) AND c.qn IS DISTINCT FROM CASE WHEN current IS NOT NULL THEN {norm('current')} END
+  GROUP BY s2.run) q ON q.run = s.run"""
+    CTE[f"shown_{n}"] = f"""
+SELECT *, CASE WHEN c_name IS NULL THEN -100 ELSE 20
+    + CASE WHEN {role_exact('role_norm', 'buyers')} THEN 20 WHEN {role_adjacent('role_norm')} THEN 10 ELSE 0 END
+    + CASE WHEN c_country = country THEN 15 ELSE 0 END + CASE WHEN c_staff IS NOT NULL THEN 10 ELSE 0 END
+    + least(len({signals('themes', 'hits')}) * 8, 16) + 4 + CASE WHEN coalesce(p_name, '') <> '' THEN 8 ELSE 0 END END AS score
+FROM (SELECT a.run, a.buyers, a.country, a.themes, f.* FROM ask_{n} a JOIN ev_facts f ON a.query = f.query
+  WHERE NOT list_contains(a.visited, f.url)
+    AND NOT EXISTS (SELECT 1 FROM seg_memory m WHERE m.scope = a.scope AND m.kind = '{V.VISITED_URLS}' AND m.value = f.url))"""
+    CTE[f"top_{n}"] = f"SELECT run, query, rank, url FROM shown_{n} QUALIFY row_number() OVER (PARTITION BY run ORDER BY score DESC, rank) = 1"
+    CTE[f"lists_{n}"] = f"SELECT run, list({_evidence('s')} ORDER BY rank) AS items FROM shown_{n} s GROUP BY run"
+    CTE[f"made_{n}"] = f"""
+SELECT *, CASE WHEN state <> 'found' THEN [] ELSE {signals('themes', themes_in(norm("array_to_string(list_transform(items[1:2], lambda i: i.title || ' ' || i.snippet), ' ') || ' ' || best_text")))} END AS fit,
+  CASE state WHEN 'found' THEN list_concat(list_filter(items, lambda i: i.r = best_rank), list_filter(items, lambda i: i.url <> best_url)[1:1])
+    WHEN 'nameless' THEN items[1:2] ELSE [] END AS evidence,
+  CASE state WHEN 'none' THEN ['{V.NOTE_NO_QUERY}'] WHEN 'empty' THEN ['{V.NOTE_ALL_VISITED}'] WHEN 'nameless' THEN ['{V.NOTE_NO_COMPANY}']
+    ELSE ['query_used=' || query, '{V.NOTE_HEURISTIC}'] END AS notes
+FROM (SELECT a.*, l.items, t.rank AS best_rank, t.url AS best_url, d.text AS best_text,
+    CASE WHEN a.query IS NULL THEN 'none' WHEN t.run IS NULL THEN 'empty' WHEN d.d_name IS NULL THEN 'nameless' ELSE 'found' END AS state,
+    CASE WHEN d.d_name IS NOT NULL THEN d.p_any END AS any0, CASE WHEN d.d_name IS NOT NULL THEN d.p_name END AS full0,
+    CASE WHEN d.d_name IS NOT NULL THEN d.p_role END AS role0, d.d_name, d.d_site, d.d_country, CASE WHEN d.c_name IS NOT NULL THEN d.c_staff END AS d_staff
+  FROM ask_{n} a LEFT JOIN top_{n} t ON a.run = t.run LEFT JOIN lists_{n} l ON a.run = l.run
+  LEFT JOIN res_named d ON t.query = d.query AND t.rank = d.rank)"""
+    earlier = " UNION ALL ".join(f"SELECT scope, company_key FROM held_{k}" for k in range(n))
+    CTE[f"held_{n}"] = f"""
+SELECT scope, lower(d_name) AS company_key, min(run) AS run_id, {n} AS idx FROM made_{n}
+WHERE state = 'found' AND (scope, lower(d_name)) NOT IN (SELECT (scope, company_key) FROM ({earlier})) GROUP BY ALL"""
+    CTE[f"kept_{n}"] = f"""
+SELECT m.* EXCLUDE (fit, evidence, notes, d_name), state = 'found' AND h.run_id IS NULL AS lost,
+  CASE WHEN state = 'found' AND h.run_id IS NULL THEN [] ELSE fit END AS fit, CASE WHEN state = 'found' AND h.run_id IS NULL THEN [] ELSE evidence END AS evidence,
+  CASE WHEN state = 'found' AND h.run_id IS NULL THEN list_append(notes, '{V.NOTE_EXPLORED}') ELSE notes END AS notes,
+  CASE WHEN h.run_id IS NOT NULL THEN d_name END AS company_name
+FROM made_{n} m LEFT JOIN held_{n} h ON m.run = h.run_id"""
+    hint = "company_name || ' ' || replace(buyers[1], '_', ' ') || ' ' || coalesce(country, {c}, 'spain') || ' ' || array_to_string((CASE WHEN len(fit) > 0 THEN fit ELSE themes END)[1:2], '{glue}')"
+    CTE[f"thin_{n}"] = f"""
+SELECT *, CASE WHEN company_name IS NOT NULL AND len(evidence) < 2 THEN {strip(hint.format(c='d_country', glue=' '))} END AS fq FROM kept_{n}"""
+    CTE[f"hit_{n}"] = f"""
+SELECT t.run, f.* FROM thin_{n} t JOIN res_full f ON t.fq = f.query
+WHERE NOT list_contains(list_transform(t.evidence, lambda e: e.url), f.url) AND NOT list_contains(t.visited, f.url) AND f.h NOT IN ({_SOCIAL})
+  AND NOT EXISTS (SELECT 1 FROM seg_memory m WHERE m.scope = t.scope AND m.kind = '{V.VISITED_URLS}' AND m.value = f.url)
+  AND contains(lower(f.text), lower(t.company_name))
+QUALIFY row_number() OVER (PARTITION BY t.run ORDER BY f.rank) = 1"""
+    CTE[f"grown_{n}"] = f"""
+SELECT * EXCLUDE (fit, new_fit), CASE WHEN added AND len(new_fit) > 0 THEN new_fit ELSE fit END AS fit
+FROM (SELECT *, {signals('themes', themes_in(norm("array_to_string(list_transform(evidence, lambda e: e.title || ' ' || e.snippet), ' ')")))} AS new_fit FROM (
+  SELECT t.* EXCLUDE (evidence, notes), h.run IS NOT NULL AS added, CASE WHEN fq IS NULL THEN 0 ELSE 1 END AS follow_ups,
+    CASE WHEN NOT coalesce(any0, false) OR company_name IS NULL THEN h.p_any AND {usable_person('h.p_name')} ELSE any0 END AS any1,
+    CASE WHEN company_name IS NULL THEN NULL WHEN any0 THEN full0 WHEN h.p_any AND {usable_person('h.p_name')} THEN h.p_name END AS full_name,
+    CASE WHEN company_name IS NULL THEN NULL WHEN any0 THEN role0 WHEN h.p_any AND {usable_person('h.p_name')} THEN h.p_role END AS role_title,
+    CASE WHEN company_name IS NOT NULL THEN coalesce(d_site, h.c_site) END AS website,
+    CASE WHEN company_name IS NOT NULL THEN coalesce(d_country, h.c_country) END AS country_code,
+    CASE WHEN company_name IS NOT NULL THEN coalesce(d_staff, h.c_staff) END AS employee_estimate,
+    CASE WHEN h.run IS NOT NULL THEN list_append(evidence, {_evidence('h')}) ELSE evidence END AS evidence,
+    CASE WHEN h.run IS NOT NULL THEN list_append(notes, 'follow_up_query=' || fq) ELSE notes END AS notes
+  FROM thin_{n} t LEFT JOIN hit_{n} h ON t.run = h.run))"""
+    CTE[f"first_{n}"] = f"SELECT *, 'q' AS dummy, {n} - 1 AS pos, query AS query_used FROM grown_{n}"
+    decide(f"ruled_{n}", f"first_{n}")
+    CTE[f"more_{n}"] = f"""
+SELECT *, {strip(hint.format(c='country_code', glue='  '))} AS eq FROM ruled_{n} WHERE outcome = 'ENRICH' AND enriched < {V.ENRICH_ATTEMPT_BUDGET}"""
+    CTE[f"said_{n}"] = f"""
+SELECT m.run, x.ord, b.p_any, b.p_name, b.p_role, b.c_site, b.c_country, b.c_staff
+FROM more_{n} m, unnest(m.evidence) WITH ORDINALITY AS x(e, ord) JOIN res_bare b ON x.e.q = b.query AND x.e.r = b.rank
+UNION ALL SELECT m.run, 100 + b.rank, b.p_any, b.p_name, b.p_role, b.c_site, b.c_country, b.c_staff
+FROM more_{n} m JOIN res_short b ON m.eq = b.query WHERE NOT list_contains(list_transform(m.evidence, lambda e: e.url), b.url)"""
+    CTE[f"gaps_{n}"] = f"""
+SELECT run, arg_min({{'n': p_name, 'r': p_role}}, ord) FILTER (WHERE p_any) AS who,
+  arg_min(c_site, ord) FILTER (WHERE c_site IS NOT NULL) AS s1, arg_min(c_country, ord) FILTER (WHERE c_country IS NOT NULL) AS c1,
+  arg_min(c_staff, ord) FILTER (WHERE c_staff IS NOT NULL) AS e1 FROM said_{n} GROUP BY run"""
+    CTE[f"added_{n}"] = f"""
+SELECT m.run, list({_evidence('b')} ORDER BY b.rank) AS new_ev FROM more_{n} m JOIN res b ON m.eq = b.query
+WHERE NOT list_contains(list_transform(m.evidence, lambda e: e.url), b.url) GROUP BY m.run"""
+    CTE[f"second_{n}"] = f"""
+SELECT * EXCLUDE (fit, new_fit, all_ev, evidence, k_ev0), CASE WHEN len(new_fit) > 0 THEN new_fit ELSE fit END AS fit,
+  all_ev[1:greatest(k_ev0 + 2, 2)] AS evidence
+FROM (SELECT *, {signals('themes', themes_in(norm("array_to_string(list_transform(all_ev, lambda e: e.title || ' ' || e.snippet), ' ')")))} AS new_fit FROM (
+  SELECT g.* EXCLUDE (full_name, role_title, website, country_code, employee_estimate, notes, query_used),
+    CASE WHEN any1 THEN full_name ELSE who.n END AS full_name, CASE WHEN any1 THEN role_title ELSE who.r END AS role_title,
+    coalesce(website, s1) AS website, coalesce(country_code, c1) AS country_code, coalesce(employee_estimate, e1) AS employee_estimate,
+    list_append(notes, 'enrichment_query=' || eq) AS notes, eq AS query_used, len(g.evidence) AS k_ev0,
+    list_concat(g.evidence, coalesce(new_ev, [])) AS all_ev
+  FROM first_{n} g JOIN (SELECT run, eq FROM more_{n}) e ON g.run = e.run LEFT JOIN gaps_{n} p ON g.run = p.run LEFT JOIN added_{n} d ON g.run = d.run))"""
+    decide(f"again_{n}", f"second_{n}")
+    columns = (
+        "run, brief_id, scope, query, query_used, full_name, role_title, company_name, website, country_code, employee_estimate, fit, evidence, notes, "
+        "follow_ups, outcome, score, reasons, attempts, enriched, searches, accepted, shortlisted, history, visited, target_count"
+    )
+    CTE[f"done_{n}"] = f"""
+SELECT {columns}, 0 AS enrich_searches, {n} AS idx FROM ruled_{n} WHERE run NOT IN (SELECT run FROM more_{n})
+UNION ALL SELECT {columns}, 1, {n} FROM again_{n}"""
+    CTE[f"after_{n}"] = f"""
+SELECT *, accepted >= target_count OR attempts >= {ROUNDS} AS over FROM (
+  SELECT run, brief_id, scope, target_count, idx, CASE WHEN attempts >= 4 THEN 2 WHEN attempts >= 2 THEN 1 ELSE 0 END AS stage,
+    CASE WHEN query IS NULL THEN {ROUNDS} ELSE attempts + 1 END AS attempts, enriched + enrich_searches AS enriched,
+    searches + CASE WHEN query IS NULL THEN 0 ELSE 1 END + follow_ups + enrich_searches AS searches,
+    accepted + CASE WHEN outcome = 'ACCEPT' THEN 1 ELSE 0 END AS accepted,
+    least(shortlisted + CASE WHEN outcome = 'REJECT_CLOSE_MATCH' THEN 1 ELSE 0 END, {V.SHORTLIST_SIZE}) AS shortlisted,
+    CASE WHEN query_used IS NULL THEN history ELSE list_append(history, {norm('query_used')}) END AS history,
+    list_concat(visited, list_transform(evidence, lambda e: e.url)) AS visited, query AS current
+  FROM done_{n})"""
+    if n < ROUNDS:
+        CTE[f"start_{n + 1}"] = f"SELECT run, attempts, enriched, searches, accepted, shortlisted, history, visited, current FROM after_{n} WHERE NOT over"
+
+
+for _n in range(1, ROUNDS + 1):
+    round_ctes(_n)
+
+
+def every_round(select: str, table: str, where: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT {select} FROM {table}_{n} {where}" for n in range(1, ROUNDS + 1))
+
+
+CTE["camp_runs"] = f"""
+SELECT *, CASE WHEN accepted > 0 OR shortlisted > 0 THEN 'completed' ELSE 'no_result' END AS status,
+  CASE WHEN accepted >= target_count THEN 'target_count_reached' WHEN shortlisted > 0 THEN 'budget_exhausted_with_shortlist'
+    ELSE 'budget_exhausted_without_results' END AS completed_reason
+FROM ({every_round("* EXCLUDE (history, visited, current)", "after", "WHERE over")})"""
+CTE["camp_steps"] = every_round("*", "done")
+oracle(
+    "campaign",
+    """SELECT run AS run_id, brief_id, scope, status, completed_reason, stage AS applied_relaxation_stage, idx AS iterations, attempts, enriched, searches,
+      accepted, shortlisted, CASE WHEN shortlisted > 0 THEN 'short_' || substr(run, 5) END AS shortlist_id FROM camp_runs""",
+)
+oracle(
+    "campaign_iterations",
+    """SELECT run AS run_id, idx, query, CASE WHEN company_name IS NULL THEN 'NO_CANDIDATE' ELSE 'FOUND' END AS sourcing_status, query_used,
+      full_name, role_title, company_name, website, country_code, employee_estimate, array_to_string(fit, '; ') AS fit_signals,
+      array_to_string(list_transform(evidence, lambda e: e.url), ' ') AS evidence_urls, array_to_string(notes, '; ') AS notes,
+      follow_ups, enrich_searches, outcome, score, array_to_string(reasons, '; ') AS reasons FROM camp_steps""",
+)
+oracle("campaign_claims", every_round("scope, company_key, run_id, idx", "held"))
+CTE["camp_memory"] = f"""
+SELECT scope, kind, value, min(seen) AS seen FROM (
+  SELECT scope, kind, value, 0 AS seen FROM seg_memory
+  UNION ALL SELECT scope, '{V.QUERY_HISTORY}', query_used, 1000 + idx FROM camp_steps WHERE query_used IS NOT NULL
+  UNION ALL SELECT scope, '{V.COMPANY_NAMES}', company_name, 1000 + idx FROM camp_steps WHERE company_name IS NOT NULL
+  UNION ALL SELECT scope, '{V.LEAD_NAMES}', {tidy_person('full_name')}, 1000 + idx FROM camp_steps WHERE outcome = 'ACCEPT' AND {usable_person('full_name')}
+  UNION ALL SELECT scope, '{V.VISITED_URLS}', unnest(list_transform(evidence, lambda e: e.url)), 1000 + idx FROM camp_steps)
+GROUP BY ALL"""
+oracle(
+    "campaign_memory",
+    f"""SELECT scope, kind, value, CASE kind WHEN '{V.QUERY_HISTORY}' THEN {norm('value')} WHEN '{V.COMPANY_NAMES}' THEN lower(value) ELSE value END AS value_norm,
+      cast(seen AS BIGINT) AS first_seen FROM camp_memory
+    UNION ALL SELECT scope, '{V.MISS_STREAK}', NULL, NULL, count(*) FILTER (WHERE last_hit IS NULL OR run > last_hit) + CASE WHEN max(last_hit) IS NULL THEN 2 ELSE 0 END
+    FROM (SELECT *, max(CASE WHEN status <> 'no_result' THEN run END) OVER (PARTITION BY scope) AS last_hit FROM camp_runs) GROUP BY scope""",
+)

@@ -733,19 +733,79 @@ def outcome_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def searched_before(spark: SparkSession, sf: str) -> DataFrame:
+    """Results of returned line items, in the memory scope of the buyer's market segment."""
+    orders = X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    buyers = X.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.lower("c_mktsegment").alias("scope"))
+    return X.results(spark, sf).filter(F.col("l_returnflag") == "R").join(orders, "l_orderkey").join(buyers, "o_custkey")
+
+
+def segment_memory(spark: SparkSession, sf: str) -> DataFrame:
+    """Memory of each segment: URLs of its returned line items; of those in Portugal also queries and companies."""
+    here = F.col("place") == "Portugal"
+    kinds = F.array(
+        F.struct(F.lit(V.VISITED_URLS).alias("kind"), F.col("url").alias("value")),
+        F.struct(F.lit(V.QUERY_HISTORY).alias("kind"), F.when(here, F.col("query")).alias("value")),
+        F.struct(F.lit(V.COMPANY_NAMES).alias("kind"), F.when(here, F.col("p_name")).alias("value")),
+    )
+    rows = searched_before(spark, sf).select("scope", F.inline(kinds)).filter(F.col("value").isNotNull()).distinct()
+    return rows.select("scope", "kind", "value", R.memory_key(F.col("kind"), F.col("value")).alias("value_norm"), F.lit(0).cast("bigint").alias("first_seen"))
+
+
 def campaign_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    counters = spark.createDataFrame([], S.COUNTERS)
-    evidence = handover(X.evidence(spark, sf, K_RESULTS), "evidence")
+    """Every brief run to its end, in the scope of its market segment and on top of what was searched before."""
+    segments = X.table(spark, sf, "customer").select(F.col("c_custkey").alias("brief_id"), F.lower("c_mktsegment").alias("scope"))
+    asked = handover(requests(spark, sf).drop("scope").join(segments, "brief_id"), "asked")
+    second = second_search(handover(dossier_rows(spark, sf), "dossiers"))
+    evidence = handover(X.evidence(spark, sf, K_RESULTS).unionByName(second), "evidence")
     pages = handover(X.pages(spark, sf), "pages")
-    memory = spark.createDataFrame([], S.MEMORY)
-    return run_campaign(requests(spark, sf), evidence, pages, memory, counters)
+    memory = handover(segment_memory(spark, sf), "memory")
+    counters = asked.groupBy("scope").agg(F.lit(2).cast("bigint").alias(V.MISS_STREAK))
+    return run_campaign(asked, evidence, pages, memory, counters)
 
 
 @query
 def campaign(spark: SparkSession, sf: str) -> DataFrame:
-    """Every brief run to its end: attempts with memory, follow-up and enrichment until the target or
-    the budget is reached."""
+    """Every brief run to its end: attempts with memory, claims, follow-up and enrichment until the target
+    or the budget is reached."""
     return campaign_tables(spark, sf)["runs"].select(
-        "run_id", "brief_id", "status", "completed_reason", "applied_relaxation_stage", "iterations",
+        "run_id", "brief_id", "scope", "status", "completed_reason", "applied_relaxation_stage", "iterations",
         "attempts", "enriched", "searches", "accepted", "shortlisted", "shortlist_id",
     )
+
+
+@query
+def campaign_iterations(spark: SparkSession, sf: str) -> DataFrame:
+    """Each attempt of each run with its dossier and decision."""
+    d = F.col("decision")
+    return campaign_tables(spark, sf)["iterations"].select(
+        "run_id", "idx", "query", "sourcing_status", "query_used",
+        F.col("person.full_name").alias("full_name"),
+        F.col("person.role_title").alias("role_title"),
+        F.col("company.name").alias("company_name"),
+        F.col("company.website").alias("website"),
+        F.col("company.country_code").alias("country_code"),
+        F.col("company.employee_estimate").alias("employee_estimate"),
+        joined("fit_signals").alias("fit_signals"),
+        joined(F.transform("evidence", lambda e: e["url"]), " ").alias("evidence_urls"),
+        joined("notes").alias("notes"),
+        "follow_ups", "enrich_searches",
+        d["outcome"].alias("outcome"), d["score"].alias("score"), joined(d["reasons"]).alias("reasons"),
+    )
+
+
+@query
+def campaign_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """Which run holds which company: the first of its scope to find it."""
+    return campaign_tables(spark, sf)["claims"].select("scope", "company_key", F.col("holder").alias("run_id"), "idx")
+
+
+@query
+def campaign_memory(spark: SparkSession, sf: str) -> DataFrame:
+    """Memory and miss counters after the campaign."""
+    tables = campaign_tables(spark, sf)
+    none = F.lit(None).cast("string")
+    counted = tables["counters"].select(
+        "scope", F.lit(V.MISS_STREAK).alias("kind"), none.alias("value"), none.alias("value_norm"), F.col(V.MISS_STREAK).alias("first_seen")
+    )
+    return tables["memory"].select("scope", "kind", "value", "value_norm", "first_seen").unionByName(counted)

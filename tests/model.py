@@ -265,17 +265,30 @@ def decide(d, req):
     return ("REJECT_CLOSE_MATCH" if points >= 55 else "REJECT"), points
 
 
-def run(text, search, pages, memory, budget=6, enrich_budget=1, k=5, shortlist=5):
-    """One brief to its end.  ``search(query)`` gives its results; ``memory`` holds sets ``queries``,
-    ``urls`` and ``companies`` and is not changed."""
+def batch(briefs, search, pages, memory, **limits):
+    """Briefs {run_id: text} to their end, round by round and in the order of run_id within a round; a company
+    that one run finds is explored for all that act later."""
+    claimed, out = set(), {}
+    active = {k: attempts(briefs[k], search, pages, memory, claimed, **limits) for k in sorted(briefs)}
+    while active:
+        for k in list(active):
+            out[k] = next(active[k])
+            if "status" in out[k]:
+                del active[k]
+    return out
+
+
+def attempts(text, search, pages, memory, claimed, budget=6, enrich_budget=1, k=5, shortlist=5, suggested=()):
+    """One brief, an attempt at a time, until its result has a ``status``.  ``search(query)`` gives
+    results; ``memory`` holds sets ``queries``, ``urls`` and ``companies`` and is not changed."""
     req = request(text)
-    past, urls, firms = set(memory["queries"]), set(memory["urls"]), set(memory["companies"])
+    past, urls = set(memory["queries"]), set(memory["urls"])
     out = {"iterations": [], "attempts": 0, "enriched": 0, "searches": 0, "accepted": 0, "shortlisted": 0}
     current = None
     while True:
         stage = 2 if out["attempts"] >= 4 else 1 if out["attempts"] >= 2 else 0
         used = past | ({norm(current)} if current else set())
-        query = next((q for q in queries(req, stage) if norm(q) not in used), None)
+        query = next((q for q in [*suggested, *queries(req, stage)] if norm(q) not in used), None)
         current = query
         if query is None:
             d = empty(None, V.NOTE_NO_QUERY)
@@ -285,9 +298,11 @@ def run(text, search, pages, memory, budget=6, enrich_budget=1, k=5, shortlist=5
             out["searches"] += 1
             items = [i for i in search(query)[:k] if i["url"] not in urls and host(i["url"]) not in [*V.SOCIAL_HOSTS, None]]
             d = dossier(query, items, req, pages)
-            if d["found"] and d["company"]["name"].lower() in firms:
+            firm = d["company"]["name"].lower() if d["found"] else None
+            if firm in claimed | memory["companies"]:
                 d = {**empty(query, ""), "notes": d["notes"] + [V.NOTE_EXPLORED]}
             elif d["found"] and len(d["evidence"]) < 2:
+                claimed.add(firm)
                 q2 = second_query(d, req, " ")
                 out["searches"] += 1
                 held = {i["url"] for i in d["evidence"]}
@@ -300,6 +315,8 @@ def run(text, search, pages, memory, budget=6, enrich_budget=1, k=5, shortlist=5
                         d["notes"] = d["notes"] + [f"follow_up_query={q2}"]
                         refit(d, req, d["evidence"])
                         break
+            elif d["found"]:
+                claimed.add(firm)
         outcome, points = decide(d, req)
         if outcome == "ENRICH" and out["enriched"] < enrich_budget:
             out["enriched"] += 1
@@ -328,9 +345,8 @@ def run(text, search, pages, memory, budget=6, enrich_budget=1, k=5, shortlist=5
         if d["query"]:
             past.add(norm(d["query"]))
         urls |= {i["url"] for i in d["evidence"]}
-        if d["company"]:
-            firms.add(d["company"]["name"].lower())
         if out["accepted"] >= req["count"] or out["attempts"] >= budget:
             break
+        yield out
     out["status"] = "completed" if out["accepted"] or out["shortlisted"] else "no_result"
-    return out
+    yield out

@@ -24,6 +24,7 @@ BRIEFS = [
 ]
 PLACES = ["Spain", "France", "Germany", "Portugal", "UK", "Unknown", "Madrid"]
 FIRMS = ["acme ai", "Bravo Dev", "cold_ring", "Delta startups", "omega-labs", "a maker of many small and large parts for all buyers"]
+FIRMS += [f"{a} {b}" for a in ("North", "iron", "Blue", "Nova") for b in ("forge", "Labs", "works", "Data")]
 ROLES = ["CTO", "Founder", "Director of Sales", "Engineering Manager", "Talent Lead", "CEO"]
 TOPICS = ["GenAI automation", "agentic workflow", "software parts", "see https://site.example.com/a). generative", "ai engineering"]
 
@@ -68,7 +69,7 @@ class World:
         return self.index[query]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [2, 7])
 def test_rounds_equal_model(spark, seed):
     world = World(seed)
     firsts = [model.queries(model.request(b), 0)[0] for b in BRIEFS[:3]]
@@ -80,10 +81,11 @@ def test_rounds_equal_model(spark, seed):
             for q in model.queries(model.request(b), stage):
                 world.search(q)
     memory["urls"] = {sorted(world.pages)[0], sorted(world.pages)[1]}
+    keys = [r.run_id for r in spark.range(len(BRIEFS)).orderBy("id").select(derived_id("run", F.col("id")).alias("run_id")).collect()]
     before = -1
     while before != len(world.pages):  # second searches add pages; repeat until none is new
         before = len(world.pages)
-        expected = [model.run(b, world.search, world.pages, memory) for b in BRIEFS]
+        expected = model.batch({keys[n]: b for n, b in enumerate(BRIEFS)}, world.search, world.pages, memory)
 
     evidence = [
         (q, n, i["url"], i["title"], i["snippet"], "fixture") for q, rows in world.index.items() for n, i in enumerate(rows)
@@ -99,7 +101,8 @@ def test_rounds_equal_model(spark, seed):
         handover(spark.createDataFrame(stored, S.MEMORY), "memory"),
         spark.createDataFrame([("global", 2)], S.COUNTERS),
     )
-    ids = {r.run_id: n for n, r in enumerate(spark.range(len(BRIEFS)).select(derived_id("run", F.col("id")).alias("run_id")).collect())}
+    ids = {k: n for n, k in enumerate(keys)}
+    expected = [expected[k] for k in keys]
     got = {}
     for r in out["iterations"].orderBy("run_id", "idx").collect():
         c, p, d = r.company, r.person, r.decision
@@ -112,7 +115,7 @@ def test_rounds_equal_model(spark, seed):
         )
     for n, e in enumerate(expected):
         assert got[n] == e["iterations"], BRIEFS[n]
-    if seed == 1:  # the world that reaches every branch
+    if seed == 7:  # the world that reaches every branch
         assert {i[11] for e in expected for i in e["iterations"]} >= {"ACCEPT", "REJECT", "REJECT_CLOSE_MATCH"}
         assert any(e["enriched"] for e in expected)
     for r in out["runs"].collect():
