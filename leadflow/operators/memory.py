@@ -9,6 +9,11 @@ from leadflow import vocab as V
 from leadflow.operators.shared import spread_lookup
 
 
+KINDS = [V.QUERY_HISTORY, V.VISITED_URLS, V.COMPANY_NAMES, V.LEAD_NAMES]
+#: What tells memory entries apart.
+KEY = ["scope", "kind", "value"]
+
+
 def entries(memory: DataFrame, kind: str) -> DataFrame:
     return memory.filter(F.col("kind") == kind)
 
@@ -55,6 +60,20 @@ def load_counters(counters: DataFrame, scopes: DataFrame) -> DataFrame:
     )
 
 
+def load_memory(memory: DataFrame, counters: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Read-or-initialise: one row per asked scope with its counter and how many entries of each kind it holds;
+    a scope without a memory has none, its counter is 0.  Counts are combined on the map side."""
+    mine = memory.groupBy("scope").agg(
+        *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS],
+        F.min("first_seen").alias("oldest"),
+        F.max("first_seen").alias("newest"),
+    )
+    loaded = load_counters(counters, scopes).join(mine, "scope", "left")
+    return loaded.select(
+        "scope", V.MISS_STREAK, *[F.coalesce(f"n_{k}", F.lit(0).cast("bigint")).alias(f"n_{k}") for k in KINDS], "oldest", "newest"
+    )
+
+
 def miss_streak(counters: DataFrame, runs: DataFrame) -> DataFrame:
     """Consecutive runs without result per scope after a batch of finished runs.
 

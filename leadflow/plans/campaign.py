@@ -174,9 +174,9 @@ def run_campaign(
 
 
 def responses(tables: dict[str, DataFrame]) -> DataFrame:
-    """One nested document per run for the archive: the run with its leads and shortlist options.
+    """One nested document per run for the archive: the run with its leads, shortlist options and, where given, iterations.
 
-    A run has at most one lead or option per attempt, so the collected lists stay short.
+    A run has at most one lead, option or iteration per attempt, so the collected lists stay short.
     """
 
     def listed(name: str, order: str) -> DataFrame:
@@ -186,7 +186,11 @@ def responses(tables: dict[str, DataFrame]) -> DataFrame:
         return rows.groupBy("run_id").agg(F.transform(entries, lambda e: e["row"]).alias(name))
 
     runs = tables["runs"]
-    for name, order in (("accepted_leads", "idx"), ("shortlist_options", "option_number")):
+    for name, order in (("accepted_leads", "idx"), ("shortlist_options", "option_number"), ("iterations", "idx")):
+        if name not in tables:
+            continue
+        if name in runs.columns:  # a count of theirs
+            runs = runs.withColumnRenamed(name, f"n_{name}")
         per_run = listed(name, order)
         empty = F.array().cast(per_run.schema[name].dataType)
         runs = runs.join(per_run, "run_id", "left").withColumn(name, F.coalesce(name, empty))

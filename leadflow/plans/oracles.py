@@ -851,7 +851,7 @@ oracle(
       CASE WHEN used >= 4 THEN 2 WHEN used >= 2 THEN 1 ELSE 0 END AS relaxation_stage,
       coalesce(completed_reason, 'continue_sourcing') AS reason, status, completed_reason FROM ended_runs""",
 )
-oracle("run_lookup", "SELECT run_id, brief_id, status FROM ended_runs WHERE run_id = 'run_7902699be42c'")
+oracle("run_lookup", f"SELECT run_id, brief_id, status FROM ended_runs WHERE run_id = {run_id('1')}")
 oracle(
     "miss_streak",
     f"""SELECT coalesce(b.scope, r.scope) AS scope, CASE WHEN r.last_hit IS NOT NULL THEN r.misses ELSE coalesce(b.n, 0) + coalesce(r.misses, 0) END AS {V.MISS_STREAK}
@@ -887,6 +887,29 @@ oracle(
     UNION ALL SELECT 'refused', shortlist_id, option_number, NULL, NULL, NULL FROM selections
       WHERE shortlist_id NOT IN (SELECT shortlist_id FROM won)""",
 )
+CTE["two_choices"] = """
+SELECT DISTINCT 'short_' || substr(run_id, 5) AS shortlist_id, unnest([1 + brief_id % 4, 1 + brief_id % 3]) AS option_number,
+  unnest([10 + brief_id % 2, 11]) AS selected_at FROM decided"""
+CTE["first_choice"] = """
+SELECT * FROM two_choices SEMI JOIN short_rows USING (shortlist_id, option_number)
+QUALIFY row_number() OVER (PARTITION BY shortlist_id ORDER BY selected_at, option_number) = 1"""
+oracle(
+    "shortlist_records",
+    """SELECT s.shortlist_id, run_id, count(*) AS n_options, CASE WHEN f.shortlist_id IS NULL THEN 'pending' ELSE 'cleared' END AS status,
+      cast(f.option_number AS INTEGER) AS selected_option, '2030-01-01 00:00:00' AS created_at,
+      CASE WHEN f.shortlist_id IS NULL THEN '2030-01-01 00:00:00' ELSE '2030-01-02 00:00:00' END AS updated_at
+    FROM short_rows s LEFT JOIN first_choice f ON s.shortlist_id = f.shortlist_id GROUP BY ALL""",
+)
+oracle(
+    "run_responses",
+    """SELECT '20300102T030405Z_lead-search-run_' || r.run_id || '.json' AS name, r.run_id, r.brief_id, status, completed_reason, used,
+      cast(coalesce(n_leads, 0) AS INTEGER) AS n_leads, first_company, first_score, first_urls, cast(coalesce(n_options, 0) AS INTEGER) AS n_options, last_option,
+      cast(n_iterations AS INTEGER) AS n_iterations, outcomes
+    FROM ended_runs r JOIN (SELECT run_id, count(*) AS n_iterations, string_agg(outcome, ' ' ORDER BY idx) AS outcomes FROM decided GROUP BY run_id) i USING (run_id)
+    LEFT JOIN (SELECT run_id, count(*) AS n_leads, arg_min(company_name, idx) AS first_company, arg_min(score, idx) AS first_score,
+      arg_min(array_to_string(list_transform(evidence, lambda e: e.url), ' '), idx) AS first_urls FROM lead_rows GROUP BY run_id) l USING (run_id)
+    LEFT JOIN (SELECT run_id, count(*) AS n_options, arg_max(company_name, option_number) AS last_option FROM short_rows GROUP BY run_id) s USING (run_id)""",
+)
 oracle(
     "archive_json",
     """SELECT '20300102T030405Z_lead-search-run_' || run_id || '.json' AS name,
@@ -899,6 +922,60 @@ oracle(
     FROM decided GROUP BY ALL""",
 )
 
+# ---------------------------------------------------------------- streams
+
+CTE["raw_in"] = """
+SELECT *, CASE c_nationkey WHEN 10 THEN '{"user_text": 12}' WHEN 11 THEN '{"user_text": "  "}' WHEN 12 THEN 'not json' WHEN 13 THEN '{}'
+    WHEN 14 THEN '[]' WHEN 15 THEN '{"user_text": null}' ELSE '{"user_text": "' || user_text || '"' ||
+      CASE c_nationkey WHEN 0 THEN ', "unexpected": "value"' WHEN 1 THEN ', "request_id": "r-1"' WHEN 2 THEN ', "meta": {"n": 1}' WHEN 3 THEN ', "meta": 5'
+        WHEN 4 THEN ', "request_id": 7' WHEN 5 THEN ', "request_id": null' WHEN 6 THEN ', "meta": null' WHEN 7 THEN ', "zeta": 1, "alpha": 2' ELSE '' END || '}' END AS payload,
+  CASE c_nationkey WHEN 0 THEN 'unknown field: unexpected' WHEN 3 THEN 'meta must be an object' WHEN 4 THEN 'request_id must be a string'
+    WHEN 6 THEN 'meta must be an object' WHEN 7 THEN 'unknown field: alpha,zeta' WHEN 10 THEN 'user_text must be a string'
+    WHEN 11 THEN 'user_text must not be empty' WHEN 12 THEN 'not a JSON object' WHEN 13 THEN 'user_text must be a string'
+    WHEN 14 THEN 'not a JSON object' WHEN 15 THEN 'user_text must be a string' ELSE 'ok' END AS fault
+FROM v_briefs"""
+CTE["waves"] = """
+SELECT *, substr(sha256(CASE c_nationkey WHEN 1 THEN 'r-1' WHEN 4 THEN '7' ELSE payload END), 1, 32) AS key FROM (
+  SELECT 0 AS wave, brief_id, c_nationkey, user_text, payload, fault FROM raw_in
+  UNION ALL SELECT 1, brief_id, c_nationkey, 'please ' || user_text, replace(payload, 'find ', 'please find '), fault FROM raw_in WHERE c_nationkey = 1)"""
+CTE["winners"] = """
+SELECT w.wave, w.key, w.payload, t.user_text, r.target_count, r.country,
+  CASE WHEN target_count NOT BETWEEN 1 AND 20 THEN 'target_count out of range' WHEN min_size NOT BETWEEN 1 AND 100000 THEN 'min_company_size out of range'
+    WHEN max_size NOT BETWEEN 1 AND 100000 THEN 'max_company_size out of range' ELSE 'ok' END AS error
+FROM (SELECT wave, key, max(payload) AS payload FROM waves WHERE fault = 'ok' GROUP BY ALL) w
+JOIN (SELECT wave, payload, min(brief_id) AS brief_id, any_value(user_text) AS user_text FROM waves GROUP BY ALL) t ON w.wave = t.wave AND w.payload = t.payload
+JOIN req_all r ON r.brief_id = t.brief_id"""
+oracle(
+    "landed_briefs",
+    """SELECT key AS brief_id, 'ok' AS error, CASE WHEN key = substr(sha256('r-1'), 1, 32) THEN 'r-1' ELSE 'req_' || substr(sha256(key), 1, 32) END AS request_id,
+      arg_max(user_text, wave) AS user_text, arg_max(target_count, wave) AS target_count, max_by({'c': country}, wave).c AS preferred_country,
+      cast(min(wave) AS BIGINT) AS first_batch, cast(max(wave) AS BIGINT) AS batch FROM winners WHERE error = 'ok' GROUP BY key
+    UNION ALL SELECT max(key), max(error), NULL, payload, NULL, NULL, cast(min(wave) AS BIGINT), cast(max(wave) AS BIGINT) FROM (
+      SELECT wave, key, fault AS error, payload FROM waves WHERE fault <> 'ok'
+      UNION ALL SELECT wave, key, error, user_text FROM winners WHERE error <> 'ok') GROUP BY payload""",
+)
+CTE["picks"] = """
+SELECT 0 AS batch, shortlist_id, option_number FROM selections
+UNION ALL SELECT DISTINCT 1, shortlist_id, 1 FROM short_rows"""
+CTE["picked_rows"] = f"""
+SELECT p.batch, s.*, s.person_name AS who FROM picks p JOIN short_rows s ON p.shortlist_id = s.shortlist_id AND p.option_number = s.option_number
+WHERE p.batch = 0 OR p.shortlist_id NOT IN (SELECT shortlist_id FROM won)"""
+CTE["learned"] = f"""
+SELECT kind, value, min(batch) AS batch FROM (
+  SELECT '{V.COMPANY_NAMES}' AS kind, company_name AS value, batch FROM picked_rows
+  UNION ALL SELECT '{V.LEAD_NAMES}', who, batch FROM picked_rows WHERE coalesce(who, '') <> '') GROUP BY ALL"""
+oracle(
+    "landed_selections",
+    """SELECT 'lead' AS part, shortlist_id AS key, option_number, company_name, type AS detail, cast(batch AS BIGINT) AS batch FROM picked_rows
+    UNION ALL SELECT 'crm', run_id, 0, company_name, NULL, batch FROM picked_rows
+    UNION ALL SELECT 'option', shortlist_id, option_number, company_name, NULL, NULL FROM short_rows ANTI JOIN picked_rows USING (shortlist_id, option_number)
+    UNION ALL SELECT DISTINCT 'run', run_id, 0, NULL, CASE WHEN run_id IN (SELECT run_id FROM picked_rows) THEN 'completed' ELSE 'no_result' END, NULL FROM decided
+    UNION ALL SELECT 'shortlist', shortlist_id, option_number, NULL, 'cleared', batch FROM picked_rows
+    UNION ALL SELECT 'refused', shortlist_id, option_number, NULL, NULL, batch FROM picks
+      WHERE (batch, shortlist_id, option_number) NOT IN (SELECT (batch, shortlist_id, option_number) FROM picked_rows)
+    UNION ALL SELECT 'memory', kind, 0, value, NULL, batch FROM learned""",
+)
+
 # ---------------------------------------------------------------- the campaign, round by round
 
 _SOCIAL = ", ".join(lit(x) for x in V.SOCIAL_HOSTS)
@@ -1096,3 +1173,11 @@ oracle(
     UNION ALL SELECT scope, '{V.MISS_STREAK}', NULL, NULL, count(*) FILTER (WHERE last_hit IS NULL OR run > last_hit) + CASE WHEN max(last_hit) IS NULL THEN 2 ELSE 0 END
     FROM (SELECT *, max(CASE WHEN status <> 'no_result' THEN run END) OVER (PARTITION BY scope) AS last_hit FROM camp_runs) GROUP BY scope""",
 )
+oracle(
+    "memory_loaded",
+    f"""SELECT s.scope, coalesce(c.n, 0) AS {V.MISS_STREAK}, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in (V.QUERY_HISTORY, V.VISITED_URLS, V.COMPANY_NAMES, V.LEAD_NAMES))},
+      cast(CASE WHEN count(kind) > 0 THEN 0 END AS BIGINT) AS oldest, cast(CASE WHEN count(kind) > 0 THEN 0 END AS BIGINT) AS newest
+    FROM (SELECT DISTINCT lower(c_mktsegment) AS scope FROM customer UNION SELECT lower(n_name) FROM nation) s
+    LEFT JOIN (SELECT lower(c_mktsegment) AS scope, count(*) % 7 AS n FROM customer GROUP BY ALL) c ON s.scope = c.scope
+    LEFT JOIN seg_memory m ON s.scope = m.scope GROUP BY s.scope, c.n""",
+)

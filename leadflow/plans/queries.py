@@ -23,12 +23,14 @@ from leadflow.operators import normalize as N
 from leadflow.operators import outreach as O
 from leadflow.operators import qualify as K
 from leadflow.operators import route as R
-from leadflow.operators.shared import handover
+from leadflow.operators.shared import handover, new_folder
 from leadflow.plans import fixtures as X
-from leadflow.plans.campaign import run_campaign
+from leadflow.plans.campaign import responses, run_campaign
 from leadflow.sources import briefs as B
 from leadflow.sources import evidence as EV
 from leadflow.sources import tables as TB
+from leadflow.sources import versions as VS
+from leadflow.streaming import intake
 
 KEY = ["brief_id", "pos"]
 K_RESULTS = V.MAX_RESULTS
@@ -622,8 +624,10 @@ def run_status(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def run_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """One stored run by its id."""
-    return TB.get_run(Z.finish(run_rows(spark, sf)), "run_7902699be42c").select("run_id", "brief_id", "status")
+    """One run by its id, from the stored table of runs: one bucket of it is scanned."""
+    root = new_folder(spark, "runs")
+    VS.save(Z.finish(run_rows(spark, sf)), root, ["run_id"])
+    return VS.lookup(spark, root, "run_id", N.derived_id("run", F.lit(1))).select("run_id", "brief_id", "status")
 
 
 @query
@@ -655,6 +659,16 @@ def memory_merge(spark: SparkSession, sf: str) -> DataFrame:
     return M.merge_memory(stored_memory(spark, sf), R.memory_deltas(decided))
 
 
+@query
+def memory_loaded(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored memory of the segments, as loaded for all of them and for every nation, which has none yet."""
+    root = new_folder(spark, "memory")
+    VS.save(segment_memory(spark, sf), root, M.KEY)
+    stored = X.table(spark, sf, "customer").groupBy(F.lower("c_mktsegment").alias("scope")).agg((F.count(F.lit(1)) % 7).alias(V.MISS_STREAK))
+    asked = stored.select("scope").unionByName(X.table(spark, sf, "nation").select(F.lower("n_name").alias("scope")))
+    return M.load_memory(VS.read(spark, root), stored, asked)
+
+
 @query
 def memory_reset(spark: SparkSession, sf: str) -> DataFrame:
     decided = decided_rows(spark, sf)
@@ -662,9 +676,8 @@ def memory_reset(spark: SparkSession, sf: str) -> DataFrame:
     return M.reset_memory(merged, ["queryHistory", "visitedUrls", "bogus"]).select("scope", "kind", "value")
 
 
-@query
-def upsert_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored runs (customers with orders) overlaid with the runs of this batch."""
+def stored_runs(spark: SparkSession, sf: str) -> str:
+    """Folder of a table of runs: customers with orders, then the runs of this batch saved over them."""
     stored = X.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("brief_id")).agg(
         F.min("o_orderdate").alias("created_at"), F.max("o_orderdate").alias("updated_at")
     )
@@ -673,13 +686,74 @@ def upsert_runs(spark: SparkSession, sf: str) -> DataFrame:
     )
     now = F.lit("2030-01-01 00:00:00").cast("timestamp_ntz")
     delta = Z.finish(run_rows(spark, sf)).select("run_id", "status", now.alias("created_at"), now.alias("updated_at"))
-    merged = TB.upsert(base, delta, ["run_id"], keep=["created_at"])
+    root = new_folder(spark, "runs")
+    VS.create(base, root, ["run_id"])
+    VS.save(delta, root, ["run_id"], keep=["created_at"])
+    return root
+
+
+@query
+def upsert_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored runs overlaid with the runs of this batch, as the table's current version has them."""
+    merged = VS.read(spark, stored_runs(spark, sf))
     stamp = "yyyy-MM-dd HH:mm:ss"
     return merged.select(
         "run_id", "status", F.date_format("created_at", stamp).alias("created_at"), F.date_format("updated_at", stamp).alias("updated_at")
     )
 
 
+@query
+def shortlist_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Shortlists stored as pending, then two selections for each, of which the earlier sound one clears it;
+    the same selections a second time change nothing."""
+    decided = decided_rows(spark, sf)
+    options = R.shortlist_options(decided)
+    root = new_folder(spark, "shortlists")
+    first, second, third = (F.lit(f"2030-01-0{day} 00:00:00").cast("timestamp_ntz") for day in (1, 2, 3))
+    VS.create(TB.shortlist_records(options, first), root, ["shortlist_id"])
+    runs = decided.select("run_id", "scope", F.lit("no_result").alias("status")).distinct()
+    n = F.col("brief_id")
+    chosen = F.array(
+        F.struct((1 + n % 4).cast("int").alias("option_number"), (10 + n % 2).cast("int").alias("selected_at")),
+        F.struct((1 + n % 3).cast("int").alias("option_number"), F.lit(11).alias("selected_at")),
+    )
+    selections = decided.select(R.shortlist_id(F.col("run_id")).alias("shortlist_id"), F.inline(chosen)).distinct()
+    for at in (second, third):
+        records = VS.read(spark, root).drop("bucket")
+        leads = R.promote(selections, options, records, runs)["accepted_leads"]
+        VS.save(TB.settled(records, leads, at), root, ["shortlist_id"], keep=["created_at"])
+    stamp = "yyyy-MM-dd HH:mm:ss"
+    return VS.read(spark, root).select(
+        "shortlist_id", "run_id", "n_options", "status", "selected_option",
+        F.date_format("created_at", stamp).alias("created_at"), F.date_format("updated_at", stamp).alias("updated_at"),
+    )
+
+
+@query
+def run_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested run documents, written to the archive as JSON and read back by their schema."""
+    decided = decided_rows(spark, sf)
+    tables = R.route(decided)
+    runs = Z.finish(run_rows(spark, sf)).select(
+        "run_id", "brief_id", "status", "completed_reason",
+        F.struct("source_attempt_budget", "source_attempts_used").alias("budget"),
+    )
+    iterations = decided.select("run_id", "idx", "query", "sourcing_status", "query_used", "company", "person", "notes", "decision")
+    documents = responses({"runs": runs, "iterations": iterations, **{t: tables[t] for t in ("accepted_leads", "shortlist_options")}})
+    root = new_folder(spark, "archive")
+    TB.archive(documents, "lead-search-run", root, F.lit("2030-01-02 03:04:05").cast("timestamp_ntz"))
+    back = TB.read_archive(spark, root, "lead-search-run", documents.schema).select("name", "document.*")
+    lead = F.get("accepted_leads", F.lit(0))
+    return back.filter(F.col("run_id").isNotNull()).select(
+        "name", "run_id", "brief_id", "status", "completed_reason", F.col("budget.source_attempts_used").alias("used"),
+        F.size("accepted_leads").alias("n_leads"), lead["company_name"].alias("first_company"), lead["qualification"]["score"].alias("first_score"),
+        joined(F.transform(lead["evidence"], lambda e: e["url"]), " ").alias("first_urls"),
+        F.size("shortlist_options").alias("n_options"), F.when(F.size("shortlist_options") > 0, F.try_element_at("shortlist_options", F.lit(-1))["company_name"]).alias("last_option"),
+        F.size("iterations").alias("n_iterations"),
+        joined(F.transform("iterations", lambda i: i["decision"]["outcome"]), " ").alias("outcomes"),
+    )
+
+
 @query
 def promote(spark: SparkSession, sf: str) -> DataFrame:
     """One selection per shortlist; some name an option that does not exist."""
@@ -733,6 +807,78 @@ def outcome_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- streams
+
+
+@query
+def landed_briefs(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw briefs streamed in from files in two waves, the second repeating a request id with other texts."""
+    folder = new_folder(spark, "intake")
+    roots = f"{folder}/requests", f"{folder}/quarantine"
+    payloads = raw_briefs(spark, sf).select("payload")
+    again = payloads.filter(F.contains("payload", F.lit('"request_id": "r-1"')))
+    other = again.select(F.replace("payload", F.lit("find "), F.lit("please find ")).alias("payload"))
+    for wave in (payloads, other):
+        wave.write.mode("append").text(f"{folder}/in")
+        intake.start_brief_intake(spark, f"{folder}/in", *roots, f"{folder}/checkpoint").awaitTermination()
+    sound, refused = (VS.read(spark, r) for r in roots)
+    none = F.lit(None).cast("string")
+    return sound.select(
+        "brief_id", F.lit("ok").alias("error"), "request_id", "user_text", F.col("constraints.target_count").alias("target_count"),
+        F.col("constraints.preferred_country").alias("preferred_country"), "first_batch", "batch",
+    ).unionByName(
+        refused.select(
+            "brief_id", "error", none.alias("request_id"), F.col("payload").alias("user_text"), F.lit(None).cast("bigint").alias("target_count"),
+            none.alias("preferred_country"), "first_batch", "batch",
+        )
+    )
+
+
+@query
+def landed_selections(spark: SparkSession, sf: str) -> DataFrame:
+    """Selections streamed in two waves against a stored set of shortlists: an option per brief, some of which
+    do not exist, then the first option of every shortlist."""
+    store = new_folder(spark, "store")
+    decided = decided_rows(spark, sf)
+    options = handover(R.shortlist_options(decided), "options")
+    records = TB.shortlist_records(options, F.lit("2030-01-01 00:00:00").cast("timestamp_ntz"))
+    runs = decided.select("run_id", "scope", F.lit("no_result").alias("status")).distinct()
+    intake.create_store(store, options, records, runs)
+    shortlist = R.shortlist_id(F.col("run_id")).alias("shortlist_id")
+    waves = (
+        decided.select(shortlist, (1 + F.col("brief_id") % 4).cast("int").alias("option_number")).distinct(),
+        options.select("shortlist_id", F.lit(1).alias("option_number")).distinct(),
+    )
+    for wave in waves:
+        wave.write.mode("append").json(f"{store}/in")
+        intake.start_selection_intake(spark, f"{store}/in", store, f"{store}/checkpoint").awaitTermination()
+    now = {name: intake.table(spark, store, name) for name in intake.KEYS}
+    none, zero = F.lit(None).cast("string"), F.lit(0)
+
+    def part(name: str, rows: DataFrame, key, number=zero, company=none, detail=none, batch=F.lit(None).cast("bigint")) -> DataFrame:
+        return rows.select(
+            F.lit(name).alias("part"), F.col(key).alias("key"), number.alias("option_number"), company.alias("company_name"), detail.alias("detail"), batch.alias("batch")
+        )
+
+    option, company, batch = F.col("option_number"), F.col("company_name"), F.col("batch")
+    parts = [
+        part("lead", now["accepted_leads"], "shortlist_id", option, company, F.col("role_title"), batch),
+        part("crm", now["crm_records"], "run_id", company=F.get_json_object("payload_json", "$.company_name"), batch=batch),
+        part("option", now["options"].filter("open"), "shortlist_id", option, company),
+        part("run", now["runs"], "run_id", detail=F.col("status")),
+        part("shortlist", now["shortlists"], "shortlist_id", F.coalesce("selected_option", zero), detail=F.col("status"), batch=batch),
+        part("refused", now["refused"], "shortlist_id", option, batch=batch),
+        part("memory", now["memory"], "kind", company=F.col("value"), batch=F.col("first_seen")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# ---------------------------------------------------------------- campaign
+
+
 def searched_before(spark: SparkSession, sf: str) -> DataFrame:
     """Results of returned line items, in the memory scope of the buyer's market segment."""
     orders = X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")

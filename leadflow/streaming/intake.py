@@ -1,7 +1,7 @@
 """Streams of incoming briefs and shortlist selections.
 
-Each micro-batch writes its own ``batch=<id>`` folder and overwrites it when the batch is repeated
-after a failure, so tables are append-only logs of keyed rows; readers take the latest row per key.
+Each micro-batch is saved into keyed tables in versions (``sources.versions``), so a batch that is
+repeated after a failure leaves the same rows as when it ran once.
 """
 
 from __future__ import annotations
@@ -11,92 +11,124 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leadflow import schemas as S
+from leadflow.operators import route as R
 from leadflow.operators.normalize import normalize_briefs
-from leadflow.operators.route import promote
 from leadflow.operators.shared import handover
-from leadflow.sources.briefs import validate_briefs, validate_requests
+from leadflow.sources import tables as TB
+from leadflow.sources import versions as VS
+from leadflow.sources.briefs import contract_error, validate_briefs, validate_requests
 
-REQUESTS = (
-    f"brief_id bigint, request_id string, user_text string, constraints {S.CONSTRAINTS}, "
-    "buyer_targets array<string>, search_themes array<string>, meta string, batch bigint"
-)
-CLEARED = "shortlist_id string, batch bigint"
 
+def _landed(df: DataFrame, batch: int) -> DataFrame:
+    """Rows with the batch that last saved them and the one that first did."""
+    number = F.lit(batch).cast("bigint")
+    return df.withColumns({"first_batch": number, "batch": number})
 
-def _write_batch(df: DataFrame, path: str, batch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
+def land_briefs(raw: DataFrame, batch: int, requests_root: str, quarantine_root: str) -> None:
+    """Check, normalise and save one batch of raw JSON briefs (column ``payload``).
 
-def current_rows(log: DataFrame, key: list[str]) -> DataFrame:
-    """Latest version of each key in a batch log."""
-    rest = [c for c in log.columns if c not in key and c != "batch"]
-    latest = log.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_row"))
-    return latest.select(*key, "_row.*")
-
-
-def land_briefs(raw: DataFrame, batch: int, requests_path: str, quarantine_path: str) -> None:
-    """Check, normalise and store one batch of raw JSON briefs (column ``payload``).
-
-    A brief's key is its request id, or its text where it has none, so a repeated brief updates its
-    row instead of adding one.
+    A brief's key is its request id, or its whole text where it has none, as 128 bits of its
+    SHA-256: a repeated brief updates its row instead of adding one.  Of several briefs of one key in
+    a batch the greatest payload wins, however they are spread over files; a later batch wins over an
+    earlier one.  Refused briefs are kept once per payload.
     """
     given = F.get_json_object("payload", "$.request_id")
-    keyed = raw.select(F.xxhash64(F.coalesce(given, F.col("payload"))).alias("brief_id"), "payload")
-    sound, refused = validate_briefs(handover(keyed, "briefs"))
-    requests = handover(normalize_briefs(sound.dropDuplicates(["brief_id"])), "requests")
-    within, outside = validate_requests(requests)
-    _write_batch(within, requests_path, batch)
+    key = F.substring(F.sha2(F.coalesce(given, F.col("payload")).cast("binary"), 256), 1, 32)
+    briefs = handover(raw.select(key.alias("brief_id"), "payload"), "briefs")
+    checked = handover(briefs.withColumn("error", contract_error(F.col("payload"))), "checked")
+    refused = checked.filter(F.col("error").isNotNull())
+    # one row per key before the work on its text
+    winners = checked.filter(F.col("error").isNull()).groupBy("brief_id").agg(F.max("payload").alias("payload"))
+    within, outside = validate_requests(handover(normalize_briefs(validate_briefs(winners)[0]), "requests"))
     late = outside.select("brief_id", F.col("user_text").alias("payload"), "error")
-    _write_batch(refused.unionByName(late), quarantine_path, batch)
+    bad = refused.unionByName(late).groupBy("payload").agg(F.max("brief_id").alias("brief_id"), F.max("error").alias("error"))
+    VS.save(_landed(within, batch), requests_root, ["brief_id"], keep=["first_batch"])
+    VS.save(_landed(bad, batch), quarantine_root, ["payload"], keep=["first_batch"])
 
 
 def start_brief_intake(
-    spark: SparkSession, source: str, requests_path: str, quarantine_path: str, checkpoint: str
+    spark: SparkSession, source: str, requests_root: str, quarantine_root: str, checkpoint: str
 ) -> StreamingQuery:
     """Read JSON-lines files of briefs as they arrive."""
     raw = spark.readStream.text(source).select(F.col("value").alias("payload"))
     return (
-        raw.writeStream.foreachBatch(lambda df, batch: land_briefs(df, batch, requests_path, quarantine_path))
+        raw.writeStream.foreachBatch(lambda df, batch: land_briefs(df, batch, requests_root, quarantine_root))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    return current_rows(spark.read.schema(REQUESTS).parquet(path), ["request_id"])
+def read_requests(spark: SparkSession, root: str) -> DataFrame:
+    return VS.read(spark, root).drop("bucket")
+
+
+# ---------------------------------------------------------------- selections
+
+#: Tables of a store of runs that selections work on, with their keys.
+KEYS = {
+    "options": ["shortlist_id", "option_number"],
+    "runs": ["run_id"],
+    "accepted_leads": ["lead_id"],
+    "crm_records": ["lead_id"],
+    "memory": ["scope", "kind", "value"],
+    "refused": ["batch", "shortlist_id", "option_number"],
+    "shortlists": ["shortlist_id"],
+}
+
 
+def create_store(store: str, options: DataFrame, shortlists: DataFrame, runs: DataFrame) -> None:
+    """Makes the tables that selections read: ``options`` (all open), ``shortlists`` (see ``tables.shortlist_records``), ``runs``."""
+    VS.create(options.withColumn("open", F.lit(True)), f"{store}/options", KEYS["options"])
+    VS.create(runs, f"{store}/runs", KEYS["runs"])
+    VS.create(shortlists.withColumn("batch", F.lit(None).cast("bigint")), f"{store}/shortlists", KEYS["shortlists"])
 
-def land_selections(
-    selections: DataFrame, batch: int, options: DataFrame, shortlists: DataFrame, runs: DataFrame, out: str
-) -> None:
-    """Promote one batch of selections; shortlists cleared by earlier batches take no more."""
+
+def table(spark: SparkSession, store: str, name: str) -> DataFrame:
+    """Current rows of a table of the store."""
+    return VS.read(spark, f"{store}/{name}").drop("bucket")
+
+
+def land_selections(selections: DataFrame, batch: int, store: str) -> None:
+    """Promote one batch of selections against the current tables and save all that follows from it.
+
+    Saved under the batch's number: accepted leads, CRM records, memory entries, options no longer
+    open, runs completed, selections refused, and, last, the shortlists cleared.  A shortlist takes
+    the first sound selection only.  A shortlist that the same batch has cleared already counts as
+    pending, so a batch that is repeated, wherever it broke off, saves the same rows again.
+    """
     spark = selections.sparkSession
-    log = f"{out}/cleared"
-    if batch > 0:
-        earlier = spark.read.schema(CLEARED).parquet(log).filter(F.col("batch") < batch)
-        shortlists = shortlists.join(earlier.select("shortlist_id").distinct(), "shortlist_id", "left_anti")
-    result = promote(handover(selections, "selections"), options, shortlists, runs)
-    leads = handover(result["accepted_leads"], "leads")
-    _write_batch(leads, f"{out}/accepted_leads", batch)
-    _write_batch(result["memory_deltas"], f"{out}/memory_deltas", batch)
-    _write_batch(result["refused"], f"{out}/refused", batch)
-    _write_batch(leads.select("shortlist_id"), log, batch)
-
-
-def start_selection_intake(
-    spark: SparkSession,
-    source: str,
-    options: DataFrame,
-    shortlists: DataFrame,
-    runs: DataFrame,
-    out: str,
-    checkpoint: str,
-) -> StreamingQuery:
+    number = F.lit(batch).cast("bigint")
+    asked = handover(selections, "selections")
+    shortlists, options, runs = (table(spark, store, n) for n in ("shortlists", "options", "runs"))
+    mine = F.col("batch") == number
+    status = F.when(mine, "pending").otherwise(F.col("status"))
+    now = handover(shortlists.withColumn("status", status), "shortlists")
+    out = R.promote(asked, handover(options.drop("open"), "options"), now, runs)
+    leads = handover(out["accepted_leads"], "leads")
+    taken = leads.select("shortlist_id", "option_number")
+
+    def save(df: DataFrame, name: str, keep: list[str] | None = None) -> None:
+        VS.save(df, f"{store}/{name}", KEYS[name], keep)
+
+    save(leads.withColumn("batch", number), "accepted_leads")
+    save(R.crm_records(leads).withColumn("batch", number), "crm_records")
+    entries = out["memory_deltas"].withColumn("first_seen", number)
+    save(entries.groupBy("scope", "kind", "value").agg(F.min("value_norm").alias("value_norm"), F.min("first_seen").alias("first_seen")), "memory", ["first_seen"])
+    save(out["refused"].withColumn("batch", number), "refused")
+    save(options.join(taken, ["shortlist_id", "option_number"], "left_semi").withColumn("open", F.lit(False)), "options")
+    done = leads.select("run_id").distinct()
+    save(runs.join(done, "run_id", "left_semi").withColumn("status", F.lit("completed")), "runs")
+    cleared = TB.settled(now, taken, F.coalesce(F.col("updated_at"), F.col("created_at"))).withColumn("batch", number)
+    save(cleared, "shortlists", ["created_at"])
+
+
+def start_selection_intake(spark: SparkSession, source: str, store: str, checkpoint: str) -> StreamingQuery:
     """Read JSON files of ``{shortlist_id, option_number}`` as they arrive."""
     chosen = spark.readStream.schema(S.SELECTIONS).json(source)
     return (
-        chosen.writeStream.foreachBatch(lambda df, b: land_selections(df, b, options, shortlists, runs, out))
+        chosen.writeStream.foreachBatch(lambda df, b: land_selections(df, b, store))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

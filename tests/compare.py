@@ -38,6 +38,8 @@ def differences(spark, con, fn, sql: str, sf_dir: str) -> tuple[int, list]:
     right_cols, right = rows_of([d[0] for d in cur.description], cur.fetchall())
     if left_cols != right_cols:
         return len(left), [("columns", left_cols, right_cols)]
+    if not left:
+        return 0, [("empty", "a comparison of no rows shows nothing")]
     if left == right:
         return len(left), []
     l, r = set(map(repr, left)), set(map(repr, right))

@@ -13,7 +13,8 @@ from __spark_entry__ import entry, oracle_sql, queries
 SELECTED = [
     "html_text", "page_hosts", "usable_values", "brief_quarantine", "repaired_requests", "query_expansion", "unused_queries",
     "search_response_json", "unvisited_evidence", "candidates", "best_evidence", "grounded_dossiers", "follow_up",
-    "qualify_reasons", "drafts", "miss_streak", "promote",
+    "qualify_reasons", "drafts", "miss_streak", "promote", "run_lookup", "upsert_runs", "shortlist_records", "run_responses",
+    "landed_briefs", "memory_loaded", "campaign_iterations",
 ]
 
 

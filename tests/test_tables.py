@@ -15,6 +15,7 @@ from leadflow.plans import fixtures as X
 from leadflow.plans import queries as QQ
 from leadflow.sources import evidence as EV
 from leadflow.sources import tables as TB
+from leadflow.sources import versions as VS
 from leadflow.streaming import intake
 
 
@@ -106,37 +107,136 @@ def test_brief_stream(spark, tmp_path):
     paths = [str(tmp_path / n) for n in ("requests", "quarantine", "checkpoint")]
     (source / "1.txt").write_text(
         '{"user_text": "find 2 leads in Spain", "request_id": "r1"}\n{"unexpected": 1}\n{"user_text": "find 25 leads"}\n'
+        '{"user_text": "find 2 leads in Portugal", "request_id": "r1"}\n{"unexpected": 1}\n'
     )
     intake.start_brief_intake(spark, str(source), *paths).awaitTermination(120)
+    first = {r.user_text: r for r in intake.read_requests(spark, paths[0]).collect()}
+    assert set(first) == {"find 2 leads in Spain"}  # the greatest payload of a key
     (source / "2.txt").write_text('{"user_text": "find 4 leads in France", "request_id": "r1"}\n{"user_text": "find 1 lead"}\n')
     intake.start_brief_intake(spark, str(source), *paths).awaitTermination(120)
     got = {r.user_text: r for r in intake.read_requests(spark, paths[0]).collect()}
     assert set(got) == {"find 4 leads in France", "find 1 lead"}
-    assert got["find 4 leads in France"].constraints.preferred_country == "fr"
-    refused = {r.error for r in spark.read.parquet(paths[1]).collect()}
-    assert refused == {"unknown field: unexpected", "target_count out of range"}
+    updated = got["find 4 leads in France"]
+    assert updated.constraints.preferred_country == "fr" and (updated.first_batch, updated.batch) == (0, 1)
+    refused = [r.error for r in VS.read(spark, paths[1]).collect()]
+    assert sorted(refused) == ["target_count out of range", "unknown field: unexpected"]
+    # the last batch once more, dealt over files in another way
+    before = sorted(map(str, intake.read_requests(spark, paths[0]).collect()))
+    again = spark.createDataFrame([(x,) for x in (source / "2.txt").read_text().splitlines()[::-1]], "payload string").repartition(2)
+    intake.land_briefs(again, 1, *paths[:2])
+    assert sorted(map(str, intake.read_requests(spark, paths[0]).collect())) == before
 
 
-def test_selection_stream(spark, tmp_path, small):
-    source, out = tmp_path / "in", str(tmp_path / "out")
+def state(spark, store):
+    return {n: sorted(map(str, intake.table(spark, store, n).collect())) for n in intake.KEYS}
+
+
+def test_selection_stream(spark, tmp_path, small, monkeypatch):
+    source, store = tmp_path / "in", str(tmp_path / "store")
     source.mkdir()
     decided = QQ.decided_rows(spark, small)
     from leadflow.operators import route as R
 
     options = handover(R.shortlist_options(decided), "options")
     runs = decided.select("run_id", "scope", F.lit("no_result").alias("status")).distinct()
-    shortlists = options.select("shortlist_id", "run_id", F.lit("pending").alias("status")).distinct()
-    one, two = [r.shortlist_id for r in shortlists.orderBy("shortlist_id").limit(2).collect()]
+    intake.create_store(store, options, TB.shortlist_records(options, F.lit(5)), runs)
+    one, two = [r.shortlist_id for r in options.select("shortlist_id").distinct().orderBy("shortlist_id").limit(2).collect()]
 
     def feed(name, *chosen):
         (source / name).write_text("".join(json.dumps({"shortlist_id": s, "option_number": n}) + "\n" for s, n in chosen))
-        intake.start_selection_intake(spark, str(source), options, shortlists, runs, out, str(tmp_path / "cp")).awaitTermination(200)
+        intake.start_selection_intake(spark, str(source), store, str(tmp_path / "cp")).awaitTermination(200)
 
     feed("1.json", (one, 1), (two, 9))
     feed("2.json", (one, 1), (two, 1))  # the first shortlist is cleared by now
-    leads = spark.read.parquet(f"{out}/accepted_leads").collect()
+    leads = intake.table(spark, store, "accepted_leads").collect()
     assert sorted((r.shortlist_id, r.batch) for r in leads) == sorted([(one, 0), (two, 1)])
-    assert spark.read.parquet(f"{out}/refused").count() == 2
+    assert intake.table(spark, store, "refused").count() == 2
+    records = {r.shortlist_id: r for r in intake.table(spark, store, "shortlists").collect()}
+    assert [(records[s].status, records[s].selected_option, records[s].created_at) for s in (one, two)] == [("cleared", 1, 5)] * 2
+    assert intake.table(spark, store, "runs").filter("status = 'completed'").count() == 2
+    assert intake.table(spark, store, "options").filter("NOT open").count() == 2
+    assert intake.table(spark, store, "crm_records").count() == 2
+    # the last batch breaks off before its last table and is repeated, then repeated once more
+    done = state(spark, store)
+    last = spark.createDataFrame([(one, 1), (two, 1)], S.SELECTIONS)
+    intake.land_selections(last, 1, store)
+    assert state(spark, store) == done
+    three = options.filter(~F.col("shortlist_id").isin(one, two)).orderBy("shortlist_id").first().shortlist_id
+    new, save = spark.createDataFrame([(three, 1)], S.SELECTIONS), VS.save
+
+    def breaks(df, root, *rest):
+        if root.endswith("/shortlists"):
+            raise OSError("lost")
+        save(df, root, *rest)
+
+    monkeypatch.setattr(VS, "save", breaks)
+    with pytest.raises(OSError, match="lost"):
+        intake.land_selections(new, 2, store)
+    monkeypatch.setattr(VS, "save", save)
+    intake.land_selections(new, 2, store)
+    after = state(spark, store)
+    assert len(after["accepted_leads"]) == 3 and len(after["refused"]) == 2
+    intake.land_selections(new, 2, store)
+    assert state(spark, store) == after
+
+
+def test_table_versions(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "runs")
+    row = "run_id string, status string, created_at int, tags array<string>"
+    assert VS.pointer(spark, root) is None
+    with pytest.raises(FileNotFoundError):
+        VS.read(spark, root)
+    VS.save(spark.createDataFrame([(f"r{k}", "running", k, ["a"]) for k in range(200)], row), root, ["run_id"], ["created_at"], buckets=8)
+    one = spark.createDataFrame([("r7", "completed", 99, None), ("r7", "aborted", 98, None), ("new", "running", 1, [])], row)
+    VS.save(one, root, ["run_id"], ["created_at"])
+    got = {r.run_id: (r.status, r.created_at) for r in VS.read(spark, root).collect()}
+    assert len(got) == 201 and got["r7"] == ("completed", 7) and got["new"] == ("running", 1) and got["r8"] == ("running", 8)
+    # only the buckets of the saved keys were written again
+    now = VS.pointer(spark, root)
+    written = {r.version for r in spark.read.parquet(f"{root}/manifests/{now.version}").collect()}
+    own = spark.read.parquet(f"{root}/manifests/{now.version}").filter(F.col("version") == now.version).count()
+    assert len(written) == 2 and own <= 2
+    # a key's look-up scans its bucket
+    found = VS.lookup(spark, root, "run_id", F.lit("r7"))
+    assert [r.status for r in found.collect()] == ["completed"] and VS.lookup(spark, root, "run_id", F.lit("none")).count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+    # a writer that is lost before its pointer, or before its manifest, leaves the old version
+    for step in ("_point", "_finish"):
+        real = getattr(VS, step)
+
+        def lost(*_):
+            raise OSError("lost")
+
+        monkeypatch.setattr(VS, step, lost)
+        with pytest.raises(OSError, match="lost"):
+            VS.save(spark.createDataFrame([("r9", "lost", 0, None)], row), root, ["run_id"])
+        monkeypatch.setattr(VS, step, real)
+        assert {r.run_id: (r.status, r.created_at) for r in VS.read(spark, root).collect()} == got
+    VS.save(spark.createDataFrame([("r9", "saved", 0, None)], row), root, ["run_id"], ["created_at"])
+    assert VS.lookup(spark, root, "run_id", F.lit("r9")).first().status == "saved" and VS.read(spark, root).count() == 201
+    VS.create(spark.createDataFrame([], row), root, ["run_id"])
+    assert VS.read(spark, root).count() == 0
+
+
+def test_memory_is_loaded_or_initialised(spark):
+    memory = spark.createDataFrame([("a", V.VISITED_URLS, "u", "u", 3), ("a", V.LEAD_NAMES, "Ana", "Ana", 5)], S.MEMORY)
+    counters = spark.createDataFrame([("a", 4)], S.COUNTERS)
+    scopes = spark.createDataFrame([("a",), ("b",), ("b",)], "scope string")
+    got = {r.scope: r for r in M.load_memory(memory, counters, scopes).collect()}
+    assert set(got) == {"a", "b"} and got["a"][V.MISS_STREAK] == 4 and got["b"][V.MISS_STREAK] == 0
+    assert (got["a"][f"n_{V.VISITED_URLS}"], got["a"].oldest, got["a"].newest) == (1, 3, 5)
+    assert got["b"][f"n_{V.VISITED_URLS}"] == 0 and got["b"].oldest is None
+
+
+def test_archive_is_read_back(spark, tmp_path):
+    docs = spark.createDataFrame([("a", [1, 2], None), ("b", [], "x")], "run_id string, n array<int>, note string")
+    stamps = [F.lit(f"2030-01-0{d} 00:00:00").cast("timestamp_ntz") for d in (1, 2)]
+    for stamp in stamps:
+        TB.archive(docs, "Some kind", str(tmp_path / "a"), stamp)
+    TB.archive(docs, "other", str(tmp_path / "a"), stamps[0])
+    back = TB.read_archive(spark, str(tmp_path / "a"), "Some kind", docs.schema, "20300102").select("name", "document.*").collect()
+    assert sorted(map(tuple, back), key=str) == [("20300102T000000Z_some-kind_a.json", "a", [1, 2], None), ("20300102T000000Z_some-kind_b.json", "b", [], "x")]
 
 
 def test_a_cluster_without_a_shared_folder_is_refused():
