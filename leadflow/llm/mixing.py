@@ -44,6 +44,8 @@ class Domains:
         One projection per step, so that each step runs once per row: what a lambda function
         mentions is worked out anew for every element.
         """
+        if not self.names:
+            return rows.drop("words").withColumn("posterior", F.array().cast("array<double>"))
         names = F.from_json(F.lit(json.dumps(self.place)), "array<string>")
         lifts = [F.from_json(F.lit(json.dumps(x)), "array<double>") for x in self.lift]
         place = lambda w: F.pmod(F.xxhash64(w), F.lit(PLACES)).cast("int")
@@ -63,12 +65,13 @@ class Domains:
 def learn(docs: DataFrame, labelled: DataFrame) -> Domains:
     """A classifier from the ``labelled(doc_id, domain)`` rows of ``docs``, on about ``SAMPLE`` of them chosen by a hash of the id.
 
-    Keeps the ``WORDS`` words that tell domains apart most.  Null ids and domains are left out.
+    Keeps the ``WORDS`` words that tell domains apart most.  Null ids and domains are left out.  Without
+    any labelled row there are no domains: posteriors are empty.
     """
     known = labelled.where("doc_id is not null and domain is not null").select("doc_id", F.col("domain").cast("string").alias("domain"))
     names = sorted(r["domain"] for r in known.select("domain").distinct().collect())  # one row a domain
     if not names:
-        raise ValueError("no labelled document to learn domains from")
+        return Domains([], [], [])
     share = min(1.0, SAMPLE / known.count())
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6 < share)
     # bounded by SAMPLE, whatever the input
@@ -106,8 +109,10 @@ def fit_rates(members: DataFrame, names: list[str], weights: dict[str, float], t
     misses, so a round is one aggregation to as many sums as there are domains, and a rate follows
     from a posterior and the misses of all rounds.  Targets are ``weights`` times ``total`` tokens; by
     default the most tokens that no domain need be repeated for.  Ends when every target is met
-    within ``NEAR`` of it, or comes no nearer under ``max_rate``.
+    within ``NEAR`` of it, or comes no nearer under ``max_rate``.  Without domains no step is made: rate 1.
     """
+    if not names:
+        return []
 
     def sums(rate: Column) -> list[float]:
         parts = [F.sum(F.col("tokens") * rate * F.col("posterior")[k]).alias(f"s{k}") for k in range(len(names))]
@@ -149,15 +154,17 @@ def mix_report(docs: DataFrame, labelled: DataFrame, weights: dict[str, float],
     """(doc_id, tokens, posterior, rate, copies) for every row of ``docs``.
 
     copies is the rate, rounded up with the probability of its fraction, by a hash of id and text.
-    Null and empty texts have no tokens and the prior as posterior; repeated rows get one rate each,
-    all the same.
+    The posterior is a column ``p_<domain>`` for each domain of ``weights``, 0 for one that no label
+    names.  Null and empty texts have no tokens and the prior as posterior; repeated rows get one rate
+    each, all the same.  Without labelled rows all posteriors are 0 and all rates 1; no rows, no rows.
+    Other columns of ``docs`` are ignored.
     """
     domains = learn(docs, labelled)
     members = handover(membership(docs.select("doc_id", "text"), domains), "members")
     members = rated(members, fit_rates(members, domains.names, weights, total, max_rate), max_rate)
-    named = F.map_from_arrays(F.array(*map(F.lit, domains.names)), "posterior")
+    place = {n: k for k, n in enumerate(domains.names)}
     chance = F.pmod(F.xxhash64("_doc.doc_id", "_doc.text"), F.lit(1_000_000)) / 1e6
-    p = [named[n].alias(f"p_{n}") for n in domains.names]
+    p = [(F.col("posterior")[place[n]] if n in place else F.lit(0.0)).alias(f"p_{n}") for n in weights]
     return members.select("_doc.doc_id", "tokens", *p, "rate", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).alias("copies"))
 
 
@@ -177,9 +184,11 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]) -> Data
     """``docs`` thinned to the target weights; all columns as they were, no row more than once.
 
     A row is of the domain that it most likely belongs to; see ``whole_rates`` for how many rows of
-    a domain stay, chosen by a hash of id and text.
+    a domain stay, chosen by a hash of id and text.  Without labelled rows all rows stay.
     """
     domains = learn(docs, labelled)
+    if not domains.names:
+        return docs
     members = membership(docs, domains)
     likeliest = F.array_position("posterior", F.array_max("posterior")).cast("int")
     members = handover(members.withColumn("domain", F.element_at(F.array(*map(F.lit, domains.names)), likeliest)).drop("posterior"), "members")

@@ -53,7 +53,8 @@ def luhn(digits: str) -> bool:
 def _holds(kind: str, span: str) -> bool:
     digits = re.sub(r"[^0-9]", "", span)
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in span.split("."))
+        parts = [p.lstrip("0") for p in span.split(".")]  # any number of zeros may lead
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in parts)
     if kind == "card":
         return 16 <= len(digits) <= 19 and luhn(digits)
     return 8 <= len(digits) <= 15 if kind == "phone" else True

@@ -201,7 +201,7 @@ def test_tokens(docs, empty):
     assert tokens.token_files(empty, path).count() == 0
 
 
-def test_tokens_equal_the_library():
+def test_tokens_equal_the_library(monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
     own, library = tokens.Tokens(path), Tokenizer.from_file(path)
     draw = random.Random(4)
@@ -211,6 +211,11 @@ def test_tokens_equal_the_library():
 
     for text, ids in zip(texts, own.batch(pa.array(texts)), strict=True):
         assert np.frombuffer(ids, own.width).tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert 0 < own.held and max(map(len, own.ids)) <= tokens.SHORT
+    monkeypatch.setattr(tokens, "REMEMBER", 2000)  # forgets over and over
+    for text, ids in zip(texts, own.batch(pa.array(texts)), strict=True):
+        assert np.frombuffer(ids, own.width).tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert own.held <= 2000
 
 
 def test_language(spark, docs, empty):
@@ -297,6 +302,21 @@ def test_mixing_keeps_the_good(spark):
     assert mixing.mix(data.limit(0), labels, {"good": 1.0}).count() == 0
 
 
+def test_mixing_without_labels(spark):
+    """No labels, unknown marks, or one domain only: rate 1 where nothing is known, the same columns always."""
+    data = spark.createDataFrame([(1, "some text"), (2, None), (None, "x")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, domain string")
+    weights = {"good": 0.9, "low": 0.1}
+    for labels in (none, spark.createDataFrame([(1, None), (None, "good")], none.schema)):
+        report = mixing.mix_report(data, labels, weights)
+        assert report.columns == ["doc_id", "tokens", "p_good", "p_low", "rate", "copies"]
+        assert [(r.p_good, r.p_low, r.rate, r.copies) for r in report.collect()] == [(0.0, 0.0, 1.0, 1)] * 3
+        assert mixing.mix(data, labels, weights).count() == 3
+    one = mixing.mix_report(data, spark.createDataFrame([(1, "good")], none.schema), weights)
+    assert one.columns == ["doc_id", "tokens", "p_good", "p_low", "rate", "copies"] and one.count() == 3
+    assert mixing.mix_report(data.limit(0), none, weights).count() == 0
+
+
 def test_language_model(docs, empty):
     held = docs.withColumn("held_out", F.col("doc_id") % 5 == 0)
     got = pitman_yor.lm_scores(held).collect()
@@ -447,6 +467,39 @@ def test_personal_data(spark, empty):
     assert pii.pii_report(empty).count() == 0
 
 
+#: Kinds of personal data with their pattern and what a match must hold, as the contract states them.
+PLAIN = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(len(p.lstrip("0")) < 4 and int(p[-3:]) <= 255 for p in m.split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= sum(c.isdigit() for c in m) <= 19 and check_digit(re.sub("[^0-9]", "", m))),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= sum(c.isdigit() for c in m) <= 15),
+}
+
+
+def check_digit(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        n = int(c) * (1 + k % 2)
+        total += n - 9 if n > 9 else n
+    return total % 10 == 0
+
+
+def test_base_spans_equal_plain_patterns(spark):
+    draw = random.Random(8)
+    bits = ["a.b@c-d.org", "@", "x@y", ".com", "1.2.3.4", "255", "256", ".", "00", "4111 1111 1111 1111", "4", "1", "-", " ", "+1 ", "(244)", "555", "é", "中", "ip ", "tel ", "\n"]
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randrange(0, 40))) for _ in range(1500)]
+    texts += ["0" * 5000 + "1.2.3.4", "1.2.3." + "0" * 5000 + "4", "9" * 6000 + ".1.1.1", "4" * 7000, "+1" + "2" * 9000, "a" * 5000 + "@b" + ".c" * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for r in pii.pii_report(docs).collect():
+        spans, counts = [], []
+        for kind, (pattern, holds) in PLAIN.items():
+            own = [f"{kind}:{m.start()}:{m.end()}" for m in re.finditer(pattern, texts[r.doc_id]) if holds(m.group())]
+            spans, counts = spans + own, [*counts, len(own)]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == counts, texts[r.doc_id][:80]
+        assert r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
+        assert set(spans) <= set(r.spans.split(","))
+
+
 def test_reliabilities_find_the_bad_labeler():
     draw = np.random.default_rng(1)
     truth = draw.integers(0, 5, 2000)
