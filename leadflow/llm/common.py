@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -80,6 +82,14 @@ def by_size(batch: pa.RecordBatch, column: str, limit: int):
         at = to
 
 
+def release() -> None:
+    """Gives memory that a finished task no longer uses back to the system, as the worker process goes on."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links among values as a star forest: each linked value but the smallest of its group, with that smallest."""
     nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from leadflow.llm.common import by_size
+from leadflow.llm.common import by_size, release
 from leadflow.llm.rans import Table, scaled
 from leadflow.operators.shared import handover, new_folder
 
@@ -29,8 +29,13 @@ from leadflow.operators.shared import handover, new_folder
 BLOCK = 1 << 18
 #: Bytes of text whose pieces are numbered together.
 SLICE = 4 << 20
-#: Atoms of text whose ids a worker remembers; it forgets all when there are more.
-REMEMBER = 500_000
+#: Bytes that a worker's memory of ids may take (keys, values and what Python adds to each); it forgets
+#: all when there is more, and at the end of each task.
+REMEMBER = 48 << 20
+#: Characters of the longest piece or atom of text whose ids are remembered.
+SHORT = 64
+#: What a remembered entry takes besides its characters and ids.
+_ENTRY = 220
 
 
 def _worker(name: str, make):
@@ -68,7 +73,7 @@ class Tokens:
     """
 
     def __init__(self, path: str):
-        self.library, self.ids = Tokenizer.from_file(path), {}
+        self.library, self.ids, self.held = Tokenizer.from_file(path), {}, 0
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cut = re.compile(r" (?=\S)").split
         # ids that stand for text with a space in front: in joined atoms, the first id of each
@@ -79,35 +84,50 @@ class Tokens:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.width)
 
-    def learn(self, atoms: list[str]) -> None:
-        """Ids of the atoms not yet known, by one call for many: atoms are joined and told apart by their first ids."""
+    def forget(self) -> None:
+        self.ids, self.held = {}, 0
+
+    def learn(self, atoms: list[str]) -> dict[str, bytes]:
+        """Ids of the atoms that are not remembered, by one call for many: atoms are joined and told apart by their first ids."""
         new = [a for a in dict.fromkeys(atoms) if a not in self.ids]
-        if len(self.ids) + len(new) > REMEMBER:
-            self.ids.clear()
-            new = list(dict.fromkeys(atoms))
-        plain = []
+        plain, found = [], {}
         for a in new:
             if a == " " + a.strip() and len(a.split()) == 1:
                 plain.append(a)
             else:
-                self.ids[a] = self.whole(a).tobytes()
+                found[a] = self.whole(a).tobytes()
         texts = ["".join(plain[at : at + 500]) for at in range(0, len(plain), 500)]
         for at, e in zip(range(0, len(plain), 500), self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.width)
             size, raw_ids = ids.itemsize, ids.tobytes()
             bounds = [*(np.flatnonzero(self.spaced[ids]) * size).tolist(), len(raw_ids)]
-            self.ids.update(zip(plain[at : at + 500], [raw_ids[x:y] for x, y in zip(bounds, bounds[1:], strict=False)], strict=True))
+            found.update(zip(plain[at : at + 500], [raw_ids[x:y] for x, y in zip(bounds, bounds[1:], strict=False)], strict=True))
+        return found
+
+    def remember(self, found: dict[str, bytes]) -> None:
+        short = {a: ids for a, ids in found.items() if len(a) <= SHORT}
+        size = sum(map(len, short)) + sum(map(len, short.values())) + _ENTRY * len(short)
+        if self.held + size > REMEMBER:
+            self.forget()
+        if size <= REMEMBER:
+            self.ids.update(short)
+            self.held += size
 
     def encoded(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces, each as bytes."""
         found = list(map(self.ids.get, pieces))
         missing = [k for k, ids in enumerate(found) if ids is None]
         parts = [_atoms(pieces[k]) for k in missing]
-        self.learn([a for p in parts for a in p])
-        get = self.ids.__getitem__
+        learned = self.learn([a for p in parts for a in p])
+
+        def get(atom: str) -> bytes:
+            ids = learned.get(atom)
+            return self.ids[atom] if ids is None else ids
+
         for k, p in zip(missing, parts, strict=True):
             found[k] = get(p[0]) if len(p) == 1 else b"".join(map(get, p))
-        self.ids.update((pieces[k], found[k]) for k, p in zip(missing, parts, strict=True) if len(p) > 1)
+        learned.update((pieces[k], found[k]) for k, p in zip(missing, parts, strict=True) if len(p) > 1)
+        self.remember(learned)
         return found
 
     def batch(self, texts: pa.Array) -> list[bytes]:
@@ -152,11 +172,15 @@ def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
         tokens = _worker("tokens:" + path, lambda: Tokens(path))
         last = np.array([end], tokens.width).tobytes()
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            for part in by_size(batch, "text", SLICE):
-                # compressed here, as they are stored and shuffled before they are coded
-                ids = [pack(i + last) for i in tokens.batch(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        try:
+            for batch in batches:
+                for part in by_size(batch, "text", SLICE):
+                    # compressed here, as they are stored and shuffled before they are coded
+                    ids = [pack(i + last) for i in tokens.batch(part.column("text"))]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        finally:  # workers go on with other work
+            tokens.forget()
+            release()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInArrow(run, "doc_id long, ids binary")
