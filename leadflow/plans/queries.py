@@ -332,9 +332,10 @@ def evidence_pages(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def unvisited_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Usable evidence on URLs that no returned line item visited."""
-    rows = X.all_evidence(spark, sf).withColumn("scope", F.lit("global"))
+    usable = EV.usable_results(X.all_evidence(spark, sf))
+    rows = handover(usable.select(*X.ORDER, "query", "url", F.lit("global").alias("scope")), "usable")
     visited = X.results(spark, sf).filter(F.col("l_returnflag") == "R").select(F.lit("global").alias("scope"), "url")
-    return EV.unvisited(EV.usable_results(rows), visited).select(*X.ORDER, "query", "url")
+    return EV.unvisited(rows, visited).select(*X.ORDER, "query", "url")
 
 
 @query
