@@ -94,21 +94,40 @@ def _find_anchors(length: int):
 
 
 def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of ``s``, read as a ring, sorted by the ``depth`` or more symbols that start there."""
+    """Positions of ``s``, read as a ring, sorted by the ``depth`` or more symbols that start there.
+
+    Symbols are 0 to 256.  Sorting by the first symbols, then by twice as many each time; only
+    positions that still share their rank with others are sorted again, within their ranks' places.
+    """
     n = len(s)
-    key = s.astype(np.int64)
-    for k in range(1, 4):  # four 9-bit symbols to begin with
-        key = (key << 9) | np.roll(s, -k)
-    width = 4
-    while True:
-        order = _order(key)
-        ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
-        if width >= depth or rank[order[-1]] == n - 1:
-            return order
-        key = rank * n + np.roll(rank, -width)
+    seen = np.zeros(257, np.int64)
+    seen[s] = 1
+    bits = max(1, int(seen.sum() - 1).bit_length())
+    small = (np.cumsum(seen) - 1)[s]
+    width, key = max(1, (61 - max(1, n - 1).bit_length()) // bits), small.copy()
+    for k in range(1, width):
+        key = (key << bits) | np.roll(small, -k)
+    order = _order(key)
+    ranked = key[order]
+    # a rank is the first place of all that share it
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    while width < depth:
+        slots = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if not len(slots):
+            break
+        at = order[slots]
+        after = at + width
+        key = rank[at] * n + rank[np.where(after >= n, after % n, after)]
+        by = _order(key)
+        at, key = at[by], key[by]
+        order[slots] = at
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        new[slots] = fresh
+        rank[at] = np.maximum.accumulate(np.where(fresh, slots, 0))
         width *= 2
+    return order
 
 
 def _order(key: np.ndarray) -> np.ndarray:
@@ -132,20 +151,27 @@ def common_below(s: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     step[_order(before)] = np.arange(n)
     noted = np.zeros(n + 1, bool)
     noted[n] = True
+    # places up to each at which the symbol before is another than one place earlier
+    turns = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
     low, high = np.array([0]), np.array([n])
     for _ in range(length):
-        size = high - low
-        which = np.repeat(np.arange(len(low)), size)
-        at = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + low[which]
-        key = which * 512 + before[at]
-        if len(low) < len(at):
+        # one symbol before all of an interval: it moves as a whole
+        same = turns[low] == turns[high - 1]
+        moved_low, moved_high = step[low[same]], step[high[same] - 1] + 1
+        low, high = low[~same], high[~same]
+        if len(low):
+            size = high - low
+            which = np.repeat(np.arange(len(low)), size)
+            at = np.arange(len(which)) + np.repeat(low - np.cumsum(size) + size, size)
+            key = which * 512 + before[at]
             by = _order(key)
             key, at = key[by], at[by]
-        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        low, high = step[at[new]], step[at[np.concatenate([new[1:], [len(at)]]) - 1]] + 1
-        fresh = ~noted[high]
-        noted[high] = True
-        low, high = low[fresh], high[fresh]
+            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            moved_low = np.concatenate([moved_low, step[at[new]]])
+            moved_high = np.concatenate([moved_high, step[at[np.concatenate([new[1:], [len(at)]]) - 1]] + 1])
+        fresh = ~noted[moved_high]
+        noted[moved_high] = True
+        low, high = moved_low[fresh], moved_high[fresh]
         if not len(low):
             break
     return ~noted[1:n]
@@ -177,12 +203,12 @@ def repeated(units: list[bytes], places: np.ndarray, length: int) -> list[list[t
     twice = np.repeat(least != most, np.diff(np.concatenate([first, [len(group)]])))
     hits = np.sort(order[twice])
     out: list[list[tuple[int, int]]] = [[] for _ in units]
-    for u, x in zip(unit[hits].tolist(), at[hits].tolist(), strict=True):
-        own = out[u]
-        if own and x <= own[-1][1]:
-            own[-1] = (own[-1][0], x + length)
-        else:
-            own.append((x, x + length))
+    if len(hits):
+        u, x = unit[hits], at[hits]
+        start = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (x[1:] > x[:-1] + length)]))
+        end = x[np.concatenate([start[1:], [len(x)]]) - 1] + length
+        for k, low, high in zip(u[start].tolist(), x[start].tolist(), end.tolist(), strict=True):
+            out[k].append((low, high))
     return out
 
 
