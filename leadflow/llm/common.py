@@ -90,6 +90,18 @@ def release() -> None:
         trim(0)
 
 
+def released(run):
+    """``run`` over the batches of a task, after which the worker gives its memory back."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links among values as a star forest: each linked value but the smallest of its group, with that smallest."""
     nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -9,9 +9,10 @@ frequencies follow.
 
 from __future__ import annotations
 
-import re
+import json
 import sys
 import types
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from leadflow.llm.common import by_size, release
+from leadflow.llm.common import by_size, released
 from leadflow.llm.rans import Table, scaled
 from leadflow.operators.shared import handover, new_folder
 
@@ -32,7 +33,7 @@ SLICE = 4 << 20
 #: Bytes that a worker's memory of ids may take (keys, values and what Python adds to each); it forgets
 #: all when there is more, and at the end of each task.
 REMEMBER = 48 << 20
-#: Characters of the longest piece or atom of text whose ids are remembered.
+#: Bytes of the longest piece of text whose ids are remembered.
 SHORT = 64
 #: What a remembered entry takes besides its characters and ids.
 _ENTRY = 220
@@ -46,40 +47,84 @@ def _worker(name: str, make):
     return getattr(home, name)
 
 
-def _atoms(piece: str) -> list[str]:
-    """A piece cut further where a byte-level pre-tokenizer always cuts: around a lone line end, before a stop or comma after a letter."""
-    if piece.isascii() and piece[1:].isalnum():
-        return [piece]
-    lines = piece.split("\n")
-    if len(lines) > 1 and any(not x or x[-1].isspace() or (k and x[0].isspace()) for k, x in enumerate(lines)):
-        return [piece]
-    out = []
-    for k, x in enumerate(lines):
-        if k:
-            out.append("\n")
-        if len(x) > 2 and x[-1] in ".," and x[-2].isalpha() and x[-2] < "\u0250":
-            out += [x[:-1], x[-1]]
-        else:
-            out.append(x)
-    return out
+#: Classes of code points that a byte-level pre-tokenizer tells apart; UNSURE: versions of Unicode differ.
+SPACE, BLANK, LETTER, NUMBER, OTHER, UNSURE = range(6)
+#: Code points of white space other than the space (the Unicode property), as ranges with both ends.
+BLANKS = [(9, 13), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
+#: Code points with a class of their own; all above are UNSURE.
+POINTS = 0x20000
+
+
+def _classes() -> np.ndarray:
+    """Class of each code point; sure is what an old version of Unicode classes alike, or what is neither letter nor number now."""
+
+    def of(category: str) -> int:
+        return LETTER if category[0] == "L" else NUMBER if category[0] == "N" else OTHER
+
+    table = np.full(POINTS + 1, UNSURE, np.uint8)
+    for k in range(POINTS):
+        now, old = unicodedata.category(chr(k)), unicodedata.ucd_3_2_0.category(chr(k))
+        if now != "Cn" and (of(now) == of(old) or (old == "Cn" and of(now) == OTHER)):
+            table[k] = of(now)
+    for low, high in BLANKS:
+        table[low : high + 1] = BLANK
+    table[0x20], table[0x180E] = SPACE, UNSURE
+    return table
+
+
+def _starts(points: np.ndarray, kind: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where the pieces of a byte-level pre-tokenizer begin, one mark a code point; ``bounds`` are those of the texts.
+
+    A piece is a run of letters, of numbers or of others, with one space before it if there is one; a
+    contraction at the beginning of such a run; or white space up to the last one before a run.
+    """
+    n = len(points)
+    first = np.zeros(n + 1, bool)
+    first[bounds] = True
+    blank = kind <= BLANK
+    start = np.empty(n, bool)
+    start[0] = True
+    # the last white space before a run begins a piece, as does the first after one
+    ends = np.append(~blank[1:], True) & ~first[1:]
+    same = np.where(blank[1:], blank[:-1] & ~ends[1:], (kind[:-1] == SPACE) | (kind[1:] == kind[:-1]))
+    np.logical_not(same, out=start[1:])
+    start |= first[:n]
+    # a run and its text end before each of these
+    at = np.flatnonzero((points == ord("'")) & start)
+    if len(at):
+        text_end = bounds[np.searchsorted(bounds, at, side="right")]
+        padded = np.append(points, [0, 0])
+        one, two = padded[at + 1], padded[at + 2]
+        single = np.isin(one, [ord(c) for c in "stmd"]) & (at + 1 < text_end)
+        double = (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))) & (at + 2 < text_end)
+        start[at[single | double] + 1] = False
+        after = at + 2 + double
+        after = after[(single | double) & (after < text_end)]
+        start[after] = True
+    return start
 
 
 class Tokens:
-    """Ids of whole texts by the tokenizers library, which sees each distinct atom of text once.
+    """Ids of whole texts by the tokenizers library, which sees each distinct piece of text once.
 
-    A piece starts at a space that a non-space follows, and is cut further into atoms.  A byte-level
-    pre-tokenizer always cuts there, so the ids of a text are those of its atoms, in order.  Texts
-    that hold an added token go to the library whole.
+    The cuts of a byte-level pre-tokenizer follow from classes of code points, so they are found for
+    many texts at once, and the ids of a text are those of its pieces in order.  Texts that hold an
+    added token or a code point of no sure class, and all texts under another pre-tokenizer, go to
+    the library whole.
     """
 
     def __init__(self, path: str):
         self.library, self.ids, self.held = Tokenizer.from_file(path), {}, 0
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.cut = re.compile(r" (?=\S)").split
-        # ids that stand for text with a space in front: in joined atoms, the first id of each
-        self.spaced = np.zeros(self.library.get_vocab_size(), bool)
-        self.spaced[[i for t, i in self.library.get_vocab().items() if t[0] == "\u0120"]] = True
         self.width = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
+        made = json.loads(self.library.to_str())
+        pre = made.get("pre_tokenizer") or {}
+        byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+        line = self.whole("\n")
+        # pieces are told apart by line ends between them
+        self.cuts = bool(byte_level and not made.get("normalizer") and len(line) == 1)
+        self.line = int(line[0]) if len(line) else -1
+        self.kinds = _classes() if self.cuts else None
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.width)
@@ -87,25 +132,26 @@ class Tokens:
     def forget(self) -> None:
         self.ids, self.held = {}, 0
 
-    def learn(self, atoms: list[str]) -> dict[str, bytes]:
-        """Ids of the atoms that are not remembered, by one call for many: atoms are joined and told apart by their first ids."""
-        new = [a for a in dict.fromkeys(atoms) if a not in self.ids]
+    def learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces, by one call for many: they are joined by line ends, which the pre-tokenizer sets apart."""
         plain, found = [], {}
-        for a in new:
-            if a == " " + a.strip() and len(a.split()) == 1:
-                plain.append(a)
+        for p in pieces:
+            if p.decode().isspace():
+                found[p] = self.whole(p.decode()).tobytes()
             else:
-                found[a] = self.whole(a).tobytes()
-        texts = ["".join(plain[at : at + 500]) for at in range(0, len(plain), 500)]
-        for at, e in zip(range(0, len(plain), 500), self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                plain.append(p)
+        groups = [plain[at : at + 500] for at in range(0, len(plain), 500)]
+        texts = [b"\n".join(g).decode() for g in groups]
+        for group, e in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.width)
             size, raw_ids = ids.itemsize, ids.tobytes()
-            bounds = [*(np.flatnonzero(self.spaced[ids]) * size).tolist(), len(raw_ids)]
-            found.update(zip(plain[at : at + 500], [raw_ids[x:y] for x, y in zip(bounds, bounds[1:], strict=False)], strict=True))
+            ends = [*(np.flatnonzero(ids == self.line) * size).tolist(), len(raw_ids)]
+            starts = [0, *[x + size for x in ends[:-1]]]
+            found.update(zip(group, [raw_ids[x:y] for x, y in zip(starts, ends, strict=True)], strict=True))
         return found
 
-    def remember(self, found: dict[str, bytes]) -> None:
-        short = {a: ids for a, ids in found.items() if len(a) <= SHORT}
+    def remember(self, found: dict[bytes, bytes]) -> None:
+        short = {p: ids for p, ids in found.items() if len(p) <= SHORT}
         size = sum(map(len, short)) + sum(map(len, short.values())) + _ENTRY * len(short)
         if self.held + size > REMEMBER:
             self.forget()
@@ -113,55 +159,53 @@ class Tokens:
             self.ids.update(short)
             self.held += size
 
-    def encoded(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces, each as bytes."""
+    def encoded(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces, each as bytes."""
         found = list(map(self.ids.get, pieces))
         missing = [k for k, ids in enumerate(found) if ids is None]
-        parts = [_atoms(pieces[k]) for k in missing]
-        learned = self.learn([a for p in parts for a in p])
-
-        def get(atom: str) -> bytes:
-            ids = learned.get(atom)
-            return self.ids[atom] if ids is None else ids
-
-        for k, p in zip(missing, parts, strict=True):
-            found[k] = get(p[0]) if len(p) == 1 else b"".join(map(get, p))
-        learned.update((pieces[k], found[k]) for k, p in zip(missing, parts, strict=True) if len(p) > 1)
+        learned = self.learn([pieces[k] for k in missing])
+        for k in missing:
+            found[k] = learned[pieces[k]]
         self.remember(learned)
         return found
 
+    def pieces(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(pieces of all texts in order, bounds of each text in them, texts with a code point of no sure class)."""
+        body = b"".join(texts)
+        points = np.frombuffer(body.decode().encode("utf-32-le"), np.uint32)
+        offsets = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000), dtype=np.int64)])
+        bounds = np.searchsorted(offsets, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+        kind = self.kinds[np.minimum(points, POINTS)]
+        unsure = np.zeros(len(texts), bool)
+        unsure[np.searchsorted(bounds, np.flatnonzero(kind == UNSURE), side="right") - 1] = True
+        at = np.flatnonzero(_starts(points, kind, bounds)) if len(points) else np.zeros(0, np.int64)
+        cuts = np.append(offsets[at], len(body))
+        arrays = [None, pa.py_buffer(np.ascontiguousarray(cuts)), pa.py_buffer(body)]
+        return pa.Array.from_buffers(pa.large_binary(), len(at), arrays), np.searchsorted(at, bounds), unsure
+
     def batch(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as bytes."""
+        odd = np.full(len(texts), not self.cuts)
+        for token in self.added:
+            odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         out: list[bytes | None] = [None] * len(texts)
-        plain = list(range(len(texts)))
-        if self.added:
-            odd = np.zeros(len(texts), bool)
-            for token in self.added:
-                odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
-            for k in np.flatnonzero(odd).tolist():
-                out[k] = self.whole(texts[k].as_py()).tobytes()
-            plain = np.flatnonzero(~odd).tolist()
-        lists = pc.split_pattern(texts, " ")
-        flat, bounds = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        numbered = flat.dictionary_encode()
-        codes, names = numbered.indices.to_numpy(zero_copy_only=False), numbered.dictionary.to_pylist()
-        blank = np.array([n[:1].isspace() or not n for n in names], bool)
-        starts = np.zeros(len(codes) + 1, bool)
-        starts[bounds[:-1]] = True
-        loose = np.concatenate([[0], np.cumsum(blank[codes] & ~starts[:-1])])
-        of = [b""] * len(names)
-        some = np.flatnonzero(~blank).tolist()
-        for n, ids in zip(some, self.encoded([" " + names[n] for n in some]), strict=True):
-            of[n] = ids
-        get = of.__getitem__
-        for k in plain:
-            a, b = bounds[k], bounds[k + 1]
-            if loose[b] > loose[a]:  # runs of white space: cut where the rule says, not at every space
-                first, *rest = self.cut(texts[k].as_py())
-                out[k] = self.whole(first).tobytes() + b"".join(self.encoded([" " + r for r in rest]))
-            else:
-                first = names[codes[a]] if b > a else ""
-                out[k] = (self.whole(first).tobytes() if first else b"") + b"".join(map(get, codes[a + 1 : b].tolist()))
+        raw_texts = texts.cast(pa.binary() if texts.type == pa.string() else pa.large_binary())
+        plain = np.flatnonzero(~odd)
+        if len(plain):
+            pieces, bounds, unsure = self.pieces([raw_texts[k].as_py() for k in plain.tolist()])
+            odd[plain[unsure]] = True
+            numbered = pieces.dictionary_encode()
+            codes = numbered.indices.to_numpy(zero_copy_only=False)
+            each = self.encoded(numbered.dictionary.to_pylist())
+            flat = np.frombuffer(b"".join(each), self.width)
+            sizes = np.fromiter(map(len, each), np.int64, len(each)) // np.dtype(self.width).itemsize
+            own = sizes[codes]
+            ends = np.concatenate([[0], np.cumsum(own)])
+            ids = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], own) + np.arange(ends[-1])]
+            for k, a, b in zip(plain.tolist(), ends[bounds[:-1]].tolist(), ends[bounds[1:]].tolist(), strict=True):
+                out[k] = ids[a:b].tobytes()
+        for k in np.flatnonzero(odd).tolist():
+            out[k] = self.whole(texts[k].as_py()).tobytes()
         return out
 
 
@@ -180,10 +224,9 @@ def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
         finally:  # workers go on with other work
             tokens.forget()
-            release()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "doc_id long, ids binary")
+    return texts.mapInArrow(released(run), "doc_id long, ids binary")
 
 
 def _counted(width):
@@ -233,7 +276,8 @@ def _blocks(shared, width):
 def write_tokens(docs: DataFrame, folder: str, path: str, end: int = 2) -> None:
     """Write the ids of ``docs(doc_id, text)`` to ``folder`` in ascending doc_id order (null ids first).
 
-    Texts are tokenised where they are, then only their ids travel: one range shuffle by doc_id.
+    Texts are tokenised where they are, then only their ids travel: one range shuffle by doc_id,
+    which also parts the rows of one id.
     Counts cover all ids; as many rows as the vocabulary has come to the driver.  Repeated rows are
     written as often as they occur, rows of one doc_id next to each other.
     """
@@ -243,16 +287,18 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int = 2) -> None:
     rows = new_folder(spark, "ids")
     tokenised(docs, path, end).write.option("compression", "none").parquet(rows)
     ids = spark.read.schema("doc_id long, ids binary").parquet(rows)
-    counted = ids.select("ids").mapInArrow(_counted(width), "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
+    counted = ids.select("ids").mapInArrow(released(_counted(width)), "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
     counted.write.parquet(f"{folder}/table")
     counts = np.zeros(vocabulary, np.int64)
     for row in spark.read.parquet(f"{folder}/table").collect():
         counts[row["id"]] = row["count"]
     shared = spark.sparkContext.broadcast(scaled(counts))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+    # rows of one doc_id, or without any, may be too many for one task: they are dealt by a number of their own
+    told = ids.withColumn("row", F.monotonically_increasing_id())
+    ordered = told.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row").withColumn("part", F.spark_partition_id())
     schema = "part int, seq int, first long, doc_ids array<long>, lengths array<long>, payload binary"
-    ordered.mapInArrow(_blocks(shared, width), schema).write.option("compression", "none").parquet(f"{folder}/blocks")
+    ordered.mapInArrow(released(_blocks(shared, width)), schema).write.option("compression", "none").parquet(f"{folder}/blocks")
     blocks = spark.read.schema(schema).parquet(f"{folder}/blocks").select("part", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, b: a + b).alias("n"))
     blocks.groupBy("part").agg(F.sum("n").alias("tokens")).write.parquet(f"{folder}/parts")
 
@@ -288,7 +334,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     parts = handover(parts.select("part", before.alias("before")), "parts")
     blocks = spark.read.schema(schema).parquet(f"{folder}/blocks").join(F.broadcast(parts), "part")
-    return blocks.select("doc_ids", "lengths", "first", "before", "payload").mapInArrow(run, "doc_id long, start long, ids binary")
+    return blocks.select("doc_ids", "lengths", "first", "before", "payload").mapInArrow(released(run), "doc_id long, start long, ids binary")
 
 
 def token_report(spark: SparkSession, folder: str) -> DataFrame:
