@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import raw, word_codes
+from leadflow.llm.common import raw, released, word_codes
 from leadflow.operators.shared import handover
 
 #: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space.
@@ -147,7 +147,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", size:
         own = grams.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == part).toLocalIterator()
         # plain values only: executors need not have this class
         shared = spark.sparkContext.broadcast(vars(Grams([(tuple(bytes(g.gram).split(b" ")), g["items"]) for g in own])))
-        scanned.append(texts.mapInArrow(_scan(shared), schema))
+        scanned.append(texts.mapInArrow(released(_scan(shared)), schema))
     if parts > 1:
         each = scanned[0]
         for more in scanned[1:]:

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import LOWER, components, forest, raw
+from leadflow.llm.common import LOWER, components, forest, raw, released
 from leadflow.operators.shared import handover, spread_lookup
 
 #: Shingles whose bits are counted at once.
@@ -121,7 +121,7 @@ def near_links(distinct: DataFrame, radius: int, words: int = 1) -> DataFrame:
     placed = laid.join(F.broadcast(sizes), "counts").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
     tiles = placed.groupBy("counts", "tile").agg(F.collect_list(F.struct("fp", "node")).alias("rows"))
     tiles = tiles.select("counts", "tile", F.col("rows.fp").alias("fps"), F.col("rows.node").alias("ids"))
-    tiles = handover(tiles.mapInArrow(_packed, "counts int, tile int, fps binary, ids binary"), "tiles")
+    tiles = handover(tiles.mapInArrow(released(_packed), "counts int, tile int, fps binary, ids binary"), "tiles")
     left = sizes.select(F.col("counts").alias("x"), F.col("tiles").alias("n"), F.explode(F.array(*map(F.lit, shifts))).alias("shift"))
     pairs = left.withColumn("y", F.col("x") + F.col("shift")).join(F.broadcast(sizes.select(F.col("counts").alias("y"), F.col("tiles").alias("m"))), "y")
     pairs = pairs.select("x", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), "y", "m").select(
@@ -130,7 +130,7 @@ def near_links(distinct: DataFrame, radius: int, words: int = 1) -> DataFrame:
     pairs = pairs.where((F.col("x") != F.col("y")) | (F.col("i") <= F.col("j")))
     first = pairs.join(tiles.select(F.col("counts").alias("x"), F.col("tile").alias("i"), F.col("fps").alias("p"), F.col("ids").alias("p_id")), ["x", "i"])
     second = first.join(tiles.select(F.col("counts").alias("y"), F.col("tile").alias("j"), F.col("fps").alias("q"), F.col("ids").alias("q_id")), ["y", "j"])
-    return second.select("p", "q", "p_id", "q_id").mapInArrow(_compare(words, radius), "a long, b long")
+    return second.select("p", "q", "p_id", "q_id").mapInArrow(released(_compare(words, radius)), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
@@ -229,7 +229,7 @@ def _similar_links(members: DataFrame, words: int, radius: int) -> DataFrame:
     pairs = pairs.select("root", "i", F.explode(F.sequence("i", F.col("tiles") - 1)).alias("j"))
     first = pairs.join(tiles.select("root", F.col("tile").alias("i"), F.col("rows").alias("p")), ["root", "i"])
     both = first.join(tiles.select("root", F.col("tile").alias("j"), F.col("rows").alias("q")), ["root", "j"])
-    return both.select("p", "q").mapInArrow(_verified(words, radius), "a long, b long")
+    return both.select("p", "q").mapInArrow(released(_verified(words, radius)), "a long, b long")
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, words: int = 2, radius: int = 34) -> DataFrame:
@@ -256,7 +256,7 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, words: int = 2, radius: in
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("root", "node", "fp")] + [pa.array(found, pa.binary())], ["root", "node", "fp", "grams"])
 
     keyed = docs.select(F.struct(*names).alias("_doc"), raw())
-    stored = keyed.mapInArrow(prints, f"_doc {keyed.schema['_doc'].dataType.simpleString()}, fp array<long>, digest long")
+    stored = keyed.mapInArrow(released(prints), f"_doc {keyed.schema['_doc'].dataType.simpleString()}, fp array<long>, digest long")
     stored = handover(stored.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     rows = stored.select("row", F.col("_doc.doc_id").alias("doc_id"), "fp", "digest")
     classes = rows.groupBy("fp", "digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("best"))
@@ -264,7 +264,7 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, words: int = 2, radius: in
     near = components(near_links(classes.select("node", "fp"), radius, words)).withColumnRenamed("component", "root")
     near = handover(near.join(classes, "node").select("root", "node", "fp", F.col("best.row").alias("row")), "candidates")
     members = near.join(stored.select("row", raw("_doc.text")), "row").select("root", "node", "fp", "text")
-    members = handover(members.mapInArrow(sets, "root long, node long, fp array<long>, grams binary"), "sets")
+    members = handover(members.mapInArrow(released(sets), "root long, node long, fp array<long>, grams binary"), "sets")
     group = components(_similar_links(members, words, radius)).withColumnRenamed("component", "root")
     rooted = classes.join(group, "node", "left").select("best", F.coalesce("root", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
