@@ -8,11 +8,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import LOWER, translated
+from leadflow.llm.common import LOWER, released, translated
 
 #: Units of each direction; bytes the network reads from a zero state; windows run side by side.
 HIDDEN, WINDOW, LANES = 8, 128, 1024
-#: Documents a language gives to the training sample at most (about), and windows of each document.
+#: Documents a language gives to the training sample (about), and windows of each document.
 SAMPLE, PIECES = 400, 4
 STEPS, BATCH, RATE = 500, 192, 0.02
 
@@ -149,19 +149,23 @@ def _matrix(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def train(labelled: DataFrame) -> Network | None:
     """A network from ``labelled(text, lang)``: every non-null lang value of texts with a letter is learned.
 
-    The sample is bounded: about ``SAMPLE`` documents a language, chosen by a hash of the text, and
-    ``PIECES`` windows of each, from its whole length.  None if there is nothing to learn from.
+    The sample is bounded: about ``SAMPLE`` documents a language, chosen by a hash of all columns, so that
+    copies of a text with other ids are chosen one by one, and ``PIECES`` windows of each, drawn over its
+    whole length.  Null and empty texts, and texts without a letter, teach
+    nothing; repeated rows count once.  None if there is nothing to learn from.
     """
-    known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", F.col("lang").cast("string").alias("lang"))
+    labelled = labelled.withColumn("_draw", F.xxhash64(*labelled.columns))
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "_draw", F.col("lang").cast("string").alias("lang"))
     sizes = known.groupBy("lang").count().collect()  # one row a language
     if not sizes:
         return None
     languages = sorted(r["lang"] for r in sizes)
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, SAMPLE / r["count"])))])
-    chance = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1e6
-    size = F.length("text")
-    pieces = F.array(*[F.substring("text", (size * k / PIECES).cast("int") + 1, F.lit(WINDOW)) for k in range(PIECES)])
-    rows = known.where(chance < share[F.col("lang")]).select("lang", pieces.alias("pieces")).collect()
+    chance = F.pmod("_draw", F.lit(1_000_000)) / 1e6
+    # every place at which a whole window fits
+    room = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
+    pieces = F.array(*[F.substring("text", F.pmod(F.xxhash64("_draw", F.lit(k)), room).cast("int") + 1, F.lit(WINDOW)) for k in range(PIECES)])
+    rows = known.where(chance < share[F.col("lang")]).select("_draw", "lang", pieces.alias("pieces")).dropDuplicates(["_draw"]).collect()
     windows, labels = [], []
     for lang, found in sorted((r["lang"], p) for r in rows for p in set(r["pieces"])):
         if found.strip():
@@ -211,7 +215,7 @@ def predict(docs: DataFrame, network: Network | None, key: str = "doc_id", text:
         return docs.select(key, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(vars(network))  # plain values only
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    found = rows.mapInArrow(_predict(shared), f"key {rows.schema['key'].dataType.simpleString()}, lang_pred string, score double")
+    found = rows.mapInArrow(released(_predict(shared)), f"key {rows.schema['key'].dataType.simpleString()}, lang_pred string, score double")
     return found.withColumnRenamed("key", key)
 
 

@@ -158,15 +158,17 @@ def _described(batches):
 def train(labelled: DataFrame) -> Additive | None:
     """A model from ``labelled(text, y)``, y 0 or 1 (null rows are left out); None without any label.
 
-    Fitted on about ``SAMPLE`` rows at most, chosen by a hash of the text, so the driver holds a
-    bounded table of ``FEATURES`` whatever the input.
+    Fitted on about ``SAMPLE`` rows at most, chosen by a hash of all columns, so that copies of a text with
+    other ids are chosen one by one and repeated rows count once: the driver holds a bounded table of
+    ``FEATURES`` whatever the input.  Null and empty texts teach like others.
     """
-    known = labelled.where(F.col("y").isin(0, 1)).select(F.col("y").cast("int").alias("y"), raw())
+    drawn = labelled.withColumn("_draw", F.xxhash64(*labelled.columns))
+    known = drawn.where(F.col("y").isin(0, 1)).select(F.col("y").cast("int").alias("y"), raw(), "_draw")
     count = known.count()
     if not count:
         return None
-    chance = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1e6
-    rows = known.where(chance < SAMPLE / count).mapInArrow(_described, "y int, x array<double>").collect()
+    chance = F.pmod("_draw", F.lit(1_000_000)) / 1e6
+    rows = known.where(chance < SAMPLE / count).dropDuplicates(["_draw"]).select("y", "text").mapInArrow(_described, "y int, x array<double>").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["x"], r["y"]))

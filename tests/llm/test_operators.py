@@ -539,3 +539,29 @@ def test_repeated_strings_in_random_units():
         for u, spans in zip(units, substrings.repeated(units, places, n), strict=True):
             gone = {x for k in range(len(u) - n + 1) if seen[u[k : k + n]] > 1 for x in range(k, k + n)}
             assert {x for a, b in spans for x in range(a, b)} == gone
+
+
+def test_token_cuts_of_any_code_points():
+    """Runs of letters, numbers, others and white space of many scripts, contractions at any place."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = tokens.Tokens(path), Tokenizer.from_file(path)
+    draw = random.Random(9)
+    bits = ["'", "'s", "'re", "'ll", "'v", "e", " ", "  ", "\n", "\t ", "　", "\x85", "᠎", "́", "Ⅷ", "²", "٣", "😀", "𝒳", "힣", "͸", "ab", "S", "12", "…", "\x00"]
+    texts = ["".join(draw.choices(bits, k=draw.randrange(12))) for _ in range(4000)]
+    texts += ["".join(map(chr, draw.choices(range(1, 0x3000), k=9))) for _ in range(1000)]
+    import pyarrow as pa
+
+    for text, ids in zip(texts, own.batch(pa.array(texts, pa.string())), strict=True):
+        assert np.frombuffer(ids, own.width).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_samples_take_copies_row_by_row(spark, monkeypatch):
+    """A text held by most rows gives its share of a sample, not all or none of its rows; repeated rows count once."""
+    monkeypatch.setattr(quality, "SAMPLE", 200)
+    sizes = []
+    monkeypatch.setattr(quality.Additive, "fit", lambda self, x, y: sizes.append(len(x)) or self)
+    rows = [(k, "the same text again" if k % 3 else f"text {k} of its own", k % 2) for k in range(2000)]
+    quality.train(spark.createDataFrame(rows, "doc_id long, text string, y int"))
+    assert 100 < sizes[0] < 320
+    quality.train(spark.createDataFrame([(1, "one row", 1)] * 150, "doc_id long, text string, y int"))
+    assert sizes[1] == 1
