@@ -134,12 +134,9 @@ class Tokens:
 
     def learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Ids of pieces, by one call for many: they are joined by line ends, which the pre-tokenizer sets apart."""
-        plain, found = [], {}
-        for p in pieces:
-            if p.decode().isspace():
-                found[p] = self.whole(p.decode()).tobytes()
-            else:
-                plain.append(p)
+        blank = {p for p in pieces if p.isspace() or (not p.isascii() and p.decode().isspace())}
+        found = {p: self.whole(p.decode()).tobytes() for p in blank}
+        plain = [p for p in pieces if p not in blank] if blank else pieces
         groups = [plain[at : at + 500] for at in range(0, len(plain), 500)]
         texts = [b"\n".join(g).decode() for g in groups]
         for group, e in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
@@ -147,11 +144,11 @@ class Tokens:
             size, raw_ids = ids.itemsize, ids.tobytes()
             ends = [*(np.flatnonzero(ids == self.line) * size).tolist(), len(raw_ids)]
             starts = [0, *[x + size for x in ends[:-1]]]
-            found.update(zip(group, [raw_ids[x:y] for x, y in zip(starts, ends, strict=True)], strict=True))
+            found.update(zip(group, map(raw_ids.__getitem__, map(slice, starts, ends)), strict=True))
         return found
 
     def remember(self, found: dict[bytes, bytes]) -> None:
-        short = {p: ids for p, ids in found.items() if len(p) <= SHORT}
+        short = found if max(map(len, found), default=0) <= SHORT else {p: ids for p, ids in found.items() if len(p) <= SHORT}
         size = sum(map(len, short)) + sum(map(len, short.values())) + _ENTRY * len(short)
         if self.held + size > REMEMBER:
             self.forget()
@@ -201,7 +198,9 @@ class Tokens:
             sizes = np.fromiter(map(len, each), np.int64, len(each)) // np.dtype(self.width).itemsize
             own = sizes[codes]
             ends = np.concatenate([[0], np.cumsum(own)])
-            ids = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], own) + np.arange(ends[-1])]
+            place = np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], own)
+            place += np.arange(ends[-1])
+            ids = flat[place]
             for k, a, b in zip(plain.tolist(), ends[bounds[:-1]].tolist(), ends[bounds[1:]].tolist(), strict=True):
                 out[k] = ids[a:b].tobytes()
         for k in np.flatnonzero(odd).tolist():
