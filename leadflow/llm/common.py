@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadflow.operators.shared import handover, new_folder, spread_lookup
+from leadflow.operators.shared import handover, new_folder, spread_factor, spread_lookup
 
 #: Byte table that lower-cases A-Z and nothing else.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -82,6 +82,39 @@ def by_size(batch: pa.RecordBatch, column: str, limit: int):
         at = to
 
 
+#: Slots that hot keys are marked in; rows of a key from which on it is dealt to many tasks.
+SLOTS, HOT = 1 << 16, 4000
+
+
+def _slot(on: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*on), F.lit(SLOTS))
+
+
+def hot_slots(sizes: DataFrame, on: list[str], n: str, hot: int = HOT) -> DataFrame:
+    """(slot): the slots of keys with more than ``hot`` rows; at most ``SLOTS`` rows, so it may be broadcast at any size of input."""
+    return sizes.where(F.col(n) > hot).select(_slot(on).alias("_slot")).distinct()
+
+
+def in_slots(rows: DataFrame, slots: DataFrame, on: list[str], by: list[str]) -> DataFrame:
+    """``rows`` with ``_part``: 0 where the slot of their key has no hot key, else 1 and up, dealt by ``by`` over the shuffle partitions."""
+    dealt = F.pmod(F.xxhash64(*by), F.lit(spread_factor(rows.sparkSession))) + 1
+    marked = rows.withColumn("_slot", _slot(on)).join(F.broadcast(slots.withColumn("_hot", F.lit(True))), "_slot", "left")
+    return marked.withColumn("_part", F.when(F.col("_hot"), dealt).otherwise(F.lit(0))).drop("_slot", "_hot")
+
+
+def hot_lookup(left: DataFrame, sizes: DataFrame, on: list[str], n: str, by: list[str], hot: int = HOT) -> DataFrame:
+    """Inner join of stored ``left`` rows to the one row of their key in stored ``sizes``, ``n`` being its rows on the left.
+
+    Keys with more than ``hot`` rows, and those that share their slots, are dealt to many tasks by
+    ``by``; all others are joined plainly.  Each part of a dealt key gets one copy of its row.
+    """
+    slots = handover(hot_slots(sizes, on, n, hot), "hot-slots")
+    parts = in_slots(left, slots, on, by)
+    wanted = parts.where("_part > 0").select(*on, "_part").distinct().join(sizes, on)
+    plain = in_slots(sizes, slots, on, on).where("_part = 0")
+    return parts.join(plain.unionByName(wanted), [*on, "_part"]).drop("_part")
+
+
 def release() -> None:
     """Gives memory that a finished task no longer uses back to the system, as the worker process goes on."""
     pa.default_memory_pool().release_unused()

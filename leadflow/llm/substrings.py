@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import by_size, raw, stored
+from leadflow.llm.common import by_size, hot_lookup, hot_slots, in_slots, raw, stored
 from leadflow.operators.shared import handover
 
 #: Bytes of an anchor; bytes hashed at once; bytes of units in a bucket; units an anchor may bring
@@ -288,21 +288,29 @@ def _split_crowds(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
 
     Units of a key agree on ``a`` bytes left and ``b`` right of the anchor.  For a common window they
     must agree on ``slack`` bytes more, so on half of them at one side: each unit goes to two new
-    keys, by its next bytes on either side.  Units of a key without slack share a window.
+    keys, by its next bytes on either side.  Units of a key without slack share a window, if their keys are
+    no chance match: its digest is compared.
     """
     now, ready, settled = rows.withColumns({"key": F.col("h"), "a": F.lit(0), "b": F.lit(0)}), [], []
     while True:
-        sizes = now.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        crowded = handover(sizes.where(F.col("n") > CROWD).select("key"), "crowded-keys")
+        sizes = handover(now.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key-sizes")
         if ready:  # units that no other unit agrees with any more are left out
-            now = stored(now.join(sizes.where("n > 1").select("key"), "key"), "keys")
-        ready.append(now.join(crowded, "key", "left_anti").drop("a", "b"))
-        if crowded.isEmpty():
+            now = stored(hot_lookup(now, sizes, ["key"], "n", ["row", "low"], CROWD).drop("n"), "keys")
+        slots = handover(hot_slots(sizes, ["key"], "n", CROWD), "crowded-slots")
+        if slots.isEmpty():
+            ready.append(now.drop("a", "b"))
             break
-        crowd = stored(now.join(crowded, "key"), "crowds")
+        # a slot may have other keys than crowded ones: told apart by their sizes
+        dealt = in_slots(now, slots, ["key"], ["row", "low"])
+        unsure = stored(hot_lookup(dealt.where("_part > 0").drop("_part"), sizes, ["key"], "n", ["row", "low"], CROWD), "crowds")
+        ready += [dealt.where("_part = 0").drop("a", "b", "_part"), unsure.where(F.col("n") <= CROWD).drop("a", "b", "n")]
+        crowd = unsure.where(F.col("n") > CROWD).drop("n")
         slack = F.lit(length - GRAM) - F.col("a") - F.col("b")
-        full = crowd.where(slack <= 0)
-        settled.append(full.select("row", (F.col("low") + F.col("left") - F.col("a")).alias("low"), (F.col("low") + F.col("left") + GRAM + F.col("b")).alias("high")))
+        window = F.expr(f"substring(unit, cast(left - a + 1 as int), a + {GRAM} + b)")
+        full = crowd.where(slack <= 0).select("row", (F.col("low") + F.col("left") - F.col("a")).alias("low"), F.sha2(window, 256).alias("window"))
+        full = stored(full, "whole-windows")
+        same = handover(full.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "window-counts")
+        settled.append(hot_lookup(full, same, ["window"], "n", ["row", "low"], CROWD).select("row", "low", (F.col("low") + length).alias("high")))
         more = F.ceil(slack / 2).cast("int")
         crowd = crowd.where(slack > 0).withColumn("more", more)
         to_left = crowd.where("left >= a + more").withColumn("key", F.xxhash64("key", F.lit("left"), F.expr("substring(unit, cast(left - a - more + 1 as int), more)")))
@@ -310,9 +318,10 @@ def _split_crowds(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
             "key", F.xxhash64("key", F.lit("right"), F.expr(f"substring(unit, cast(left + {GRAM} + b + 1 as int), more)"))
         )
         now = to_left.withColumn("a", F.col("a") + F.col("more")).union(to_right.withColumn("b", F.col("b") + F.col("more"))).drop("more")
+        now = stored(now, "keys")
     keyed = ready[0]
     for r in ready[1:]:
-        keyed = keyed.union(r)
+        keyed = keyed.unionByName(r)
     spans = None
     for x in settled:
         spans = x if spans is None else spans.union(x)
@@ -332,16 +341,17 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     texts = own.select("row", "text")
     # pieces of a very long text overlap, so an anchor may come twice
     found = stored(texts.mapInArrow(_find_anchors(length), "h long, row long, pos long"), "anchors")
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    again = found.join(twice, "h", "left_semi").groupBy("row").agg(F.collect_set(F.struct("h", "pos")).alias("found"))
+    twice = handover(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchor-counts")
+    again = hot_lookup(found, twice, ["h"], "n", ["row", "pos"]).groupBy("row").agg(F.collect_set(F.struct("h", "pos")).alias("found"))
     again = stored(again, "repeated-anchors")
     hashed = stored(texts.join(again, "row").mapInArrow(_units(length, True), UNIT), "units")
     hashed = hashed.where(F.col("high") - F.col("low") >= length)
     classes = hashed.groupBy("h", "unit").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "low", "left")).alias("one"))
     classes = stored(classes, "unit-classes")
-    whole = hashed.join(classes.where("n > 1").select("h", "unit"), ["h", "unit"], "left_semi").select("row", "low", "high")
-    differing = classes.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
-    ask = classes.join(differing, "h", "left_semi").select("h", "one.row", (F.col("one.low") + F.col("one.left")).alias("pos"))
+    alike = classes.where("n > 1").select("h", "unit", "n")
+    whole = hot_lookup(hashed, alike, ["h", "unit"], "n", ["row", "low"]).select("row", "low", "high")
+    differing = handover(classes.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "anchor-classes")
+    ask = hot_lookup(classes, differing, ["h"], "m", ["unit"]).select("h", "one.row", (F.col("one.low") + F.col("one.left")).alias("pos"))
     ask = handover(ask.groupBy("row").agg(F.collect_list(F.struct("h", "pos")).alias("found")), "asked")
     units = stored(texts.join(ask, "row").mapInArrow(_units(length, False), UNIT), "units")
     keyed, settled = _split_crowds(units, length)
