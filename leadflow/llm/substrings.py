@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import by_size, hot_lookup, hot_slots, in_slots, raw, stored
+from leadflow.llm.common import bucketed, by_size, hot_lookup, hot_slots, in_slots, raw, stored
 from leadflow.operators.shared import handover
 
 #: Bytes of an anchor; bytes hashed at once; bytes of units in a bucket; units an anchor may bring
@@ -337,7 +337,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     loses nothing; repeated rows are texts of their own and repeat each other.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw()).withColumn("row", F.monotonically_increasing_id())
-    own = stored(own, "texts")
+    own = bucketed(own, "texts", "row")
     texts = own.select("row", "text")
     # pieces of a very long text overlap, so an anchor may come twice
     found = stored(texts.mapInArrow(_find_anchors(length), "h long, row long, pos long"), "anchors")

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from leadflow.llm import decontaminate, embeddings, langid, mixing, pii, pitman_yor, quality, rans, simhash, substrings, tokens
+from leadflow.llm import common, decontaminate, embeddings, langid, mixing, pii, pitman_yor, quality, rans, simhash, substrings, tokens
 from leadflow.llm.common import components
 
 WORDS = [f"{a}{b}{c}" for a in ("ba", "do", "ki") for b in ("la", "ne", "ru", "so") for c in ("", "m", "t")]
@@ -529,6 +529,24 @@ def test_repeated_strings(docs, empty, monkeypatch, crowd):
     assert crowd < 300 or substrings.repeats_report(empty).count() == 0
 
 
+def test_lookups_of_hot_keys(spark):
+    """A key with a third of all rows, many with one row, and keys that share slots with hot ones: as a plain join gives, broadcasts off."""
+    draw = np.random.default_rng(2)
+    rows = [(None if k % 50 == 0 else 7 if k % 3 == 0 else int(draw.integers(0, 3000)), k) for k in range(9000)]
+    left = common.stored(spark.createDataFrame(rows, "key long, x long"), "left")
+    sizes = common.stored(left.groupBy("key").count().where("count > 1"), "sizes")
+    want = Counter(k for k, _ in rows if k is not None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for hot in (0, 4, 1000, 10_000):
+            found = common.hot_lookup(left, sizes, ["key"], "count", ["x"], hot)
+            assert sorted(map(tuple, found.select("key", "x", "count").collect())) == sorted((k, x, want[k]) for k, x in rows if k is not None and want[k] > 1)
+            dealt = common.in_slots(left, common.hot_slots(sizes, ["key"], "count", hot), ["key"], ["x"])
+            assert dealt.where("key = 7").select("_part").distinct().count() == (4 if hot < want[7] else 1)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_repeated_strings_in_random_units():
     draw = np.random.default_rng(1)
     for _ in range(100):
