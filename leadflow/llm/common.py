@@ -27,15 +27,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
-    """``stored``, dealt to one bucket per shuffle partition by ``key``: later joins on it shuffle their other side only."""
-    spark, path = df.sparkSession, new_folder(df.sparkSession, label)
-    parts, name = spread_factor(spark), "leadflow_" + path.rsplit("/", 1)[1].replace("-", "_")
-    writer = df.repartition(parts, key).write.format("parquet").option("compression", "zstd").option("path", path)
-    writer.bucketBy(parts, key).saveAsTable(name)
-    return spark.table(name)
-
-
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as the empty text (remainder 0)."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
