@@ -283,10 +283,10 @@ def _keep_or(new: Column, old: Column) -> Column:
 # ---------------------------------------------------------------- follow-up
 
 
-def _hints(df: DataFrame) -> tuple[Column, Column, Column]:
-    """Country, buyer and topic words of a second search for a known company."""
+def _hints(df: DataFrame, role: Column | None = None) -> tuple[Column, Column, Column]:
+    """Country, buyer and topic words of a second search for a known company; ``role`` stands in for a missing buyer target."""
     country = F.coalesce(F.col("constraints.preferred_country"), F.col("company.country_code"), F.lit("spain"))
-    buyer = F.coalesce(F.translate(F.get("buyer_targets", F.lit(0)), "_", " "), F.lit("founder"))
+    buyer = F.coalesce(F.translate(F.get("buyer_targets", F.lit(0)), "_", " "), *([] if role is None else [role]), F.lit("founder"))
     return country, buyer, F.slice(_keep_or(F.col("fit_signals"), F.col("search_themes")), 1, 2)
 
 
@@ -296,7 +296,7 @@ def follow_up_query(df: DataFrame) -> Column:
 
 
 def enrichment_query(df: DataFrame) -> Column:
-    country, buyer, topics = _hints(df)
+    country, buyer, topics = _hints(df, F.nullif(F.col("person.role_title"), F.lit("")))
     return T.strip(F.concat_ws(" ", F.col("company.name"), buyer, country, F.array_join(topics, "  ")))
 
 

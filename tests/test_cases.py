@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from leadflow import schemas as S
 from leadflow import vocab as V
+from leadflow.operators import dossier as D
 from leadflow.operators import expand as Q
 from leadflow.operators import finish as Z
 from leadflow.operators import outreach as O
@@ -126,3 +127,19 @@ def test_suggested_queries_come_first(spark):
     suggested = F.array(F.lit("too short"), F.lit("  Spain   AI people "), F.lit(own[2].upper()))
     got = [p.v for p in Q.query_pairs(requests, F.lit(0), suggested=suggested).first().candidates]
     assert got == ["Spain AI people", own[2].upper(), *own[:2], *own[3:]]
+
+
+def test_second_search_without_buyer_target(spark):
+    """Enrichment asks for the known person's role before a founder; following up always for a founder."""
+    row = "named_struct('preferred_country', 'france') AS constraints, named_struct('name', 'Acme', 'country_code', 'es') AS company"
+    cases = {"array('sales_lead')": "'CTO'", "array()": "'CTO'", "cast(array() AS array<string>)": "''", "cast(null AS array<string>)": "cast(null AS string)"}
+    found = []
+    for buyers, role in cases.items():
+        df = spark.sql(f"SELECT {row}, named_struct('full_name', 'A B', 'role_title', {role}) AS person, cast({buyers} AS array<string>) AS buyer_targets, array('ai') AS fit_signals, array('x') AS search_themes")
+        found.append(tuple(df.select(D.enrichment_query(df), D.follow_up_query(df)).first()))
+    assert found == [
+        ("Acme sales lead france ai", "Acme sales lead france ai"),
+        ("Acme CTO france ai", "Acme founder france ai"),
+        ("Acme founder france ai", "Acme founder france ai"),
+        ("Acme founder france ai", "Acme founder france ai"),
+    ]
